@@ -1,0 +1,5 @@
+"""Intentionally empty: the engine answers questions about one finished table.
+
+The row-wise operators (``apply_filters`` with given date formats, ``unit_column``)
+are plain column expressions, so they also accept a streaming ``DataFrame``.
+"""
