@@ -32,45 +32,43 @@ DATE_FORMATS = (
     "yyyy-M-d H:mm:ss.SSSSSS",
 )
 
-# No recognised date is longer than this, so longer texts are not looked at.
-LONGEST_DATE = 40
-
 OFFSET = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
-# What each letter run of a pattern may match in the text.
+# Fixed table: what each letter run of a pattern may match in the text, and the least
+# and greatest number of characters that takes.
 _FIELDS = {
-    "yyyy": "[0-9]{4}",
-    "MMMM": "[A-Za-z]+",
-    "MMM": "[A-Za-z]{3}",
-    "MM": "[0-9]{2}",
-    "M": "[0-9]{1,2}",
-    "dd": "[0-9]{2}",
-    "d": "[0-9]{1,2}",
-    "HH": "[0-9]{2}",
-    "H": "[0-9]{1,2}",
-    "mm": "[0-9]{2}",
-    "ss": "[0-9]{2}",
-    "SSSSSS": "[0-9]{1,6}",
-    "XXX": "(Z|[+-][0-9]{2}:?[0-9]{2})",
+    "yyyy": ("[0-9]{4}", 4, 4),
+    "MMMM": ("[A-Za-z]+", 3, 9),
+    "MMM": ("[A-Za-z]{3}", 3, 3),
+    "MM": ("[0-9]{2}", 2, 2),
+    "M": ("[0-9]{1,2}", 1, 2),
+    "dd": ("[0-9]{2}", 2, 2),
+    "d": ("[0-9]{1,2}", 1, 2),
+    "HH": ("[0-9]{2}", 2, 2),
+    "H": ("[0-9]{1,2}", 1, 2),
+    "mm": ("[0-9]{2}", 2, 2),
+    "ss": ("[0-9]{2}", 2, 2),
+    "SSSSSS": ("[0-9]{1,6}", 1, 6),
+    "XXX": ("(Z|[+-][0-9]{2}:?[0-9]{2})", 1, 6),
 }
 _TOKEN = re.compile(r"'([^']*)'|((?P<letter>[A-Za-z])(?P=letter)*)|(.)")
 
 
-def shape_of(fmt: str) -> str | None:
-    """Regular expression a text must match before it is parsed with ``fmt``.
+def fits(text: Column, fmt: str) -> Column | None:
+    """Whether a text has the length and the shape of a format.
 
-    It keeps the parser off texts that cannot fit. ``None`` if the pattern uses
-    fields this table does not know.
+    This keeps the parser, and mostly the regular expression too, off texts that
+    cannot fit: in a profile every text meets every format. ``None`` if the pattern
+    uses fields the table does not hold.
     """
-    parts = []
+    shape, least, most = "", 0, 0
     for quoted, run, _, other in _TOKEN.findall(fmt):
-        if run:
-            if run not in _FIELDS:
-                return None
-            parts.append(_FIELDS[run])
-        else:
-            parts.append(re.escape(quoted or other))
-    return "^" + "".join(parts) + "$"
+        if run and run not in _FIELDS:
+            return None
+        literal = quoted or other
+        part = _FIELDS[run] if run else (re.escape(literal), len(literal), len(literal))
+        shape, least, most = shape + part[0], least + part[1], most + part[2]
+    return F.length(text).between(least, most) & text.rlike(f"^{shape}$")
 
 
 def parse_date(text: Column, fmt: str) -> Column:
@@ -83,8 +81,8 @@ def parse_date(text: Column, fmt: str) -> Column:
     if fmt.endswith("XXX"):
         local, pattern = F.regexp_replace(text, OFFSET, ""), fmt[: -len("XXX")]
     parsed = F.try_to_timestamp(local, F.lit(pattern))
-    shape = shape_of(fmt)
-    return parsed if shape is None else F.when(text.rlike(shape), parsed)
+    guard = fits(text, fmt)
+    return parsed if guard is None else F.when(guard, parsed)
 
 
 def parse_any(text: Column, formats: Sequence[str]) -> Column:
@@ -94,14 +92,9 @@ def parse_any(text: Column, formats: Sequence[str]) -> Column:
     return F.coalesce(*[parse_date(text, fmt) for fmt in formats])
 
 
-def short_text(text: Column) -> Column:
-    return F.when(F.length(text) <= LONGEST_DATE, text)
-
-
 def parse_counts(text: Column) -> list[Column]:
     """One aggregate per known format: how many values it parses."""
-    candidate = short_text(text)
-    return [F.count(parse_date(candidate, fmt)) for fmt in DATE_FORMATS]
+    return [F.count(parse_date(text, fmt)) for fmt in DATE_FORMATS]
 
 
 def best_format(df: DataFrame, text: Column) -> str | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # All characters that count as white space when a text is stripped.
 WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -16,13 +16,20 @@ NUMBER_WITH_UNIT = r"^[0-9]+(\.[0-9]+)?(?U:[\s\x1c-\x1f]*)[a-zA-Z]"
 
 
 def strip(text: Column) -> Column:
-    """Both ends without white space of any kind (``trim`` alone drops only blanks)."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    """Both ends without white space of any kind.
+
+    Blanks are dropped first. A text that then starts and ends with a visible ASCII
+    character is done; only others are checked against the full list.
+    """
+    text = F.trim(text)
+    visible = F.ascii(text).between(33, 126) & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(visible, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
 
 
-def list_items(text: Column) -> Column:
-    """Array of the stripped items of a comma-separated text; empty items stay."""
-    return F.transform(F.split(text, ",", -1), strip)
+def explode_list(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """One row per stripped item of comma-separated texts; empty items stay."""
+    items = rows.select(F.explode(F.split(text, ",", -1)).alias(name))
+    return items.select(strip(F.col(name)).alias(name))
 
 
 def first_number(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.missing import is_text, present
-from tallyframe.functions.text import list_items
+from tallyframe.functions.text import explode_list
 from tallyframe.operators.rules import column_follows
 
 DEFAULT_VALUES = 20
@@ -51,7 +51,7 @@ def count_values(df: DataFrame, column: str, split: bool = False, name: str = "v
     """
     value = present(df, column)
     if split:
-        rows = df.select(F.explode(list_items(value.cast("string"))).alias(name))
+        rows = explode_list(df, value.cast("string"), name)
     else:
         rows = df.select(value.alias(name)).where(F.col(name).isNotNull())
     counted = rows.groupBy(name).agg(F.count("*").alias("count"))
