@@ -690,7 +690,7 @@ select cast(yr as varchar) as label, n as value from (select year(o_orderdate) y
 """)
 def series_sort_limit(spark, sf_dir):
     top = tf.sort_limit(orders_per_year(spark, sf_dir), "yr")
-    series = charts.sort_series(top, "yr", "n", ascending=False, limited=True)
+    series = charts.sort_series(top, "yr", "n", ascending=False, bounded=True)
     return series.select("label", F.col("value").cast("bigint").alias("value"))
 
 

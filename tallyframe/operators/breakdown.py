@@ -28,7 +28,7 @@ def pick_breakdown_column(df: DataFrame, exclude: Iterable[str] = EXCLUDED) -> s
     are counted exactly.
     """
     skipped = set(exclude)
-    rows, measured = measure(df, [c for c in df.columns if c not in skipped], distinct=True)
+    rows, measured = measure(df, [c for c in df.columns if c not in skipped])
     usable = [m for m in measured if m.distinct]
     open_columns = _could_be_nearest(usable)
     while ids := [m for m in open_columns if is_id(df, rows, m)]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.missing import is_text, present
 from tallyframe.functions.text import explode_list
+from tallyframe.operators.ranges import first_rows
 from tallyframe.operators.rules import column_follows
 
 DEFAULT_VALUES = 20
@@ -28,7 +29,7 @@ def value_counts(
     ``"auto"`` looks at the column first (one aggregate job, text columns only).
     """
     counted = count_values(df, column, choose_split(df, column, split), name)
-    return top_values(counted, value_limit(limit), name)
+    return first_rows(counted, [F.desc("count"), F.asc(name)], value_limit(limit))
 
 
 def value_limit(limit: int | None) -> int:
@@ -58,11 +59,6 @@ def count_values(df: DataFrame, column: str, split: bool = False, name: str = "v
     return counted.select(F.col(name).cast("string").alias(name), "count")
 
 
-def top_values(counted: DataFrame, limit: int | None, name: str = "value") -> DataFrame:
-    ordered = counted.orderBy(F.desc("count"), F.asc(name))
-    return ordered if limit is None else ordered.limit(limit)
-
-
 def total_values(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """Number of distinct values of the whole column, lists left unsplit."""
     count = F.approx_count_distinct if approximate else F.count_distinct

@@ -37,7 +37,8 @@ def search(text: Column, pattern: str) -> Column:
         return regex
     plain = F.lower(text).contains(pattern.lower())
     if SPECIAL_CASE_LETTERS & set(pattern):
-        return F.when(F.octet_length(text) == F.length(text), plain).otherwise(regex)
+        ascii_only = F.octet_length(text) == F.length(text)
+        return text.isNotNull() & F.when(ascii_only, plain).otherwise(regex)
     return plain
 
 

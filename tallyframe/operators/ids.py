@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyframe.functions.missing import present, type_of
 from tallyframe.operators.metrics import MARGIN, ColumnMetrics, measure
-from tallyframe.operators.rules import all_values_differ
 
 # Values of these types are not wider than their hash.
 NARROW = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
+# Fixed: a single row does not make an identifier.
+LEAST_ROWS = 2
+
 SUSPECTS = 100
 
 
@@ -22,16 +24,14 @@ def id_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]
     A sketch of every column rules out most of them in one pass; what remains is
     checked exactly, because an estimate cannot tell one repeated value in a billion.
     """
-    rows, measured = measure(df, columns or df.columns, distinct=True)
+    rows, measured = measure(df, columns or df.columns)
     return [m.name for m in measured if is_id(df, rows, m)]
 
 
 def is_id(df: DataFrame, rows: int, measured: ColumnMetrics) -> bool:
-    if measured.distinct is None or measured.present < rows:
-        return False
-    if not all_values_differ(rows, rows) or measured.distinct < rows * (1 - MARGIN):
+    if measured.present < rows or measured.distinct < rows * (1 - MARGIN):
         return False
-    return not has_repeated_value(df, measured.name)
+    return rows >= LEAST_ROWS and not has_repeated_value(df, measured.name)
 
 
 def has_repeated_value(df: DataFrame, column: str) -> bool:

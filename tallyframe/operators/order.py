@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from tallyframe.functions.missing import present
+from tallyframe.operators.ranges import first_rows
 
 DEFAULT_ROWS = 5
 
@@ -29,8 +30,7 @@ def sort_limit(
     ties = df.columns[:1] if tie_break is None else tie_break
     keys = [present(df, n).asc_nulls_last() if ascending else present(df, n).desc_nulls_last() for n in names]
     keys += [present(df, t).asc_nulls_last() for t in ties if t not in names]
-    ordered = df.orderBy(*keys)
-    return ordered if limit is None else ordered.limit(limit)
+    return first_rows(df, keys, limit)
 
 
 def sample_rows(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def profile(df: DataFrame) -> DataFrame:
     One pass measures every column; a second one per likely identifier makes sure of
     it. The result has at most six rows per column.
     """
-    rows, measured = measure(df, df.columns, rules=list(TEXT_RULES), distinct=True)
+    rows, measured = measure(df, df.columns, rules=list(TEXT_RULES))
     findings = []
     for m in measured:
         for rule, hits in m.hits.items():

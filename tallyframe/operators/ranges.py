@@ -17,6 +17,9 @@ from tallyframe.shared import cut_lineage
 
 RANGE = "_range"
 
+# Up to this many first rows are gathered in one task.
+SMALL_LIMIT = 100_000
+
 
 def number_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     ranged = df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id())
@@ -41,6 +44,20 @@ def with_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFra
     )
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Rows in order, cut at ``limit``.
+
+    A small limit is a top-k in every task and one merge. Beyond that the merge
+    would hold the whole result, so rows are taken by their position.
+    """
+    if limit is None:
+        return df.orderBy(*order)
+    if limit <= SMALL_LIMIT:
+        return df.orderBy(*order).limit(limit)
+    placed = with_positions(df, order, "_position").where(F.col("_position") <= limit)
+    return placed.orderBy("_position").drop("_position")
+
+
 def median_by_ranges(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact median of ``value`` per key group, whatever the size of a group.
 

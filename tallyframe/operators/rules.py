@@ -50,11 +50,6 @@ def missing_rate_is_high(rows, missing):
     return missing * 5 > rows * 2
 
 
-def all_values_differ(rows, distinct):
-    """Distinct count equal to the row count, which one missing value already breaks."""
-    return (rows >= 2) & (distinct == rows)
-
-
 def rule_check(df: DataFrame, column: str, rule: str) -> Column:
     """Aggregate expression: does the column follow a text rule?"""
     if not is_text(df, column):

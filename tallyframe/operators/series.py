@@ -40,9 +40,9 @@ def _number(series: DataFrame, bounded: bool) -> DataFrame:
     return numbered.select("ordinal", "label", "value")
 
 
-def count_series(counted: DataFrame) -> DataFrame:
-    """Series of a ``value_counts`` result, which its limit keeps small."""
-    return _number(_series(counted, F.col("value"), F.col("count")), bounded=True)
+def count_series(counted: DataFrame, bounded: bool = True) -> DataFrame:
+    """Series of a ``value_counts`` result; ``bounded`` if its limit is small."""
+    return _number(_series(counted, F.col("value"), F.col("count")), bounded)
 
 
 def breakdown_series(labelled: DataFrame) -> DataFrame:
@@ -65,7 +65,9 @@ def group_series(grouped: DataFrame) -> DataFrame:
     return kept.select("ordinal", label.cast("string").alias("label"), "value")
 
 
-def sort_series(sorted_rows: DataFrame, target: str, value: str, ascending: bool, limited: bool) -> DataFrame:
+def sort_series(
+    sorted_rows: DataFrame, target: str, value: str, ascending: bool, bounded: bool
+) -> DataFrame:
     """``target`` against ``value`` in the order of a ``sort_limit`` result."""
     key = present(sorted_rows, target)
     rows = sorted_rows.select(
@@ -73,7 +75,7 @@ def sort_series(sorted_rows: DataFrame, target: str, value: str, ascending: bool
     )
     order = [F.col("_key").asc_nulls_last() if ascending else F.col("_key").desc_nulls_last()]
     order.append(F.col("value").asc_nulls_last())
-    if limited:
+    if bounded:
         numbered = rows.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
     else:
         numbered = with_positions(rows, order, "ordinal")

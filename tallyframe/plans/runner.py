@@ -14,6 +14,7 @@ from tallyframe.operators.groups import group_agg, groups_count, order_groups
 from tallyframe.operators.ids import id_columns
 from tallyframe.operators.order import sample_rows, sort_limit
 from tallyframe.operators.series import (
+    SMALL_SERIES,
     breakdown_series,
     chart_kind,
     count_series,
@@ -90,13 +91,16 @@ class PlanResult:
             column = self.breakdown_column()
             return None if column is None else breakdown_series(self.breakdown(column))
         if self.operation == "value_counts":
-            return count_series(self.rows)
+            return count_series(self.rows, self._bounded())
         if self.operation == "group_by_agg":
             return group_series(self.rows)
         if self.operation == "sort_limit":
             return self._sorted_series()
         return None
 
+    def _bounded(self) -> bool:
+        return self.request.limit is not None and self.request.limit <= SMALL_SERIES
+
     def _sorted_series(self) -> DataFrame | None:
         target, ascending = self.request.target, self.request.ascending
         if not isinstance(target, str):
@@ -109,8 +113,7 @@ class PlanResult:
         for column in others:
             ids.update(id_columns(self._table(), [column]))
             if column not in ids:
-                limited = self.request.limit is not None
-                return sort_series(self.rows, target, column, ascending, limited)
+                return sort_series(self.rows, target, column, ascending, self._bounded())
         return None
 
     def kind(self, choice: str | None = None) -> str | None:

@@ -97,20 +97,19 @@ def infer_types(cells: DataFrame) -> dict[str, str]:
     names = cells.columns
     if not names:
         return {}
-    counts = [
-        F.count_if(condition).alias(f"{kind} {i}")
-        for i, name in enumerate(names)
-        for kind, condition in _fits(col(name)).items()
-    ]
-    found = cells.agg(*counts).first().asDict()
+    columns = [F.struct(F.lit(i).alias("column"), col(n).alias("cell")) for i, n in enumerate(names)]
+    exploded = cells.select(F.explode(F.array(*columns)).alias("c")).select("c.*")
+    counts = [F.count_if(condition).alias(kind) for kind, condition in _fits(F.col("cell")).items()]
+    found = {r["column"]: r.asDict() for r in exploded.groupBy("column").agg(*counts).collect()}
     types = {}
     for i, name in enumerate(names):
-        total = found[f"present {i}"]
-        fits = [k for k in ("bigint", UNSIGNED, "double", "boolean") if found[f"{k} {i}"] == total]
+        fits = found.get(i, {"present": 0})
+        total = fits["present"]
+        kinds = [k for k in ("bigint", UNSIGNED, "double", "boolean") if total and fits[k] == total]
         if total == 0:
             types[name] = "double"
-        elif not fits or (fits[0] == "double" and found[f"whole {i}"] == total):
+        elif not kinds or (kinds[0] == "double" and fits["whole"] == total):
             types[name] = "string"
         else:
-            types[name] = fits[0]
+            types[name] = kinds[0]
     return types
