@@ -1,0 +1,185 @@
+"""Chart series, and requests from a dictionary to a result."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import tallyframe as tf
+from tallyframe.operators import series as charts
+
+
+def groups(spark, n):
+    return spark.range(n).select(F.format_string("g%02d", "id").alias("key"), F.col("id").cast("double").alias("value"))
+
+
+@pytest.mark.parametrize("n, shown", [(0, 0), (1, 1), (20, 20), (21, 15), (500, 15)])
+def test_top_groups(spark, n, shown):
+    rows = charts.group_series(groups(spark, n)).orderBy("ordinal").collect()
+    assert [r["value"] for r in rows] == [float(n - 1 - i) for i in range(shown)]
+    assert [r["ordinal"] for r in rows] == list(range(1, shown + 1))
+
+
+def labels(spark, values):
+    rows = [(i + 1, v, 1.0) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "ordinal int, label string, value double")
+
+
+@pytest.mark.parametrize(
+    "values, target, choice, kind",
+    [
+        (["2019", "2020", "2021", "1999", "2000", "x"], "a", None, "line"),
+        (["2019", "2020", "x", "1999", "2000"], "a", None, "bar"),
+        (["2019", "2020", "x"], "year", None, "line"),
+        ([], "a", None, "line"),
+        ([""], "a", None, "line"),
+        (["", "2020"], "a", "auto", "line"),
+        ([None, "2020"], "a", "", "bar"),
+        (["999"], "a", None, "bar"),
+        (["-1000"], "a", None, "line"),
+        (["2100"], "a", None, "line"),
+        (["2101"], "a", None, "bar"),
+        (["2020.0"], "a", None, "bar"),
+        (["99999999999999999999"], "a", None, "bar"),
+        (["Movie", "TV Show"], "type", None, "pie"),
+        (["Movie", "TV Show"], "type", "bar", "bar"),
+        (["2020"], "a", "pie", "pie"),
+        (["x"], None, None, "bar"),
+    ],
+)
+def test_kind(spark, values, target, choice, kind):
+    assert charts.chart_kind(labels(spark, values), target, choice).first()["kind"] == kind
+
+
+def test_shares(spark):
+    df = labels(spark, ["a", "b", "c"])
+    for bounded in (True, False):
+        assert [r["pct"] for r in charts.with_share(df, bounded).collect()] == [33.3] * 3
+
+
+def test_series_of_any_length(spark, monkeypatch):
+    labelled = spark.range(300).select(F.col("id").cast("string").alias("label"), (F.col("id") % 7).alias("value"))
+    expected = charts.breakdown_series(labelled).orderBy("ordinal").collect()
+    monkeypatch.setattr(charts, "SMALL_SERIES", 10)
+    assert charts.breakdown_series(labelled).orderBy("ordinal").collect() == expected
+    assert [r["ordinal"] for r in expected] == list(range(1, 301))
+
+
+@pytest.fixture(scope="module")
+def films(spark):
+    rows = [
+        (i, ["Movie", "TV Show", "Movie"][i % 3], 1990 + i % 30, float(i % 50), "A, B" if i % 2 else "B")
+        for i in range(120)
+    ]
+    return spark.createDataFrame(rows, "id int, type string, year int, score double, tags string").persist()
+
+
+def test_sorted_years_make_a_line(films):
+    result = tf.run_plan(films, {"operation": "sort_limit", "target_column": "year", "limit": 6})
+    rows = result.series().orderBy("ordinal").collect()
+    assert [r["label"] for r in rows] == ["2019"] * 4 + ["2018"] * 2
+    assert {r["value"] for r in rows} == {"Movie", "TV Show"} or len(rows) == 6
+    assert result.kind("bar") == "line"
+    whole = tf.run_plan(films, {"operation": "sort_limit", "target_column": "year", "limit": None})
+    assert whole.series().count() == 120
+
+
+def test_sorted_series_skips_ids(films):
+    result = tf.run_plan(films.select("id", "score", "year"), {"operation": "sort_limit", "target_column": "year"})
+    assert result.series().schema["value"].dataType.simpleString() == "double"
+    only_id = tf.run_plan(films.select("id", "year"), {"operation": "sort_limit", "target_column": "year"})
+    assert only_id.series() is None and only_id.kind() is None
+
+
+def test_first_labels_are_distinct(spark):
+    df = spark.createDataFrame([(2020, 1)] * 9 + [(5, 1)], "y int, n int")
+    plan = {"operation": "sort_limit", "target_column": "y", "limit": None}
+    assert tf.run_plan(df, plan).series() is None
+    assert tf.run_plan(df, {**plan, "limit": 5}).series().count() == 5
+
+
+def test_filter_plan(films):
+    plan = {"operation": "filter", "filter": [{"column": "type", "value": "movie"}]}
+    result = tf.run_plan(films, plan)
+    assert result.count() == 80 and result.rows.count() == 80
+    assert result.id_columns() == ["id"]
+    assert result.breakdown_column() == "tags"
+    assert {r["label"]: r["value"] for r in result.series().collect()} == {"A, B": 40.0, "B": 40.0}
+    assert result.kind() == "bar"
+
+
+def test_no_match(films):
+    plan = {"operation": "filter", "filter": {"column": "type", "operator": "eq", "value": "None"}}
+    result = tf.run_plan(films, plan)
+    assert result.count() == 0 and result.series() is None and result.kind() is None
+    counts = tf.run_plan(films, {**plan, "operation": "value_counts", "target_column": "type"})
+    assert counts.rows.count() == 0 and counts.kind() is None
+
+
+def test_value_counts_plan(films):
+    result = tf.run_plan(films, {"operation": "value_counts", "target_column": "tags", "limit": 1})
+    assert [tuple(r) for r in result.rows.collect()] == [("B", 120)]
+    assert result.total_values() == 2
+    whole = tf.run_plan(films, {"operation": "value_counts", "target_column": "type"})
+    assert whole.kind() == "pie" and whole.kind("line") == "line"
+
+
+def test_group_plan(films):
+    plan = {"operation": "group_by_agg", "target_column": "year", "agg_column": "score", "agg_func": "mean"}
+    result = tf.run_plan(films, plan)
+    assert result.groups_count() == 30
+    assert result.series().count() == 15
+    values = [r["value"] for r in result.rows.collect()]
+    assert values == sorted(values, reverse=True) and len(values) == 30
+    default = tf.run_plan(films, {"operation": "group_by_agg", "target_column": "type", "agg_func": None})
+    assert {r["key"]: r["value"] for r in default.rows.collect()} == {"Movie": 80.0, "TV Show": 40.0}
+
+
+def test_group_plan_ignores_limit(films):
+    plan = {"operation": "group_by_agg", "target_column": "year", "limit": 1, "sort_ascending": True}
+    assert tf.run_plan(films, plan).rows.count() == 30
+
+
+def test_sort_plan_defaults(films):
+    result = tf.run_plan(films, {"operation": "sort_limit"})
+    assert [r["id"] for r in result.rows.collect()] == [119, 118, 117, 116, 115]
+    up = tf.run_plan(films, {"operation": "sort_limit", "sort_ascending": True, "limit": 2})
+    assert [r["id"] for r in up.rows.collect()] == [0, 1]
+
+
+def test_sort_plan_by_two_columns(films):
+    rows = tf.run_plan(films, {"operation": "sort_limit", "target_column": ["year", "score"]}).rows.collect()
+    assert [(r["year"], r["score"]) for r in rows] == [(2019, 39.0), (2019, 29.0), (2019, 19.0), (2019, 9.0), (2018, 38.0)]
+
+
+@pytest.mark.parametrize(
+    "plan, reason",
+    [
+        ({"operation": "unsupported", "reason": "no such column"}, "no such column"),
+        ({"operation": "unsupported"}, "No reason provided"),
+        ({"operation": "pivot"}, "Unknown operation: pivot"),
+        ({}, "Unknown operation: None"),
+    ],
+)
+def test_unsupported(films, plan, reason):
+    result = tf.run_plan(films, plan)
+    assert not result.supported and result.operation == "unsupported" and result.reason == reason
+    assert result.rows is None and result.series() is None and result.kind() is None
+    with pytest.raises(ValueError, match="unsupported request"):
+        result.count()
+
+
+@pytest.mark.parametrize(
+    "plan",
+    [
+        {"operation": "value_counts"},
+        {"operation": "group_by_agg"},
+        {"operation": "sort_limit", "target_column": None},
+        {"operation": "sort_limit", "limit": "5"},
+        {"operation": "sort_limit", "limit": -1},
+        {"operation": "value_counts", "target_column": "type", "limit": -1},
+        {"operation": "value_counts", "target_column": "nope"},
+        {"operation": "group_by_agg", "target_column": "type", "agg_column": "nope"},
+    ],
+)
+def test_wrong_plans(films, plan):
+    with pytest.raises(ValueError):
+        tf.run_plan(films, plan)
