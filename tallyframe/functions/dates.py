@@ -97,8 +97,13 @@ def parse_counts(text: Column) -> list[Column]:
     return [F.count(parse_date(text, fmt)) for fmt in DATE_FORMATS]
 
 
+def formats_found(df: DataFrame, text: Column) -> list[tuple[str, int]]:
+    """Known formats that parse any value of the column, with how many they parse."""
+    hits = df.agg(*[c.alias(f"f{i}") for i, c in enumerate(parse_counts(text))]).first()
+    return [(fmt, n) for fmt, n in zip(DATE_FORMATS, hits) if n]
+
+
 def best_format(df: DataFrame, text: Column) -> str | None:
     """The one format that parses most values of the column (one aggregate job)."""
-    hits = df.agg(*[c.alias(f"f{i}") for i, c in enumerate(parse_counts(text))]).first()
-    most = max(hits)
-    return DATE_FORMATS[hits.index(most)] if most else None
+    found = formats_found(df, text)
+    return max(found, key=lambda f: f[1])[0] if found else None

@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyframe.functions.dates import DATE_FORMATS, best_format, parse_any
+from tallyframe.functions.dates import best_format, formats_found, parse_any
 from tallyframe.functions.literals import equals_text
 from tallyframe.functions.missing import is_text, present, raw, type_of
 
@@ -63,7 +63,11 @@ def _whole(value: object, what: str) -> int:
 
 
 def _date_text(df: DataFrame, column: str, formats: Sequence[str] | str | None) -> Column:
-    """Timestamp of a text column; without formats, in the one that fits most rows."""
+    """Timestamp of a text column, in the given formats or in those that occur.
+
+    A condition that spelled out every known format would be too large a method for
+    the JVM to compile, so ``"any"`` is narrowed to the formats found.
+    """
     if not is_text(df, column):
         kind = type_of(df, column).simpleString()
         raise ValueError(f"date filter on column {column!r} of type {kind}")
@@ -71,8 +75,10 @@ def _date_text(df: DataFrame, column: str, formats: Sequence[str] | str | None)
     if formats is None:
         found = best_format(df, text)
         chosen = [found] if found else []
+    elif formats == "any":
+        chosen = [fmt for fmt, _ in formats_found(df, text)]
     else:
-        chosen = DATE_FORMATS if formats == "any" else list(formats)
+        chosen = [formats] if isinstance(formats, str) else list(formats)
     return parse_any(text, chosen)
 
 
@@ -126,9 +132,9 @@ def apply_filters(
 
     Each condition is ``{"column", "operator", "value"}``; the operator defaults to
     ``contains``. ``formats`` are the Spark patterns for date conditions on text
-    columns, ``"any"`` to try every known one on each value. Left out, the format
-    that reads most of the rows kept by the conditions before it is used, which
-    takes one aggregate job.
+    columns, ``"any"`` to read each value in the first known one that fits it. Left
+    out, the one format that reads most of the rows kept by the conditions before it
+    is used. Both of these take one aggregate job.
     """
     if not filters:
         return df

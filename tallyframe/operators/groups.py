@@ -93,6 +93,8 @@ def group_agg(
     unknown = [f for f in funcs if f not in FUNCTIONS]
     if unknown or not key_names or not funcs:
         raise ValueError(f"unknown aggregate {unknown}; known are {', '.join(FUNCTIONS)}")
+    if len(key_names) > 1 and "value" in key_names:
+        raise ValueError("one of several keys cannot be called value, which is the result")
     dtype = type_of(df, column)
 
     groups = ["key"] if len(key_names) == 1 else key_names
@@ -108,8 +110,8 @@ def group_agg(
 
     rows = df.select(
         *[present(df, k).alias(g) for k, g in zip(key_names, groups)],
-        value.alias("_value"),
-        *[present(df, o).alias(f"_order{i}") for i, o in enumerate(order)],
+        value.alias("_tally_value"),
+        *[present(df, o).alias(f"_tally_order{i}") for i, o in enumerate(order)],
     )
     for g in groups:
         rows = rows.where(col(g).isNotNull())
@@ -124,8 +126,8 @@ def group_agg(
     grouped = rows.groupBy(*[col(g) for g in groups])
     result = grouped.agg(*plain) if plain else rows.select(*[col(g) for g in groups]).distinct()
     for name in exact_medians:
-        numbers = rows.withColumn("_value", _as_number(dtype, F.col("_value")))
-        result = result.join(median_by_ranges(numbers, groups, "_value", name), groups, "left")
+        numbers = rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value")))
+        result = result.join(median_by_ranges(numbers, groups, "_tally_value", name), groups, "left")
     result = result.select(*[col(c) for c in (*groups, *names)])
     if isinstance(func, str) and isinstance(result.schema["value"].dataType, T.NumericType):
         result = result.withColumn("value", F.col("value").cast("double"))
@@ -133,13 +135,13 @@ def group_agg(
 
 
 def _aggregate(func: str, dtype: T.DataType, n_order: int) -> Column:
-    value = F.col("_value")
+    value = F.col("_tally_value")
     if func in NUMERIC:
         return NUMERIC[func](_as_number(dtype, value))
     if func in TRUTH:
         return TRUTH[func](_truth(dtype, value))
     if func in ORDERED:
-        order = F.struct(*[F.col(f"_order{i}") for i in range(n_order)])
+        order = F.struct(*[F.col(f"_tally_order{i}") for i in range(n_order)])
         return ORDERED[func](value, F.when(value.isNotNull(), order))
     if func in MEDIAN:
         return F.median(_as_number(dtype, value))
@@ -148,7 +150,7 @@ def _aggregate(func: str, dtype: T.DataType, n_order: int) -> Column:
 
 def _needs_ranges(rows: DataFrame, groups: Sequence[str]) -> bool:
     """Whether some group is too large for the built-in median (one small job)."""
-    sizes = rows.groupBy(*[col(g) for g in groups]).agg(F.count("_value").alias("n"))
+    sizes = rows.groupBy(*[col(g) for g in groups]).agg(F.count("_tally_value").alias("n"))
     largest = sizes.agg(F.max("n").alias("n")).first()["n"]
     return largest is not None and largest > SMALL_GROUP
 

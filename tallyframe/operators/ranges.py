@@ -15,15 +15,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyframe.functions.missing import col
 from tallyframe.shared import cut_lineage
 
-RANGE = "_range"
+RANGE = "_tally_range"
 
 # Up to this many first rows are gathered in one task.
 SMALL_LIMIT = 100_000
 
 
 def number_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    ranged = df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id())
-    return cut_lineage(ranged)
+    """The rows with the number of their range, fixed by a checkpoint.
+
+    The scanned split a row comes from is the last sort column: rows that are equal in
+    all others can then lie in several ranges, so that no value, however frequent,
+    makes a range larger than the rest. It is the same when a task is run again.
+    """
+    split = df.withColumn("_tally_split", F.spark_partition_id())
+    ranged = split.repartitionByRange(*order, "_tally_split").drop("_tally_split")
+    return cut_lineage(ranged.withColumn(RANGE, F.spark_partition_id()))
 
 
 def with_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -33,14 +40,14 @@ def with_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFra
     and the rows of one range.
     """
     ranged = number_ranges(df, order)
-    starts = ranged.groupBy(RANGE).agg(F.count("*").alias("_size"))
+    starts = ranged.groupBy(RANGE).agg(F.count("*").alias("_tally_size"))
     earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(RANGE, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    starts = starts.select(RANGE, F.coalesce(F.sum("_tally_size").over(earlier), F.lit(0)).alias("_tally_start"))
     place = F.row_number().over(Window.partitionBy(RANGE).orderBy(*order))
     return (
         ranged.join(F.broadcast(starts), RANGE)
-        .withColumn(name, F.col("_start") + place)
-        .drop(RANGE, "_start")
+        .withColumn(name, F.col("_tally_start") + place)
+        .drop(RANGE, "_tally_start")
     )
 
 
@@ -54,8 +61,8 @@ def first_rows(df: DataFrame, order: Sequence[Column], limit: int | None) -> Dat
         return df.orderBy(*order)
     if limit <= SMALL_LIMIT:
         return df.orderBy(*order).limit(limit)
-    placed = with_positions(df, order, "_position").where(F.col("_position") <= limit)
-    return placed.orderBy("_position").drop("_position")
+    placed = with_positions(df, order, "_tally_position").where(F.col("_tally_position") <= limit)
+    return placed.orderBy("_tally_position").drop("_tally_position")
 
 
 def median_by_ranges(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -67,23 +74,23 @@ def median_by_ranges(df: DataFrame, keys: Sequence[str], value: str, out: str) -
     """
     names = [*keys, value]
     columns = [col(n) for n in names]
-    weighted = df.where(col(value).isNotNull()).groupBy(*columns).agg(F.count("*").alias("_weight"))
+    weighted = df.where(col(value).isNotNull()).groupBy(*columns).agg(F.count("*").alias("_tally_weight"))
     ranged = number_ranges(weighted, columns)
 
     group = Window.partitionBy(*[col(k) for k in keys])
     before = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(*[col(k) for k in keys], RANGE).agg(F.sum("_weight").alias("_size"))
-    sizes = sizes.withColumn("_total", F.sum("_size").over(group)).withColumn(
-        "_before", F.coalesce(F.sum("_size").over(before), F.lit(0))
+    sizes = ranged.groupBy(*[col(k) for k in keys], RANGE).agg(F.sum("_tally_weight").alias("_tally_size"))
+    sizes = sizes.withColumn("_tally_total", F.sum("_tally_size").over(group)).withColumn(
+        "_tally_before", F.coalesce(F.sum("_tally_size").over(before), F.lit(0))
     )
-    low, high = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
-    middle = sizes.where((F.col("_before") < high) & (F.col("_before") + F.col("_size") >= low))
+    low, high = F.expr("(_tally_total + 1) div 2"), F.expr("_tally_total div 2 + 1")
+    middle = sizes.where((F.col("_tally_before") < high) & (F.col("_tally_before") + F.col("_tally_size") >= low))
 
     inside = Window.partitionBy(*[col(k) for k in keys], RANGE).orderBy(col(value))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = ranged.join(middle, [*keys, RANGE]).withColumn(
-        "_until", F.col("_before") + F.sum("_weight").over(inside)
+        "_tally_until", F.col("_tally_before") + F.sum("_tally_weight").over(inside)
     )
-    picked = picked.where((F.col("_until") - F.col("_weight") < high) & (F.col("_until") >= low))
+    picked = picked.where((F.col("_tally_until") - F.col("_tally_weight") < high) & (F.col("_tally_until") >= low))
     halves = F.min(col(value)).cast("double") * 0.5 + F.max(col(value)).cast("double") * 0.5
     return picked.groupBy(*[col(k) for k in keys]).agg(halves.alias(out))

@@ -57,12 +57,15 @@ def group_series(grouped: DataFrame) -> DataFrame:
     """
     keys = [c for c in grouped.columns if c != "value"]
     label = col(keys[0]) if len(keys) == 1 else F.concat_ws(", ", *[col(k) for k in keys])
-    order = [F.col("value").desc_nulls_last(), *[col(k) for k in keys]]
-    top = grouped.orderBy(*order).limit(ALL_GROUPS_UP_TO + 1)
+    rows = grouped.select(
+        label.cast("string").alias("label"), "value", F.struct(*[col(k) for k in keys]).alias("keys")
+    )
+    order = [F.col("value").desc_nulls_last(), F.col("keys")]
+    top = rows.orderBy(*order).limit(ALL_GROUPS_UP_TO + 1)
     top = top.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
-    top = top.withColumn("_n", F.count("*").over(Window.partitionBy()))
-    kept = top.where((F.col("_n") <= ALL_GROUPS_UP_TO) | (F.col("ordinal") <= TOP_GROUPS))
-    return kept.select("ordinal", label.cast("string").alias("label"), "value")
+    top = top.withColumn("n", F.count("*").over(Window.partitionBy()))
+    kept = top.where((F.col("n") <= ALL_GROUPS_UP_TO) | (F.col("ordinal") <= TOP_GROUPS))
+    return kept.select("ordinal", "label", "value")
 
 
 def sort_series(
@@ -71,9 +74,9 @@ def sort_series(
     """``target`` against ``value`` in the order of a ``sort_limit`` result."""
     key = present(sorted_rows, target)
     rows = sorted_rows.select(
-        key.alias("_key"), key.cast("string").alias("label"), present(sorted_rows, value).alias("value")
+        key.alias("key"), key.cast("string").alias("label"), present(sorted_rows, value).alias("value")
     )
-    order = [F.col("_key").asc_nulls_last() if ascending else F.col("_key").desc_nulls_last()]
+    order = [F.col("key").asc_nulls_last() if ascending else F.col("key").desc_nulls_last()]
     order.append(F.col("value").asc_nulls_last())
     if bounded:
         numbered = rows.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
@@ -86,9 +89,9 @@ def sort_series(
 
 def first_labels(rows: DataFrame, target: str, ascending: bool) -> DataFrame:
     """First distinct labels of rows sorted by ``target``, as ``label``."""
-    distinct = rows.select(present(rows, target).alias("_key")).distinct()
-    order = F.col("_key").asc_nulls_last() if ascending else F.col("_key").desc_nulls_last()
-    return distinct.orderBy(order).limit(LABELS_LOOKED_AT).select(F.col("_key").cast("string").alias("label"))
+    distinct = rows.select(present(rows, target).alias("key")).distinct()
+    order = F.col("key").asc_nulls_last() if ascending else F.col("key").desc_nulls_last()
+    return distinct.orderBy(order).limit(LABELS_LOOKED_AT).select(F.col("key").cast("string").alias("label"))
 
 
 def with_share(series: DataFrame, bounded: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import tallyframe as tf
 from tallyframe.operators import groups
-from tallyframe.operators.ranges import first_rows, median_by_ranges, with_positions
+from tallyframe.operators.ranges import RANGE, first_rows, median_by_ranges, number_ranges, with_positions
 
 ROWS = [
     ("a", 1.0, "x"),
@@ -213,6 +213,22 @@ def test_positions_and_large_limits(spark, monkeypatch):
     assert first_rows(df, order, 700).collect() == rows[:700]
 
 
+def test_equal_rows_are_spread_over_ranges(spark):
+    """A third of the rows are the same, and still no range holds them all."""
+    value = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    df = spark.range(0, 60_000, 1, 12).select(value.alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = number_ranges(df, [F.asc("v")])
+        sizes = [r["count"] for r in ranged.groupBy(RANGE).count().collect()]
+        placed = with_positions(df, [F.asc("v")], "p").orderBy("p").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 12_000
+    assert [r["p"] for r in placed] == list(range(1, 60_001))
+    assert [r["v"] for r in placed] == sorted(r["v"] for r in df.collect())
+
+
 def test_nan_to_null(spark):
     df = spark.createDataFrame([(1, float("nan"), np.float32("nan").item()), (2, 1.0, 2.0)], "i int, d double, f float")
     rows = tf.nan_to_null(df).orderBy("i").collect()
