@@ -10,11 +10,16 @@ from tallyframe.functions.missing import col, is_text, present, type_of
 from tallyframe.functions.text import first_number
 from tallyframe.operators.ranges import median_by_ranges
 from tallyframe.operators.rules import column_follows
+from tallyframe.shared import cut_lineage
 
 # Up to this many values in the largest group, the built-in median, which keeps the
 # distinct values of a group in memory, is safe and quicker.
 SMALL_GROUP = 100_000
 
+# Up to this many larger groups are kept apart from the rest by a broadcast of their
+# keys.
+LARGE_GROUPS = 1000
+
 
 def _skew(c: Column) -> Column:
     """Sample skewness, corrected for bias; needs three values."""
@@ -117,17 +122,13 @@ def group_agg(
         rows = rows.where(col(g).isNotNull())
 
     names = ["value"] if isinstance(func, str) else [f"{f}_value" for f in funcs]
-    plain, exact_medians = [], []
-    for f, name in zip(funcs, names):
-        if f in MEDIAN and not approximate and _needs_ranges(rows, groups):
-            exact_medians.append(name)
-        else:
-            plain.append(_aggregate(f, dtype, len(order)).alias(name))
-    grouped = rows.groupBy(*[col(g) for g in groups])
-    result = grouped.agg(*plain) if plain else rows.select(*[col(g) for g in groups]).distinct()
-    for name in exact_medians:
-        numbers = rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value")))
-        result = result.join(median_by_ranges(numbers, groups, "_tally_value", name), groups, "left")
+    medians = [n for f, n in zip(funcs, names) if f in MEDIAN and not approximate]
+    plain = [_aggregate(f, dtype, len(order)).alias(n) for f, n in zip(funcs, names) if n not in medians]
+    result = rows.groupBy(*[col(g) for g in groups]).agg(*plain) if plain else None
+    if medians:
+        exact = _medians(rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value"))), groups)
+        exact = exact.select(*[col(g) for g in groups], *[F.col("_tally_median").alias(n) for n in medians])
+        result = exact if result is None else result.join(exact, groups)
     result = result.select(*[col(c) for c in (*groups, *names)])
     if isinstance(func, str) and isinstance(result.schema["value"].dataType, T.NumericType):
         result = result.withColumn("value", F.col("value").cast("double"))
@@ -144,15 +145,30 @@ def _aggregate(func: str, dtype: T.DataType, n_order: int) -> Column:
         order = F.struct(*[F.col(f"_tally_order{i}") for i in range(n_order)])
         return ORDERED[func](value, F.when(value.isNotNull(), order))
     if func in MEDIAN:
-        return F.median(_as_number(dtype, value))
+        return F.percentile_approx(_as_number(dtype, value), 0.5)
     return ANY_TYPE[func](value)
 
 
-def _needs_ranges(rows: DataFrame, groups: Sequence[str]) -> bool:
-    """Whether some group is too large for the built-in median (one small job)."""
-    sizes = rows.groupBy(*[col(g) for g in groups]).agg(F.count("_tally_value").alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
-    return largest is not None and largest > SMALL_GROUP
+def _medians(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Exact median of ``_tally_value`` for every group.
+
+    One small job measures the groups. A few large ones are taken out and handled by
+    ranges; with many of them everything is.
+    """
+    keys = [col(g) for g in groups]
+    sizes = rows.groupBy(*keys).agg(F.count("_tally_value").alias("_tally_size"))
+    large = sizes.where(F.col("_tally_size") > SMALL_GROUP).select(*keys)
+    n_large = large.count()
+    built_in = F.median("_tally_value").alias("_tally_median")
+    if n_large == 0:
+        return rows.groupBy(*keys).agg(built_in)
+    if n_large > LARGE_GROUPS:
+        by_ranges = median_by_ranges(rows, groups, "_tally_value", "_tally_median")
+        return sizes.select(*keys).join(by_ranges, groups, "left")
+    apart = F.broadcast(cut_lineage(large))
+    by_ranges = median_by_ranges(rows.join(apart, groups, "left_semi"), groups, "_tally_value", "_tally_median")
+    rest = rows.join(apart, groups, "left_anti").groupBy(*keys).agg(built_in)
+    return by_ranges.unionByName(rest)
 
 
 def order_groups(grouped: DataFrame) -> DataFrame:

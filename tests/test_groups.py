@@ -137,6 +137,8 @@ def test_median_of_a_hot_group(spark, monkeypatch):
     assert by_key(median_by_ranges(df, ["key"], "v", "value")) == expected
     assert by_key(tf.group_agg(df, "key", "v", "median")) == expected
     monkeypatch.setattr(groups, "SMALL_GROUP", 1000)
+    assert by_key(tf.group_agg(df, "key", "v", "median")) == expected
+    monkeypatch.setattr(groups, "LARGE_GROUPS", 0)
     both = tf.group_agg(df, "key", "v", ["median", "count"])
     assert by_key(both, "median_value") == expected
     assert sum(by_key(both, "count_value").values()) == df.where("v is not null").count()
@@ -150,8 +152,10 @@ def test_median_by_ranges_edges(spark):
     assert by_key(median_by_ranges(df, ["key"], "v", "value")) == {"a": 2.5, "b": 2.0, "d": 5.5}
 
 
-def test_median_keeps_empty_groups(spark, monkeypatch):
+@pytest.mark.parametrize("large", [0, 1000])
+def test_median_keeps_empty_groups(spark, monkeypatch, large):
     monkeypatch.setattr(groups, "SMALL_GROUP", 0)
+    monkeypatch.setattr(groups, "LARGE_GROUPS", large)
     df = spark.createDataFrame([("a", 1), ("a", 4), ("b", None)], "k string, v int")
     assert by_key(tf.group_agg(df, "k", "v", "median")) == {"a": 2.5, "b": None}
 

@@ -91,6 +91,9 @@ def test_large_groups_do_not_use_the_built_in_median(spark, monkeypatch):
     small = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", "median"))
     assert "median(" in small or "percentile(" in small
     monkeypatch.setattr(groups, "SMALL_GROUP", 10)
+    apart = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", "median"))
+    assert "LeftAnti" in apart and "Scan ExistingRDD" in apart
+    monkeypatch.setattr(groups, "LARGE_GROUPS", 0)
     large = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", "median"))
     assert "median(" not in large and "percentile(" not in large and "Scan ExistingRDD" in large
 
