@@ -29,7 +29,7 @@ def value_counts(
     ``"auto"`` looks at the column first (one aggregate job, text columns only).
     """
     counted = count_values(df, column, choose_split(df, column, split), name)
-    return first_rows(counted, [F.desc("count"), F.asc(name)], value_limit(limit))
+    return first_rows(counted, [(F.col("count"), False), (F.col(name), True)], value_limit(limit))
 
 
 def value_limit(limit: int | None) -> int:

@@ -28,14 +28,15 @@ def sort_limit(
         raise ValueError(f"negative limit {limit}")
     names = [columns] if isinstance(columns, str) else list(columns or df.columns[:1])
     ties = df.columns[:1] if tie_break is None else tie_break
-    keys = [present(df, n).asc_nulls_last() if ascending else present(df, n).desc_nulls_last() for n in names]
-    keys += [present(df, t).asc_nulls_last() for t in ties if t not in names]
-    return first_rows(df, keys, limit)
+    order = [(present(df, n), ascending) for n in names]
+    order += [(present(df, t), True) for t in ties if t not in names]
+    return first_rows(df, order, limit)
 
 
 def sample_rows(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
     """Any ``n`` rows, or the first ``n`` in a given order."""
     if n < 0:
         raise ValueError(f"negative limit {n}")
-    ordered = df.orderBy(*[present(df, o).asc_nulls_last() for o in order_by]) if order_by else df
-    return ordered.limit(n)
+    if not order_by:
+        return df.limit(n)
+    return first_rows(df, [(present(df, o), True) for o in order_by], n)

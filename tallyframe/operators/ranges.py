@@ -20,6 +20,9 @@ RANGE = "_tally_range"
 # Up to this many first rows are gathered in one task.
 SMALL_LIMIT = 100_000
 
+# Sampled rows that a large limit should hold.
+SAMPLE_HITS = 10_000
+
 
 def number_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The rows with the number of their range, fixed by a checkpoint.
@@ -51,18 +54,42 @@ def with_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFra
     )
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+def sort_columns(order: Sequence[tuple[Column, bool]]) -> list[Column]:
+    """Sort columns from (column, ascending) pairs, missing values always last."""
+    return [c.asc_nulls_last() if ascending else c.desc_nulls_last() for c, ascending in order]
+
+
+def first_rows(df: DataFrame, order: Sequence[tuple[Column, bool]], limit: int | None) -> DataFrame:
     """Rows in order, cut at ``limit``.
 
     A small limit is a top-k in every task and one merge. Beyond that the merge
-    would hold the whole result, so rows are taken by their position.
+    would hold the whole result, so rows are taken by their position, among those
+    that can be in the result at all.
     """
+    columns = sort_columns(order)
     if limit is None:
-        return df.orderBy(*order)
+        return df.orderBy(*columns)
     if limit <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(limit)
-    placed = with_positions(df, order, "_tally_position").where(F.col("_tally_position") <= limit)
-    return placed.orderBy("_tally_position").drop("_tally_position")
+        return df.orderBy(*columns).limit(limit)
+    placed = with_positions(_candidates(df, order[0], limit), columns, "_tally_position")
+    return placed.where(F.col("_tally_position") <= limit).orderBy("_tally_position").drop("_tally_position")
+
+
+def _candidates(df: DataFrame, first: tuple[Column, bool], limit: int) -> DataFrame:
+    """Rows up to a bound on the first sort column that at least ``limit`` rows meet.
+
+    A sample proposes the bound, placed to leave twice the rows needed, and a count of
+    the rows that meet it confirms it. Without a confirmed bound all rows stay.
+    """
+    key, ascending = first
+    sampled = df.select(key.alias("key")).sample(min(1.0, SAMPLE_HITS / limit), seed=1)
+    top = sampled.orderBy(*sort_columns([(F.col("key"), ascending)])).limit(2 * SAMPLE_HITS)
+    last = F.max("key") if ascending else F.min("key")
+    n, present, bound = top.agg(F.count("*"), F.count("key"), last).first()
+    if n < 2 * SAMPLE_HITS or present < n:
+        return df
+    kept = df.where(key <= F.lit(bound) if ascending else key >= F.lit(bound))
+    return kept if kept.count() >= limit else df
 
 
 def median_by_ranges(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import tallyframe as tf
-from tallyframe.operators import groups
-from tallyframe.operators.ranges import RANGE, first_rows, median_by_ranges, number_ranges, with_positions
+from tallyframe.operators import groups, ranges
+from tallyframe.operators.ranges import RANGE, first_rows, median_by_ranges, number_ranges, sort_columns, with_positions
 
 ROWS = [
     ("a", 1.0, "x"),
@@ -209,12 +209,29 @@ def test_sample_rows(table):
 
 def test_positions_and_large_limits(spark, monkeypatch):
     df = spark.range(5000).select(((F.col("id") * 48271) % 4999).alias("v"), "id")
-    order = [F.desc("v"), F.asc("id")]
-    placed = with_positions(df, order, "p").orderBy("p").collect()
+    order = [(F.col("v"), False), (F.col("id"), True)]
+    placed = with_positions(df, sort_columns(order), "p").orderBy("p").collect()
     rows = sorted(df.collect(), key=lambda r: (-r["v"], r["id"]))
     assert [(r["v"], r["id"], r["p"]) for r in placed] == [(r["v"], r["id"], i + 1) for i, r in enumerate(rows)]
-    monkeypatch.setattr("tallyframe.operators.ranges.SMALL_LIMIT", 10)
+    monkeypatch.setattr(ranges, "SMALL_LIMIT", 10)
     assert first_rows(df, order, 700).collect() == rows[:700]
+    monkeypatch.setattr(ranges, "SAMPLE_HITS", 100)
+    assert first_rows(df, order, 700).collect() == rows[:700]
+    assert 700 <= ranges._candidates(df, order[0], 700).count() < 3000
+    assert first_rows(df, order, 4990).collect() == rows[:4990]
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_large_limits_with_missing_and_equal_values(spark, monkeypatch, ascending):
+    monkeypatch.setattr(ranges, "SMALL_LIMIT", 10)
+    monkeypatch.setattr(ranges, "SAMPLE_HITS", 40)
+    value = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 3 == 0, 50.0).otherwise(F.col("id") % 100)
+    df = spark.range(4000).select("id", value.alias("v"))
+    for limit in (500, 3000, 3500, 10_000):
+        got = tf.sort_limit(df, "v", ascending, limit).collect()
+        monkeypatch.setattr(ranges, "SMALL_LIMIT", 10**6)
+        assert got == tf.sort_limit(df, "v", ascending, limit).collect()
+        monkeypatch.setattr(ranges, "SMALL_LIMIT", 10)
 
 
 def test_equal_rows_are_spread_over_ranges(spark):
