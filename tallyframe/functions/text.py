@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
     character is done; only others are checked against the full list.
     """
     text = F.trim(text)
-    visible = F.ascii(text).between(33, 126) & F.right(text, F.lit(1)).between("!", "~")
+    visible = (text >= "!") & (text < "\x7f") & F.right(text, F.lit(1)).between("!", "~")
     return F.when(visible, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
 
 
