@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # All characters that count as white space when a text is stripped.
 WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -15,6 +15,34 @@ FIRST_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 NUMBER_WITH_UNIT = r"^[0-9]+(\.[0-9]+)?(?U:[\s\x1c-\x1f]*)[a-zA-Z]"
 
 
+def text_form(value: Column, dtype: T.DataType) -> Column:
+    """Text that a value is searched by and labelled with.
+
+    Booleans are ``True`` and ``False``, and doubles are written out from 0.0001 to
+    1e16, the same forms that equality takes. Other types have Spark's text.
+    """
+    if isinstance(dtype, T.BooleanType):
+        return F.when(value, "True").when(~value, "False")
+    if not isinstance(dtype, T.DoubleType):
+        return value.cast("string")
+    text, size = value.cast("string"), F.abs(value)
+    digits = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    written_out = F.regexp_replace(digits, r"\.$", ".0")
+    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
+    exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    sign = F.when(exponent < 0, "e-").otherwise("e+")
+    power = F.abs(exponent).cast("string")
+    scientific = F.concat(mantissa, sign, F.when(F.length(power) < 2, "0").otherwise(""), power)
+    infinite = F.when(value > 0, "inf").otherwise("-inf")
+    return (
+        F.when(value.isNull() | F.isnan(value), F.lit(None).cast("string"))
+        .when(size.between(0.001, 9999999.0) | (size == 0), text)
+        .when(size == float("inf"), infinite)
+        .when((size >= 0.0001) & (size < 1e16), written_out)
+        .otherwise(scientific)
+    )
+
+
 def strip(text: Column) -> Column:
     """Both ends without white space of any kind.
 

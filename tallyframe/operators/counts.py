@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.missing import is_text, present
-from tallyframe.functions.text import explode_list
+from tallyframe.functions.text import explode_list, text_form
 from tallyframe.operators.ranges import first_rows
 from tallyframe.operators.rules import column_follows
 
@@ -56,7 +56,8 @@ def count_values(df: DataFrame, column: str, split: bool = False, name: str = "v
     else:
         rows = df.select(value.alias(name)).where(F.col(name).isNotNull())
     counted = rows.groupBy(name).agg(F.count("*").alias("count"))
-    return counted.select(F.col(name).cast("string").alias(name), "count")
+    dtype = counted.schema[name].dataType
+    return counted.select(text_form(F.col(name), dtype).alias(name), "count")
 
 
 def total_values(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:

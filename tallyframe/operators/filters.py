@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.dates import best_format, formats_found, parse_any
 from tallyframe.functions.literals import equals_text
-from tallyframe.functions.missing import is_text, present, raw, type_of
+from tallyframe.functions.missing import is_text, raw, type_of
+from tallyframe.functions.text import text_form
 
 CALENDAR = (T.DateType, T.TimestampType, T.TimestampNTZType)
 REGEX_SIGNS = frozenset(".^$*+?{}[]\\|()")
@@ -21,8 +22,7 @@ SPECIAL_CASE_LETTERS = frozenset("isIS")
 
 def contains(df: DataFrame, column: str, value: object) -> Column:
     """Case-insensitive regular-expression search in the text form of a column."""
-    text = raw(df, column) if is_text(df, column) else present(df, column).cast("string")
-    return search(text, str(value))
+    return search(text_form(raw(df, column), type_of(df, column)), str(value))
 
 
 def search(text: Column, pattern: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.missing import col, present, type_of
-from tallyframe.functions.text import INTEGER_TEXT
+from tallyframe.functions.text import INTEGER_TEXT, text_form
 from tallyframe.operators.ranges import with_positions
 
 # Fixed names and numbers.
@@ -56,9 +56,9 @@ def group_series(grouped: DataFrame) -> DataFrame:
     One top-k tells both cases apart, and the windows see at most 21 rows.
     """
     keys = [c for c in grouped.columns if c != "value"]
-    label = col(keys[0]) if len(keys) == 1 else F.concat_ws(", ", *[col(k) for k in keys])
+    label = F.concat_ws(", ", *[text_form(col(k), type_of(grouped, k)) for k in keys])
     rows = grouped.select(
-        label.cast("string").alias("label"), "value", F.struct(*[col(k) for k in keys]).alias("keys")
+        label.alias("label"), "value", F.struct(*[col(k) for k in keys]).alias("keys")
     )
     order = [F.col("value").desc_nulls_last(), F.col("keys")]
     top = rows.orderBy(*order).limit(ALL_GROUPS_UP_TO + 1)
@@ -74,7 +74,7 @@ def sort_series(
     """``target`` against ``value`` in the order of a ``sort_limit`` result."""
     key = present(sorted_rows, target)
     rows = sorted_rows.select(
-        key.alias("key"), key.cast("string").alias("label"), present(sorted_rows, value).alias("value")
+        key.alias("key"), text_form(key, type_of(sorted_rows, target)).alias("label"), present(sorted_rows, value).alias("value")
     )
     order = [F.col("key").asc_nulls_last() if ascending else F.col("key").desc_nulls_last()]
     order.append(F.col("value").asc_nulls_last())
@@ -91,7 +91,9 @@ def first_labels(rows: DataFrame, target: str, ascending: bool) -> DataFrame:
     """First distinct labels of rows sorted by ``target``, as ``label``."""
     distinct = rows.select(present(rows, target).alias("key")).distinct()
     order = F.col("key").asc_nulls_last() if ascending else F.col("key").desc_nulls_last()
-    return distinct.orderBy(order).limit(LABELS_LOOKED_AT).select(F.col("key").cast("string").alias("label"))
+    return distinct.orderBy(order).limit(LABELS_LOOKED_AT).select(
+        text_form(F.col("key"), type_of(rows, target)).alias("label")
+    )
 
 
 def with_share(series: DataFrame, bounded: bool = True) -> DataFrame:
