@@ -46,12 +46,27 @@ def java_pattern(pattern: str) -> str:
     """The pattern with named groups in Java's spelling and Unicode case folding.
 
     ``d`` keeps ``.``, ``^`` and ``$`` to line feeds only; ``U`` makes ``\\w`` and its
-    kin cover Unicode, and is only set where one occurs.
+    kin cover Unicode, and is only set where one occurs. White space also takes in the
+    four separator control characters.
     """
     body = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    if "\\s" in body or "\\S" in body:
+        body = _with_separators(body)
     return ("(?iudU)" if "\\" in pattern else "(?iud)") + body
 
 
+def _with_separators(pattern: str) -> str:
+    parts, inside = [], False
+    for part in re.findall(r"\\.|.", pattern, re.DOTALL):
+        inside = part == "[" or (inside and part != "]")
+        if part == r"\s":
+            part = r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]"
+        elif part == r"\S" and not inside:
+            part = r"[^\s\x1c-\x1f]"
+        parts.append(part)
+    return "".join(parts)
+
+
 def equals(df: DataFrame, column: str, value: object) -> Column:
     return equals_text(raw(df, column), type_of(df, column), value)
 

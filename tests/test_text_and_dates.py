@@ -51,6 +51,10 @@ def test_search(spark, values, pattern):
         ("this", "ıs thıſ", True),
         ("(?P<a>b)(?P=a)", "aBb", True),
         ("a.c", "a\rc", True),
+        (r"a\sb", "a\x1cb", True),
+        (r"a[\s,]b", "a\x1fb", True),
+        (r"a[^\s]b", "a\x1cb", False),
+        (r"a\Sb", "a\x1cb", False),
         ("a.c", "a\nc", False),
     ],
 )
