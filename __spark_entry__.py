@@ -8,6 +8,7 @@ the query, in the same way on both sides.
 
 from __future__ import annotations
 
+import importlib
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -760,3 +761,22 @@ def json_round_trip(spark, sf_dir):
     path = fresh_path(spark, "json")
     tf.write_json(rows, path)
     return spark.read.schema(rows.schema).json(path)
+
+
+# ---------------------------------------------------------------- training-data operators
+
+
+def add_llm_queries() -> None:
+    """Register the queries of ``tallyframe.llm`` and the pipeline, where they are there."""
+    for module in ("tallyframe.llm.queries", "corpus_pipeline"):
+        try:
+            found = importlib.import_module(module)
+        except ModuleNotFoundError as error:
+            if error.name is None or error.name.split(".")[0] not in ("tallyframe", "corpus_pipeline"):
+                raise
+            continue
+        QUERIES.update(found.QUERIES)
+        ORACLES.update(found.ORACLES)
+
+
+add_llm_queries()
