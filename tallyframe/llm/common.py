@@ -72,7 +72,8 @@ def pa_type(kind) -> pa.DataType:
 
 def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
     """Texts of an Arrow string column as UTF-8, one at a time."""
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_string(column.type) else column.view(pa.large_binary())
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     return (value.as_py() for value in column)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyframe.llm.common import table
 
-SAMPLES = 24
+SAMPLES = 32
 #: Rows that one bucket of neighbouring ids aims at, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS, MOST_BOUNDS = 256, 100_000, 500
 WORDS = r"\s+"

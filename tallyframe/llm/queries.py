@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.bpe import op6_bpe
 from tallyframe.llm.fingerprints import op8_fingerprints
+from tallyframe.llm.language import op5_language
+from tallyframe.llm.licenses import op10_licenses
+from tallyframe.llm.quality import op3_quality
 from tallyframe.llm.sharding import op7_sharding
 from tallyframe.llm.simhash import op1_simhash
+from tallyframe.llm.token_counts import op2_token_counts
+from tallyframe.llm.warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_sharding, op8_fingerprints)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_token_counts, op3_quality, op5_language, op6_bpe, op7_sharding, op8_fingerprints, op9_warc,
+        op10_licenses,
+    )
+}
 ORACLES: dict[str, str] = {}
