@@ -214,7 +214,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     chosen = slim.select("lang", "doc_id").limit(per_language * MOST_LANGUAGES)
     found = (
         rows.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])
-        .dropDuplicates(["lang", "doc_id"]).orderBy("doc_id", "lang").collect()
+        .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").collect()
     )
     languages = tuple(sorted({r.lang for r in found}))
     if not languages:
@@ -222,11 +222,11 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     return train([(r.text.encode(), languages.index(r.lang)) for r in found], languages)
 
 
-def with_languages(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``lang_pred`` and ``score``."""
+def with_languages(docs: DataFrame, model: Model, text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs``, the language and its score under ``names``."""
     parts = (model.languages, model.weights, model.lexicon, model.listed, model.transitions)
     shared = docs.sparkSession.sparkContext.broadcast(parts)  # their size is fixed by the table and the languages
-    added = StructType([StructField("lang_pred", StringType(), False), StructField("score", DoubleType(), False)])
+    added = StructType([StructField(names[0], StringType(), False), StructField(names[1], DoubleType(), False)])
     return with_columns(docs, text_column, added, lambda texts: list(Model(*shared.value).predict(texts)))
 
 

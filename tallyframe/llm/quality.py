@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     )
     texts = (
         docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-        .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")
+        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

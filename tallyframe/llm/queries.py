@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyframe.llm.bpe import op6_bpe
+from tallyframe.llm.decontamination import op4_decontamination
 from tallyframe.llm.fingerprints import op8_fingerprints
 from tallyframe.llm.language import op5_language
 from tallyframe.llm.licenses import op10_licenses
@@ -15,8 +16,8 @@ from tallyframe.llm.warc import op9_warc
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_token_counts, op3_quality, op5_language, op6_bpe, op7_sharding, op8_fingerprints, op9_warc,
-        op10_licenses,
+        op1_simhash, op2_token_counts, op3_quality, op4_decontamination, op5_language, op6_bpe, op7_sharding,
+        op8_fingerprints, op9_warc, op10_licenses,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyframe.llm.common import map_batches, settle, table
+from tallyframe.llm.common import map_batches, settle, table, with_columns
 from tallyframe.llm.components import components, stars
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 4, 4
@@ -28,6 +29,8 @@ PAIR_COST = 0.03
 #: Fingerprints with one key that are compared pair by pair; more are linked by `midpoints`.
 RUN_LIMIT = 4096
 SHINGLES_AT_ONCE = 1 << 16
+#: Rows of 24 bytes that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -239,7 +242,7 @@ def midpoints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     def flips(most: int) -> list[int]:
         made = [sum(1 << b for b in chosen) for k in range(most + 1) for chosen in combinations(range(BITS), k)]
-        return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in made]
+        return [signed(m) for m in made]
 
     def around(most: int) -> DataFrame:
         values = F.array(*map(F.lit, flips(most))) if most < 2 else F.concat(
@@ -265,7 +268,7 @@ def link_prints(prints: DataFrame, distance: int = DISTANCE, run_limit: int = RU
     """
     n, both = bit_counts(prints)
     plan = search_plan(n, both, distance)
-    masks = [mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask for group in plan for mask in group.masks()]
+    masks = [signed(mask) for group in plan for mask in group.masks()]
     listed = F.posexplode(F.array(*map(F.lit, masks)).cast("array<bigint>")).alias("at", "mask")
     keyed = prints.select("print", listed).select(F.xxhash64("at", F.col("print").bitwiseAND(F.col("mask"))).alias("key"), "print")
     crowded = settle(keyed.groupBy("key").count().where(F.col("count") > run_limit).select("key"), "crowded")
@@ -277,6 +280,18 @@ def link_prints(prints: DataFrame, distance: int = DISTANCE, run_limit: int = RU
     return links
 
 
+def grouped_prints(docs: DataFrame, id_column: str, text_column: str, shingle: int, distance: int, run_limit: int) -> DataFrame:
+    """``doc_id``, ``print``, ``root`` (a fingerprint that names the group) and ``component_id`` of every row."""
+    prints = settle(fingerprints(docs, id_column, text_column, shingle), "prints")
+    firsts = settle(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    roots = components(link_prints(firsts.select("print"), distance, run_limit))
+    rooted = firsts.join(roots, F.col("print") == F.col("node"), "left").select(
+        "print", "first", F.coalesce("root", "print").alias("root")
+    )
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.join(smallest, "root").select("print", "root", "component_id"), "print")
+
+
 def simhash_groups(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     shingle: int = SHINGLE, distance: int = DISTANCE, run_limit: int = RUN_LIMIT,
@@ -290,17 +305,45 @@ def simhash_groups(
     as they come; a null id is never the smallest, and a component of null ids only has a
     null id. An empty table gives an empty result.
     """
-    prints = settle(fingerprints(docs, id_column, text_column, shingle), "prints")
-    firsts = settle(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    roots = components(link_prints(firsts.select("print"), distance, run_limit))
-    rooted = firsts.join(roots, F.col("print") == F.col("node"), "left").select(
-        "print", "first", F.coalesce("root", "print").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("print", "component_id")
-    return prints.join(named, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    found = grouped_prints(docs, id_column, text_column, shingle, distance, run_limit)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    shingle: int = SHINGLE, distance: int = DISTANCE, run_limit: int = RUN_LIMIT,
+) -> DataFrame:
+    """The rows of ``docs``, one of each group: that with the smallest id.
+
+    Rows that repeat an id and a fingerprint are told apart by nothing else, so one of them
+    stays. A row without an id stays only if its group has no row with one. The keys of the
+    rows to drop are broadcast up to `BROADCAST_ROWS` of them; more are joined by a shuffle.
+    """
+    found = grouped_prints(docs, id_column, text_column, shingle, distance, run_limit)
+    rows = found.groupBy("root", "doc_id", "print").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "print")).alias("best"))
+    judged = settle(
+        rows.join(best, "root").select(
+            F.col("doc_id").alias("_id"), F.col("print").alias("_key"), "n",
+            (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("print") == F.col("best.print"))).alias("stays"),
+        ),
+        "judged",
     )
+    added = StructType([StructField("_print", LongType(), False)])
+    printed = with_columns(docs, text_column, added, lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]])
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_key"))
+    apart = judged.where("not stays or n > 1")
+    small = apart.count() <= BROADCAST_ROWS
+    kept = printed.join(F.broadcast(apart) if small else apart, same, "left_anti")
+    repeated = judged.where("stays and n > 1").select("_id", "_key")
+    if not repeated.isEmpty():
+        again = printed.join(F.broadcast(repeated) if small else repeated, same, "left_semi")
+        kept = kept.unionByName(again.dropDuplicates([id_column, "_print"]))
+    return kept.select(*docs.columns)
+
+
+def signed(value: int) -> int:
+    return value - (1 << BITS) if value >= 1 << (BITS - 1) else value
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
