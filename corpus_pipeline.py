@@ -10,19 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import bpe, decontamination, language, quality, simhash
-from tallyframe.llm.common import settle, table
+from tallyframe.llm.common import fresh, settle, table
 
 #: Documents are kept from this probability of their language, and this score of quality, on.
 LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.5, quality.THRESHOLD
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name.lower() in map(str.lower, docs.columns):
-        name = f"_{name}"
-    return name
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that no known language fits."""
     names = (fresh(docs, "lang_pred"), fresh(docs, "score"))

@@ -64,6 +64,14 @@ def with_columns(df: DataFrame, column: str, added: StructType, function) -> Dat
     return map_batches(df, run, StructType([*kept, *added.fields]))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pa_type(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -167,6 +175,11 @@ def word_hashes(text: bytes | None, size: int = 1 << 20) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def hash_below(column: str, share: Column) -> Column:
+    """Whether the value's hash lies in the lowest ``share`` of all hashes: a sample that is the same in every run."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 31)) < share * float(1 << 31)
+
+
 def remainder(column: str | Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo ``divisor``: the folds of the classifiers."""
     value = F.col(column) if isinstance(column, str) else column

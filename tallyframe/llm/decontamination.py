@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tallyframe.llm.common import WORD_BYTES, as_bytes, mix, table, with_columns, word_hashes
+from tallyframe.llm.common import WORD_BYTES, as_bytes, fresh, mix, table, with_columns, word_hashes
 
 #: Words of an item for each edit that is allowed, sampled steps, recall aimed at.
 WORDS_PER_EDIT, SAMPLED, RECALL = 5, 3, 0.95
@@ -325,10 +325,11 @@ def searching(index: Index, ids: list):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that hold no item. Rows stay where they are; nothing is shuffled."""
-    added = StructType([StructField("_contaminated", BooleanType(), False)])
+    name = fresh(docs, "contaminated")
+    added = StructType([StructField(name, BooleanType(), False)])
     for _, words in item_blocks(benchmark, "item_id", "text"):
         docs = with_columns(docs, text_column, added, flagging(Index(tuple(words), repetitions_for(words, recall))))
-        docs = docs.where("not _contaminated").drop("_contaminated")
+        docs = docs.where(~F.col(name)).drop(name)
     return docs
 
 

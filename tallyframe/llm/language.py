@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tallyframe.llm.common import LETTER_BYTES, pieces, remainder, span_hashes, table, with_columns, word_spans
+from tallyframe.llm.common import LETTER_BYTES, hash_below, pieces, remainder, span_hashes, table, with_columns, word_spans
 
 #: Training texts of each language, the bytes of each, and the languages, at most.
 TRAIN_DOCS, TRAIN_BYTES, MOST_LANGUAGES = 300, 20_000, 200
@@ -200,25 +200,32 @@ def train(examples: list[tuple[bytes, int]], languages: tuple[str, ...], epochs:
     return Model(languages, weights.astype(np.float32), lexicon, listed, transitions)
 
 
+#: What is known without any training text.
+NOTHING = Model((), np.zeros((1, 0)), np.zeros(1, np.uint16), np.zeros((1, 0)), np.zeros((0, 0)))
+
+
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     """Learn from at most ``per_language`` texts of each language outside the held-out fold.
 
-    The rows of a language are cut to that number before they are shuffled. There may be
-    ``MOST_LANGUAGES`` languages, so that what comes to the driver is bounded.
+    A share of each language's ids by their hash, twice as many as are wanted, is cut to that
+    number, so that few rows come together however many the language has. The languages are
+    the ``MOST_LANGUAGES`` with the most texts.
     """
     rows = docs.where(remainder("doc_id", FOLDS) != HELD_OUT).where(
         (F.octet_length("text") <= TRAIN_BYTES) & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)
     )
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return NOTHING
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r["count"]))])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    slim = rows.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(order)).where(f"n <= {per_language}")
-    chosen = slim.select("lang", "doc_id").limit(per_language * MOST_LANGUAGES)
+    slim = rows.where(hash_below("doc_id", F.element_at(shares, F.col("lang")))).select("lang", "doc_id").distinct()
+    chosen = slim.withColumn("n", F.row_number().over(order)).where(f"n <= {per_language}").select("lang", "doc_id")
     found = (
         rows.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])
         .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").collect()
     )
     languages = tuple(sorted({r.lang for r in found}))
-    if not languages:
-        return Model((), np.zeros((1, 0)), np.zeros(1, np.uint16), np.zeros((1, 0)), np.zeros((0, 0)))
     return train([(r.text.encode(), languages.index(r.lang)) for r in found], languages)
 
 

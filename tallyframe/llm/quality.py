@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyframe.llm.common import as_bytes, map_batches, pieces, remainder, span_hashes, table, with_columns, word_spans
+from tallyframe.llm.common import as_bytes, hash_below, map_batches, pieces, remainder, span_hashes, table, with_columns, word_spans
 
 #: Labelled documents and bytes of each that are learned from at most. They are chosen by a hash of the id.
 TRAIN_DOCS, TRAIN_BYTES = 3000, 100_000
@@ -35,7 +35,7 @@ def hashed(data: np.ndarray, bits: int = BUCKETS_LOG2) -> Iterator[tuple[np.ndar
     starts, ends = word_spans(data)
     yield starts, (span_hashes(data)(starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
     solid = data > 32
-    values = data.astype(np.uint32)
+    values = np.maximum(data, 32).astype(np.uint32)  # any white space is a space
     h, inside, length = values, np.ones(len(data), bool), 1
     while length < max(GRAMS):
         if len(h) < 2:
@@ -111,13 +111,15 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Learn from at most ``most`` labelled rows outside the held-out fold.
 
-    Labels are taken once for each id (the smaller where they differ). The chosen ids are
-    bounded by ``most`` and so may be broadcast, and features of the chosen texts collected.
-    Without labels every score is one half.
+    Labels are taken once for each id (the smaller where they differ). A share of the ids by
+    their hash, twice as many as are wanted, is cut to ``most``, so that however many labels
+    there are few come together. The chosen ids may be broadcast, and features of the chosen
+    texts collected. Without labels every score is one half.
     """
+    known = labels.where(remainder("doc_id", FOLDS) != 0).where("quality is not null and doc_id is not null")
+    share = min(1.0, 2 * most / max(1, known.count()))
     chosen = (
-        labels.where(remainder("doc_id", FOLDS) != 0)
-        .where("quality is not null and doc_id is not null")
+        known.where(hash_below("doc_id", F.lit(share)))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )

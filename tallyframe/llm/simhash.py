@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyframe.llm.common import map_batches, settle, table, with_columns
+from tallyframe.llm.common import fresh, map_batches, settle, table, with_columns
 from tallyframe.llm.components import components, stars
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 4, 4
@@ -322,23 +322,24 @@ def keep_one(
     found = grouped_prints(docs, id_column, text_column, shingle, distance, run_limit)
     rows = found.groupBy("root", "doc_id", "print").agg(F.count("*").alias("n"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "print")).alias("best"))
+    own, key, held = (fresh(docs, name) for name in ("_judged_id", "_judged_print", "_print"))
     judged = settle(
         rows.join(best, "root").select(
-            F.col("doc_id").alias("_id"), F.col("print").alias("_key"), "n",
+            F.col("doc_id").alias(own), F.col("print").alias(key), "n",
             (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("print") == F.col("best.print"))).alias("stays"),
         ),
         "judged",
     )
-    added = StructType([StructField("_print", LongType(), False)])
+    added = StructType([StructField(held, LongType(), False)])
     printed = with_columns(docs, text_column, added, lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]])
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_key"))
-    apart = judged.where("not stays or n > 1")
+    same = F.col(id_column).eqNullSafe(F.col(own)) & (F.col(held) == F.col(key))
+    apart = judged.where("not stays or n > 1").select(own, key)
     small = apart.count() <= BROADCAST_ROWS
     kept = printed.join(F.broadcast(apart) if small else apart, same, "left_anti")
-    repeated = judged.where("stays and n > 1").select("_id", "_key")
+    repeated = judged.where("stays and n > 1").select(own, key)
     if not repeated.isEmpty():
         again = printed.join(F.broadcast(repeated) if small else repeated, same, "left_semi")
-        kept = kept.unionByName(again.dropDuplicates([id_column, "_print"]))
+        kept = kept.unionByName(again.dropDuplicates([id_column, held]))
     return kept.select(*docs.columns)
 
 
