@@ -27,7 +27,7 @@ from tallyframe.llm.token_counts import vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text, and of words to encode, that are worked on together; words that a task remembers; rounds of one query.
-BLOCK_BYTES, WORD_BYTES, REMEMBERED, ROUNDS = 1 << 20, 1 << 18, 250_000, 24
+BLOCK_BYTES, WORD_BYTES, REMEMBERED, ROUNDS = 1 << 20, 1 << 19, 500_000, 24
 MEMORY = "200MB"
 
 #: Longest word, in bytes, of the first query.
@@ -122,23 +122,22 @@ class Coder:
             self.con.execute(f"create table {name} as select * from rows")
             self.con.unregister("rows")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.decimal = [str(k) for k in range(max(self.ranks.values()) + 1)]
         self.forget()
 
     def forget(self, keep: np.ndarray | None = None) -> None:
         """Drop the words known so far, but for those numbered in ``keep``."""
         words = list(self.known) if keep is not None and len(keep) else []
-        kept = [(words[k], self.ids[k], self.texts[k]) for k in keep.tolist()] if words else []
+        kept = [(words[k], self.ids[k]) for k in keep.tolist()] if words else []
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []  # each word's ids as packed 32-bit numbers
-        self.texts: list[str] = []
         self.uses = np.zeros(0, np.int32)
         for entry in kept:
             self.add(*entry)
 
-    def add(self, word: str, ids: bytes, listed: str) -> None:
+    def add(self, word: str, ids: bytes) -> None:
         self.known[word] = len(self.ids)
         self.ids.append(ids)
-        self.texts.append(listed)
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words that are not yet known, in blocks of about ``WORD_BYTES``."""
@@ -147,7 +146,7 @@ class Coder:
         for word in words:
             whole = self.ranks.get(data := word.encode())
             if whole is not None:
-                self.add(word, whole.to_bytes(4, "little"), str(whole))
+                self.add(word, whole.to_bytes(4, "little"))
                 continue
             query = CONTRACT if len(data) <= SHORT else CONTRACT_LONG
             held[query].append((word, data))
@@ -178,24 +177,28 @@ class Coder:
             word, token = columns[0], columns[3]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]).tolist()
             done = (last[word] < ROUNDS).tolist()
-            ids, listed = token.astype("<i4").tobytes(), list(map(str, token.tolist()))
+            ids = token.astype("<i4").tobytes()
             for s, e, k in zip(starts, [*starts[1:], len(word)], word[starts].tolist()):
                 if done[s]:
-                    self.add(block[k][0], ids[4 * s : 4 * e], ",".join(listed[s:e]))
+                    self.add(block[k][0], ids[4 * s : 4 * e])
             columns = [c[last[word] >= ROUNDS] for c in columns]
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """The ids of each text, as numbers and as text parted by commas."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         found = [self.find(text) for text in texts]
         self.learn(set().union(*found).difference(self.known))
         numbers = [list(map(self.known.__getitem__, words)) for words in found]
         ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, row)), "<i4") for row in numbers]
-        texts = [",".join(map(self.texts.__getitem__, row)) for row in numbers]
         self.uses = np.concatenate([self.uses, np.zeros(len(self.ids) - len(self.uses), np.int32)])
-        self.uses[list(set().union(*numbers))] += 1
-        if len(self.ids) > REMEMBERED:  # the words used in the most blocks stay
+        for row in numbers:
+            self.uses[row] += 1
+        if len(self.ids) > REMEMBERED:  # the words that the most texts had stay
             self.forget(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 4])
-        return ids, texts
+        return ids
+
+    def listed(self, ids: np.ndarray) -> str:
+        """The ids in decimal, parted by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -242,13 +245,13 @@ def encoded_documents(
         for batch in batches:
             for first, texts in blocks(batch.column(1)):
                 coder = coder or Coder(vocabulary)
-                ids, listed = coder.encode(texts)
+                ids = coder.encode(texts)
                 decoded = coder.decode(ids)
                 digest = lambda data: hashlib.sha256(data).hexdigest()
                 arrays = [
                     batch.column(0).slice(first, len(texts)),
                     pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([digest(line.encode()) for line in listed]),
+                    pa.array([digest(coder.listed(i).encode()) for i in ids]),
                     pa.array([digest(d) for d in decoded]),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
