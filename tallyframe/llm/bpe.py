@@ -28,7 +28,9 @@ from tallyframe.llm.token_counts import vocabulary_path
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text, and of words to encode, that are worked on together; words that a task remembers; rounds of one query.
 BLOCK_BYTES, WORD_BYTES, REMEMBERED, ROUNDS = 1 << 20, 1 << 19, 500_000, 24
-MEMORY = "200MB"
+#: Ids that one query puts together, rows that the rounds of one query may make, memory of a task's database.
+DECODED, ROUND_ROWS = 1 << 18, 1 << 22
+MEMORY = "400MB"
 
 #: Longest word, in bytes, of the first query.
 SHORT = 64
@@ -87,8 +89,7 @@ select word, pos, stop, token, round from state
 """
 
 DECODE = """
-select t.text, string_agg(v.bytes, '' order by t.place) as bytes
-from ids t join vocabulary v on v.token = t.token group by t.text
+select string_agg(v.bytes, '' order by t.place) from ids t join vocabulary v on v.token = t.token
 """
 
 
@@ -122,6 +123,8 @@ class Coder:
             self.con.execute(f"create table {name} as select * from rows")
             self.con.unregister("rows")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = [len(w) for w in self.ranks]
         self.decimal = [str(k) for k in range(max(self.ranks.values()) + 1)]
         self.forget()
 
@@ -166,7 +169,8 @@ class Coder:
         while len(columns[0]):
             names = ("word", "pos", "stop", "token")
             self.con.register("tokens", pa.table({n: pa.array(c, pa.int32()) for n, c in zip(names, columns)}))
-            found = self.con.sql(query.format(rounds=ROUNDS)).to_arrow_table()
+            most = max(1, min(ROUNDS, ROUND_ROWS // len(columns[0])))
+            found = self.con.sql(query.format(rounds=most)).to_arrow_table()
             self.con.unregister("tokens")
             *columns, rounds = (c.to_numpy() for c in found.columns)
             last = np.zeros(len(block), rounds.dtype)
@@ -176,12 +180,12 @@ class Coder:
             columns = [c[final] for c in columns]
             word, token = columns[0], columns[3]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]).tolist()
-            done = (last[word] < ROUNDS).tolist()
+            done = (last[word] < most).tolist()
             ids = token.astype("<i4").tobytes()
             for s, e, k in zip(starts, [*starts[1:], len(word)], word[starts].tolist()):
                 if done[s]:
                     self.add(block[k][0], ids[4 * s : 4 * e])
-            columns = [c[last[word] >= ROUNDS] for c in columns]
+            columns = [c[last[word] >= most] for c in columns]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -201,19 +205,17 @@ class Coder:
         return ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        lengths = [len(i) for i in ids]
-        rows = pa.table(
-            {
-                "text": pa.array(np.repeat(np.arange(len(ids)), lengths), pa.int32()),
-                "place": pa.array(np.arange(sum(lengths)), pa.int64()),
-                "token": pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()),
-            }
-        )
-        self.con.register("ids", rows)
-        found = dict(self.con.execute(DECODE).fetchall())
-        self.con.unregister("ids")
-        return [bytes.fromhex(found.get(k, "")) for k in range(len(ids))]
+        """The bytes of each list of ids, which are put together in order, so many at a time, and cut apart by their lengths."""
+        tokens = np.concatenate([np.zeros(0, np.int32), *ids])
+        parts = []
+        for at in range(0, len(tokens), DECODED):
+            some = tokens[at : at + DECODED]
+            self.con.register("ids", pa.table({"place": pa.array(np.arange(len(some)), pa.int32()), "token": pa.array(some, pa.int32())}))
+            parts.append(bytes.fromhex(self.con.sql(DECODE).fetchall()[0][0]))
+            self.con.unregister("ids")
+        data = b"".join(parts)
+        ends = np.cumsum([int(self.sizes[i].sum()) for i in ids])
+        return [data[start:end] for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[str]]]:
