@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.missing import present
 from tallyframe.operators.counts import count_values
-from tallyframe.operators.ids import is_id
+from tallyframe.operators.ids import id_names
 from tallyframe.operators.metrics import MARGIN, ColumnMetrics, measure
 
 # Fixed names: long free texts, and texts with very many values.
@@ -31,8 +31,8 @@ def pick_breakdown_column(df: DataFrame, exclude: Iterable[str] = EXCLUDED) -> s
     rows, measured = measure(df, [c for c in df.columns if c not in skipped])
     usable = [m for m in measured if m.distinct]
     open_columns = _could_be_nearest(usable)
-    while ids := [m for m in open_columns if is_id(df, rows, m)]:
-        usable = [m for m in usable if m not in ids]
+    while ids := id_names(df, rows, open_columns):
+        usable = [m for m in usable if m.name not in ids]
         open_columns = _could_be_nearest(usable)
     if not open_columns:
         return None
@@ -64,8 +64,17 @@ def _could_be_nearest(measured: list[ColumnMetrics]) -> list[ColumnMetrics]:
 
 
 def _distinct_counts(df: DataFrame, columns: list[str]) -> list[int]:
-    counts = [F.count_distinct(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]
-    return list(df.agg(*counts).first())
+    """Exact distinct counts of all columns by one hash aggregate over (column, value) cells.
+
+    Values are compared by their text, which is one to one for every type that is not a
+    container; maps are never open here.
+    """
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("column"), F.to_json(F.struct(present(df, c).alias("v"))).alias("value"), present(df, c).isNotNull().alias("there")) for i, c in enumerate(columns)]
+    )
+    seen = df.select(F.explode(cells).alias("cell")).select("cell.*").where("there").select("column", "value").distinct()
+    found = {r["column"]: r["count"] for r in seen.groupBy("column").count().collect()}
+    return [found.get(i, 0) for i in range(len(columns))]
 
 
 def breakdown(df: DataFrame, column: str | None = None, exclude: Iterable[str] = EXCLUDED) -> DataFrame:

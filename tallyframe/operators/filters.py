@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyframe.functions.dates import best_format, formats_found, parse_any
+from tallyframe.functions.dates import formats_found, parse_any
 from tallyframe.functions.literals import equals_text
 from tallyframe.functions.missing import is_text, raw, type_of
 from tallyframe.functions.text import text_form
@@ -46,23 +47,49 @@ def java_pattern(pattern: str) -> str:
     """The pattern with named groups in Java's spelling and Unicode case folding.
 
     ``d`` keeps ``.``, ``^`` and ``$`` to line feeds only; ``U`` makes ``\\w`` and its
-    kin cover Unicode, and is only set where one occurs. White space also takes in the
-    four separator control characters.
+    kin cover Unicode, and is only set where one occurs. A pattern that is wrong in
+    Python is an error here, on the driver.
     """
-    body = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
-    if "\\s" in body or "\\S" in body:
-        body = _with_separators(body)
-    return ("(?iudU)" if "\\" in pattern else "(?iud)") + body
-
-
-def _with_separators(pattern: str) -> str:
-    parts, inside = [], False
-    for part in re.findall(r"\\.|.", pattern, re.DOTALL):
-        inside = part == "[" or (inside and part != "]")
-        if part == r"\s":
-            part = r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]"
-        elif part == r"\S" and not inside:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(pattern)
+    except re.error as error:
+        raise ValueError(f"not a regular expression: {pattern!r}: {error}") from None
+    names = {name: f"g{i}" for i, name in enumerate(dict.fromkeys(re.findall(r"\(\?P<(\w+)>", pattern)))}
+    body = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{names[m[1]]}>", pattern)
+    body = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{names.get(m[1], m[1])}>", body)
+    return ("(?iudU)" if "\\" in pattern else "(?iud)") + _translated(body)
+
+
+def _translated(pattern: str) -> str:
+    """What both languages write alike but mean differently, in Java's words.
+
+    ``\\s`` takes in the separators, ``\\Z`` is the very end, ``{,n}`` begins at zero, and
+    ``[`` and ``&&`` are plain characters inside a class.
+    """
+    parts: list[str] = []
+    inside, opened = False, 0
+    for part in re.findall(r"\\.|\{,[0-9]+\}|&&|.", pattern, re.DOTALL):
+        if inside:
+            if part == "]" and len(parts) > opened and parts[opened:] != ["^"]:
+                inside = False
+            elif part in ("[", "]", "&&"):
+                part = re.sub(r"(.)", r"\\\1", part)
+            elif part == r"\s":
+                part = r"\s\x1c-\x1f"
+            elif part.startswith("{,"):
+                part = part.replace("{", r"\{").replace("}", r"\}")
+        elif part == "[":
+            inside, opened = True, len(parts) + 1
+        elif part == r"\s":
+            part = r"[\s\x1c-\x1f]"
+        elif part == r"\S":
             part = r"[^\s\x1c-\x1f]"
+        elif part == r"\Z":
+            part = r"\z"
+        elif part.startswith("{,"):
+            part = "{0," + part[2:]
         parts.append(part)
     return "".join(parts)
 
@@ -80,18 +107,17 @@ def _whole(value: object, what: str) -> int:
 def _date_text(df: DataFrame, column: str, formats: Sequence[str] | str | None) -> Column:
     """Timestamp of a text column, in the given formats or in those that occur.
 
-    A condition that spelled out every known format would be too large a method for
-    the JVM to compile, so ``"any"`` is narrowed to the formats found.
+    A column with values of which none has a known form is an error, not an empty answer.
     """
     if not is_text(df, column):
         kind = type_of(df, column).simpleString()
         raise ValueError(f"date filter on column {column!r} of type {kind}")
     text = raw(df, column)
-    if formats is None:
-        found = best_format(df, text)
-        chosen = [found] if found else []
-    elif formats == "any":
-        chosen = [fmt for fmt, _ in formats_found(df, text)]
+    if formats is None or formats == "any":
+        found = formats_found(df, text)
+        if not found and not df.where(text.isNotNull()).isEmpty():
+            raise ValueError(f"no known form of date in column {column!r}; name the Spark patterns in formats=")
+        chosen = [fmt for fmt, _ in found] if formats == "any" else [max(found, key=lambda f: f[1])[0]] if found else []
     else:
         chosen = [formats] if isinstance(formats, str) else list(formats)
     return parse_any(text, chosen)
@@ -104,36 +130,47 @@ def _within(df: DataFrame, column: str, first: date, after: date) -> Column:
     return (c >= low) & (c < high)
 
 
-def in_year(df: DataFrame, column: str, value: object, formats=None) -> Column:
+def in_year(df: DataFrame, column: str, value: object, formats=None, day: Column | None = None) -> Column:
     year = _whole(value, "year")
     if isinstance(type_of(df, column), CALENDAR):
         if not 1 <= year < 9999:
             return F.year(raw(df, column)) == year
         return _within(df, column, date(year, 1, 1), date(year + 1, 1, 1))
-    return F.year(_date_text(df, column, formats)) == year
+    return F.year(_date_text(df, column, formats) if day is None else day) == year
 
 
-def in_month(df: DataFrame, column: str, value: object, formats=None) -> Column:
+def in_month(df: DataFrame, column: str, value: object, formats=None, day: Column | None = None) -> Column:
     month = _whole(value, "month")
     if isinstance(type_of(df, column), CALENDAR):
         return F.month(raw(df, column)) == month
-    return F.month(_date_text(df, column, formats)) == month
+    return F.month(_date_text(df, column, formats) if day is None else day) == month
 
 
-def in_month_of_year(df: DataFrame, column: str, value: object, formats=None) -> Column:
-    if not isinstance(value, Mapping) or not {"month", "year"} <= set(value):
-        raise ValueError(f"value must hold month and year, not {value!r}")
-    month, year = _whole(value["month"], "month"), _whole(value["year"], "year")
+def in_month_of_year(df: DataFrame, column: str, value: object, formats=None, day: Column | None = None) -> Column:
+    month, year = _month_and_year(value)
     if isinstance(type_of(df, column), CALENDAR):
         if 1 <= month <= 12 and 1 <= year < 9999:
             after = date(year + month // 12, month % 12 + 1, 1)
             return _within(df, column, date(year, month, 1), after)
         day = raw(df, column)
-    else:
+    elif day is None:
         day = _date_text(df, column, formats)
     return (F.month(day) == month) & (F.year(day) == year)
 
 
+def _check_value(operator: str, value: object) -> None:
+    if operator == "date_month_year":
+        _month_and_year(value)
+    else:
+        _whole(value, operator.removeprefix("date_"))
+
+
+def _month_and_year(value: object) -> tuple[int, int]:
+    if not isinstance(value, Mapping) or not {"month", "year"} <= set(value):
+        raise ValueError(f"value must hold month and year, not {value!r}")
+    return _whole(value["month"], "month"), _whole(value["year"], "year")
+
+
 PLAIN = {"contains": contains, "eq": equals}
 DATED = {"date_month_year": in_month_of_year, "date_year": in_year, "date_month": in_month}
 
@@ -149,11 +186,12 @@ def apply_filters(
     ``contains``. ``formats`` are the Spark patterns for date conditions on text
     columns, ``"any"`` to read each value in the first known one that fits it. Left
     out, the one format that reads most of the rows kept by the conditions before it
-    is used. Both of these take one aggregate job.
+    is used. Both of these take two aggregate jobs for each such column, shared by all
+    conditions on it; a column with values but without any known date is an error.
     """
     if not filters:
         return df
-    kept = df
+    kept, dates = df, {}
     for item in [filters] if isinstance(filters, Mapping) else filters:
         if "column" not in item or "value" not in item:
             raise ValueError(f"a filter needs column and value: {item!r}")
@@ -161,7 +199,11 @@ def apply_filters(
         if operator in PLAIN:
             condition = PLAIN[operator](kept, item["column"], item["value"])
         elif operator in DATED:
-            condition = DATED[operator](kept, item["column"], item["value"], formats)
+            column = item["column"]
+            _check_value(operator, item["value"])
+            if formats in (None, "any") and is_text(kept, column) and column not in dates:
+                dates[column] = _date_text(kept, column, formats)
+            condition = DATED[operator](kept, column, item["value"], formats, dates.get(column))
         else:
             raise ValueError(f"unknown filter operator {operator!r}")
         kept = kept.filter(condition)

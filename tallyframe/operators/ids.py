@@ -25,13 +25,23 @@ def id_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]
     checked exactly, because an estimate cannot tell one repeated value in a billion.
     """
     rows, measured = measure(df, columns or df.columns)
-    return [m.name for m in measured if is_id(df, rows, m)]
+    names = id_names(df, rows, measured)
+    return [m.name for m in measured if m.name in names]
 
 
-def is_id(df: DataFrame, rows: int, measured: ColumnMetrics) -> bool:
-    if measured.present < rows or measured.distinct < rows * (1 - MARGIN):
-        return False
-    return rows >= LEAST_ROWS and not has_repeated_value(df, measured.name)
+def id_names(df: DataFrame, rows: int, measured: Sequence[ColumnMetrics]) -> set[str]:
+    """Columns without a repeated value, among those whose estimate allows it.
+
+    All of them are looked at in one job by (column, hash); only a column in which some
+    hash repeats is then compared by value.
+    """
+    likely = [m.name for m in measured if m.present == rows and m.distinct >= rows * (1 - MARGIN)]
+    if rows < LEAST_ROWS or not likely:
+        return set()
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.xxhash64(present(df, n)).alias("hash")) for i, n in enumerate(likely)])
+    hashes = df.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("column", "hash").count()
+    doubtful = {likely[r["column"]] for r in hashes.where("count > 1").select("column").distinct().collect()}
+    return {n for n in likely if n not in doubtful or not has_repeated_value(df, n)}
 
 
 def has_repeated_value(df: DataFrame, column: str) -> bool:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tallyframe.operators.ids import is_id
+from tallyframe.operators.ids import id_names
 from tallyframe.operators.metrics import measure
-from tallyframe.operators.rules import TEXT_RULES, missing_rate_is_high
+from tallyframe.operators.rules import TEXT_RULES, date_hits, missing_rate_is_high
 
 SCHEMA = "ordinal int, column string, rule string, metric double"
 
@@ -24,10 +24,17 @@ ADVICE = {
 def profile(df: DataFrame) -> DataFrame:
     """One row per finding: the rule and the share of the values it holds for.
 
-    One pass measures every column; a second one per likely identifier makes sure of
-    it. The result has at most six rows per column.
+    One pass measures every column. Two more look at the columns whose values have the
+    form of dates, and one or two at all likely identifiers together. The result has at
+    most six rows per column.
     """
     rows, measured = measure(df, df.columns, rules=list(TEXT_RULES))
+    dated = [m for m in measured if "date_text" in m.hits and TEXT_RULES["date_text"].holds(m.present, m.hits["date_text"])]
+    for m in dated:  # the form of a date in so many values: now count those that are one
+        m.hits["date_text"] = 0
+    for name, hits in date_hits(df, [m.name for m in dated]).items():
+        next(m for m in dated if m.name == name).hits["date_text"] = hits
+    ids = id_names(df, rows, measured)
     findings = []
     for m in measured:
         for rule, hits in m.hits.items():
@@ -35,7 +42,7 @@ def profile(df: DataFrame) -> DataFrame:
                 findings.append((m.name, rule, hits / m.present))
         if missing_rate_is_high(rows, rows - m.present):
             findings.append((m.name, "missing_rate", (rows - m.present) / rows))
-        if is_id(df, rows, m):
+        if m.name in ids:
             findings.append((m.name, "unique", 1.0))
     numbered = [(i + 1, *finding) for i, finding in enumerate(findings)]
     return df.sparkSession.createDataFrame(numbered, SCHEMA)
