@@ -14,6 +14,7 @@ from tallyframe.operators.groups import group_agg, groups_count
 from tallyframe.operators.ids import id_columns
 from tallyframe.operators.order import sample_rows, sort_limit
 from tallyframe.operators.profile import profile, profile_text
+from tallyframe.operators.series import with_share
 from tallyframe.plans.runner import PlanResult, run_plan
 from tallyframe.sinks.files import write_csv, write_json
 from tallyframe.sources.files import load_csv, load_parquet
@@ -42,6 +43,7 @@ __all__ = [
     "total_values",
     "unit_column",
     "value_counts",
+    "with_share",
     "write_csv",
     "write_json",
 ]

@@ -30,10 +30,19 @@ def _floating(text: str, dtype: T.DataType) -> float | None:
         number = float(text)
     except ValueError:
         return None
-    shown = repr(number) if isinstance(dtype, T.DoubleType) else str(np.float32(number))
+    shown = repr(number) if isinstance(dtype, T.DoubleType) else _float_text(np.float32(number))
     return number if shown == text and number == number else None
 
 
+def _float_text(number: np.float32) -> str:
+    """The shortest digits of a float, written out where a double would be."""
+    if not np.isfinite(number):
+        return str(number)
+    if number == 0 or 1e-4 <= abs(number) < 1e16:
+        return np.format_float_positional(number, unique=True, trim="0")
+    return np.format_float_scientific(number, unique=True, trim="-", exp_digits=2)
+
+
 def _decimal(text: str, dtype: T.DecimalType) -> Decimal | None:
     try:
         number = Decimal(text)

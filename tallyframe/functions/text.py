@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # All characters that count as white space when a text is stripped.
 WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
-# Fixed patterns.
+# Fixed patterns. Only ASCII digits count.
 WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 FLOAT_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
@@ -18,12 +18,12 @@ NUMBER_WITH_UNIT = r"^[0-9]+(\.[0-9]+)?(?U:[\s\x1c-\x1f]*)[a-zA-Z]"
 def text_form(value: Column, dtype: T.DataType) -> Column:
     """Text that a value is searched by and labelled with.
 
-    Booleans are ``True`` and ``False``, and doubles are written out from 0.0001 to
-    1e16, the same forms that equality takes. Other types have Spark's text.
+    Booleans are ``True`` and ``False``, and doubles and floats are written out from
+    0.0001 to 1e16, the same forms that equality takes. Other types have Spark's text.
     """
     if isinstance(dtype, T.BooleanType):
         return F.when(value, "True").when(~value, "False")
-    if not isinstance(dtype, T.DoubleType):
+    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
         return value.cast("string")
     text, size = value.cast("string"), F.abs(value)
     digits = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), "0+$", "")
@@ -36,7 +36,7 @@ def text_form(value: Column, dtype: T.DataType) -> Column:
     infinite = F.when(value > 0, "inf").otherwise("-inf")
     return (
         F.when(value.isNull() | F.isnan(value), F.lit(None).cast("string"))
-        .when(size.between(0.001, 9999999.0) | (size == 0), text)
+        .when(((size >= 0.001) & (size < 1e7)) | (size == 0), text)
         .when(size == float("inf"), infinite)
         .when((size >= 0.0001) & (size < 1e16), written_out)
         .otherwise(scientific)

@@ -10,15 +10,6 @@ from tallyframe.functions.missing import col, is_text, present, type_of
 from tallyframe.functions.text import first_number
 from tallyframe.operators.ranges import median_by_ranges
 from tallyframe.operators.rules import column_follows
-from tallyframe.shared import cut_lineage
-
-# Up to this many values in the largest group, the built-in median, which keeps the
-# distinct values of a group in memory, is safe and quicker.
-SMALL_GROUP = 100_000
-
-# Up to this many larger groups are kept apart from the rest by a broadcast of their
-# keys.
-LARGE_GROUPS = 1000
 
 
 def _skew(c: Column) -> Column:
@@ -67,9 +58,12 @@ def _truth(dtype: T.DataType, c: Column) -> Column:
     return c != F.lit("" if isinstance(dtype, T.StringType) else 0)
 
 
-def choose_units(df: DataFrame, column: str, func: str, units: bool | str) -> bool:
-    """Whether sums and means read the first number out of each text."""
-    if func not in ("sum", "mean") or not is_text(df, column):
+UNIT_FUNCTIONS = ("sum", "mean")
+
+
+def choose_units(df: DataFrame, column: str, funcs: Sequence[str], units: bool | str) -> bool:
+    """Whether sums and means read the first number out of each text (at most one aggregate job)."""
+    if not set(funcs) & set(UNIT_FUNCTIONS) or not is_text(df, column):
         return False
     return column_follows(df, column, "number_with_unit") if units == "auto" else bool(units)
 
@@ -89,8 +83,10 @@ def group_agg(
     One function gives ``value``, as a double where it is a number; a list of
     functions gives ``<function>_value`` columns of their own types. ``units``
     settles whether sums and means of text use the first number in each text
-    (``"auto"`` looks at the column, one aggregate job). ``first`` and ``last`` need
-    ``order_by``. ``approximate`` lets ``median`` be an approximate percentile.
+    (``"auto"`` looks at the column, one aggregate job); all other functions of the list
+    see the text. ``first`` and ``last`` need ``order_by``. Exact medians take one
+    checkpoint while the result is built; ``approximate`` lets ``median`` be an
+    approximate percentile.
     """
     key_names = [keys] if isinstance(keys, str) else list(keys)
     column = column or key_names[0]
@@ -104,9 +100,9 @@ def group_agg(
 
     groups = ["key"] if len(key_names) == 1 else key_names
     value = present(df, column)
-    if any(choose_units(df, column, f, units) for f in funcs):
-        value, dtype = first_number(value), T.DoubleType()
-    needs_number = [f for f in funcs if (f in NUMERIC or f in MEDIAN) and not _is_number(dtype)]
+    with_units = UNIT_FUNCTIONS if choose_units(df, column, funcs, units) else ()
+    types = {f: T.DoubleType() if f in with_units else dtype for f in funcs}
+    needs_number = [f for f in funcs if (f in NUMERIC or f in MEDIAN) and not _is_number(types[f])]
     if needs_number:
         raise ValueError(f"{', '.join(needs_number)} of column {column!r} of type {dtype.simpleString()}")
     order = [order_by] if isinstance(order_by, str) else list(order_by or ())
@@ -116,6 +112,7 @@ def group_agg(
     rows = df.select(
         *[present(df, k).alias(g) for k, g in zip(key_names, groups)],
         value.alias("_tally_value"),
+        *[first_number(value).alias("_tally_number")] * bool(with_units),
         *[present(df, o).alias(f"_tally_order{i}") for i, o in enumerate(order)],
     )
     for g in groups:
@@ -123,10 +120,15 @@ def group_agg(
 
     names = ["value"] if isinstance(func, str) else [f"{f}_value" for f in funcs]
     medians = [n for f, n in zip(funcs, names) if f in MEDIAN and not approximate]
-    plain = [_aggregate(f, dtype, len(order)).alias(n) for f, n in zip(funcs, names) if n not in medians]
+    source = {f: "_tally_number" if f in with_units else "_tally_value" for f in funcs}
+    if isinstance(func, str) and func == "sum" and isinstance(dtype, T.LongType):
+        # the result is a double; sums of decimal(20,0) are decimal(30,0) and do not overflow on the way
+        rows, types = rows.withColumn("_tally_value", F.col("_tally_value").cast("decimal(20,0)")), {func: T.DecimalType(20, 0)}
+    plain = [_aggregate(f, types[f], source[f], len(order)).alias(n) for f, n in zip(funcs, names) if n not in medians]
     result = rows.groupBy(*[col(g) for g in groups]).agg(*plain) if plain else None
     if medians:
-        exact = _medians(rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value"))), groups)
+        numbers = rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value")))
+        exact = median_by_ranges(numbers, groups, "_tally_value", "_tally_median")
         exact = exact.select(*[col(g) for g in groups], *[F.col("_tally_median").alias(n) for n in medians])
         result = exact if result is None else result.join(exact, groups)
     result = result.select(*[col(c) for c in (*groups, *names)])
@@ -135,42 +137,22 @@ def group_agg(
     return result
 
 
-def _aggregate(func: str, dtype: T.DataType, n_order: int) -> Column:
-    value = F.col("_tally_value")
+def _aggregate(func: str, dtype: T.DataType, source: str, n_order: int) -> Column:
+    value = F.col(source)
     if func in NUMERIC:
         return NUMERIC[func](_as_number(dtype, value))
     if func in TRUTH:
         return TRUTH[func](_truth(dtype, value))
     if func in ORDERED:
-        order = F.struct(*[F.col(f"_tally_order{i}") for i in range(n_order)])
+        # one column as it is: a number or a time keeps the aggregate a hash aggregate
+        columns = [F.col(f"_tally_order{i}") for i in range(n_order)]
+        order = columns[0] if n_order == 1 else F.struct(*columns)
         return ORDERED[func](value, F.when(value.isNotNull(), order))
     if func in MEDIAN:
         return F.percentile_approx(_as_number(dtype, value), 0.5)
     return ANY_TYPE[func](value)
 
 
-def _medians(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Exact median of ``_tally_value`` for every group.
-
-    One small job measures the groups. A few large ones are taken out and handled by
-    ranges; with many of them everything is.
-    """
-    keys = [col(g) for g in groups]
-    sizes = rows.groupBy(*keys).agg(F.count("_tally_value").alias("_tally_size"))
-    large = sizes.where(F.col("_tally_size") > SMALL_GROUP).select(*keys)
-    n_large = large.count()
-    built_in = F.median("_tally_value").alias("_tally_median")
-    if n_large == 0:
-        return rows.groupBy(*keys).agg(built_in)
-    if n_large > LARGE_GROUPS:
-        by_ranges = median_by_ranges(rows, groups, "_tally_value", "_tally_median")
-        return sizes.select(*keys).join(by_ranges, groups, "left")
-    apart = F.broadcast(cut_lineage(large))
-    by_ranges = median_by_ranges(rows.join(apart, groups, "left_semi"), groups, "_tally_value", "_tally_median")
-    rest = rows.join(apart, groups, "left_anti").groupBy(*keys).agg(built_in)
-    return by_ranges.unionByName(rest)
-
-
 def order_groups(grouped: DataFrame) -> DataFrame:
     """Largest value first, missing values last, ties by key."""
     keys = [col(c) for c in grouped.columns if c != "value"]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.missing import col, present, type_of
 from tallyframe.functions.text import INTEGER_TEXT, text_form
-from tallyframe.operators.ranges import with_positions
+from tallyframe.operators.order import row_order
+from tallyframe.operators.ranges import sort_columns, with_positions
 
 # Fixed names and numbers.
 YEAR_LIKE = ("release_year", "year", "date_added")
@@ -18,8 +19,8 @@ LABELS_LOOKED_AT = 5
 ALL_GROUPS_UP_TO = 20
 TOP_GROUPS = 15
 
-# Up to this many labels are numbered in one task.
-SMALL_SERIES = 10_000
+# A limit up to which a series is numbered in one task.
+SMALL_SERIES = 1_000
 
 
 def _series(rows: DataFrame, label: Column, value: Column) -> DataFrame:
@@ -28,19 +29,20 @@ def _series(rows: DataFrame, label: Column, value: Column) -> DataFrame:
 
 
 def _number(series: DataFrame, bounded: bool) -> DataFrame:
-    """Add ``ordinal``, largest value first and ties by label."""
+    """Add ``ordinal``, largest value first and ties by label.
+
+    ``bounded`` says that a limit up to ``SMALL_SERIES`` holds. Other series are numbered
+    by ranges, with one checkpoint; both give the same numbers.
+    """
     order = [F.col("value").desc_nulls_last(), F.col("label").asc_nulls_last()]
-    if not bounded:
-        bounded = series.limit(SMALL_SERIES + 1).count() <= SMALL_SERIES
     if bounded:
-        numbered = series.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
+        numbered = series.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     else:
         numbered = with_positions(series, order, "ordinal")
-        numbered = numbered.withColumn("ordinal", F.col("ordinal").cast("int"))
     return numbered.select("ordinal", "label", "value")
 
 
-def count_series(counted: DataFrame, bounded: bool = True) -> DataFrame:
+def count_series(counted: DataFrame, bounded: bool = False) -> DataFrame:
     """Series of a ``value_counts`` result; ``bounded`` if its limit is small."""
     return _number(_series(counted, F.col("value"), F.col("count")), bounded)
 
@@ -65,26 +67,23 @@ def group_series(grouped: DataFrame) -> DataFrame:
     top = top.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
     top = top.withColumn("n", F.count("*").over(Window.partitionBy()))
     kept = top.where((F.col("n") <= ALL_GROUPS_UP_TO) | (F.col("ordinal") <= TOP_GROUPS))
-    return kept.select("ordinal", "label", "value")
+    return kept.select(F.col("ordinal").cast("bigint").alias("ordinal"), "label", "value")
 
 
-def sort_series(
-    sorted_rows: DataFrame, target: str, value: str, ascending: bool, bounded: bool
-) -> DataFrame:
-    """``target`` against ``value`` in the order of a ``sort_limit`` result."""
-    key = present(sorted_rows, target)
-    rows = sorted_rows.select(
-        key.alias("key"), text_form(key, type_of(sorted_rows, target)).alias("label"), present(sorted_rows, value).alias("value")
-    )
-    order = [F.col("key").asc_nulls_last() if ascending else F.col("key").desc_nulls_last()]
-    order.append(F.col("value").asc_nulls_last())
+def sort_series(sorted_rows: DataFrame, target: str, value: str, ascending: bool, bounded: bool = False) -> DataFrame:
+    """``target`` against ``value`` in the order of a ``sort_limit`` result, ties included."""
+    order = sort_columns(row_order(sorted_rows, [target], ascending))
     if bounded:
-        numbered = rows.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
+        numbered = sorted_rows.withColumn("_tally_ordinal", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     else:
-        numbered = with_positions(rows, order, "ordinal")
+        numbered = with_positions(sorted_rows, order, "_tally_ordinal")
     numeric = isinstance(type_of(sorted_rows, value), T.NumericType)
-    shown = F.col("value").cast("double") if numeric else F.col("value")
-    return numbered.select(F.col("ordinal").cast("int"), "label", shown.alias("value"))
+    shown = present(sorted_rows, value)
+    return numbered.select(
+        F.col("_tally_ordinal").alias("ordinal"),
+        text_form(present(sorted_rows, target), type_of(sorted_rows, target)).alias("label"),
+        (shown.cast("double") if numeric else shown).alias("value"),
+    )
 
 
 def first_labels(rows: DataFrame, target: str, ascending: bool) -> DataFrame:
@@ -96,15 +95,13 @@ def first_labels(rows: DataFrame, target: str, ascending: bool) -> DataFrame:
     )
 
 
-def with_share(series: DataFrame, bounded: bool = True) -> DataFrame:
+def with_share(series: DataFrame, bounded: bool = False) -> DataFrame:
     """Add ``pct``, the share of the total of the rows shown, to one decimal.
 
-    A series of any length takes its total from an aggregate of its own.
+    The total is an aggregate of its own; where a small limit holds (``bounded``) it is
+    taken from the rows themselves, so that these are worked out once.
     """
-    if bounded:
-        total = F.sum("value").over(Window.partitionBy())
-    else:
-        total = series.agg(F.sum("value").alias("total")).scalar()
+    total = F.sum("value").over(Window.partitionBy()) if bounded else series.agg(F.sum("value").alias("total")).scalar()
     return series.withColumn("pct", F.round(F.lit(100.0) * F.col("value") / total, 1))
 
 

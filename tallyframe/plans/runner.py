@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -22,6 +23,7 @@ from tallyframe.operators.series import (
     group_series,
     looks_like_years,
     sort_series,
+    with_share,
 )
 from tallyframe.plans.request import UNSUPPORTED, Request, read_request
 
@@ -32,9 +34,9 @@ SAMPLE = 5
 class PlanResult:
     """What a request gave.
 
-    ``rows`` is the result and ``filtered`` the table after the filters. Both are
-    lazy, and so is everything else here until it is asked for: the id columns and
-    the breakdown read the whole filtered table again.
+    ``rows`` is the result and ``filtered`` the table after the filters. Everything else
+    is worked out when it is first asked for and then kept: the id columns and the
+    breakdown column read the whole filtered table once.
     """
 
     request: Request
@@ -71,13 +73,21 @@ class PlanResult:
         return sample_rows(self._table(), n, order_by)
 
     def id_columns(self) -> list[str]:
+        return list(self._ids)
+
+    @cached_property
+    def _ids(self) -> list[str]:
         return id_columns(self._table())
 
     def breakdown_column(self) -> str | None:
+        return self._breakdown_column
+
+    @cached_property
+    def _breakdown_column(self) -> str | None:
         return pick_breakdown_column(self._table(), self.exclude)
 
     def breakdown(self, column: str | None = None) -> DataFrame:
-        return breakdown(self._table(), column, self.exclude)
+        return breakdown(self._table(), column or self.breakdown_column(), self.exclude)
 
     def total_values(self) -> int:
         return total_values(self._table(), self.request.target).first()["total_values"]
@@ -87,6 +97,16 @@ class PlanResult:
 
     def series(self) -> DataFrame | None:
         """``ordinal, label, value`` of the chart, ``None`` where there is none."""
+        return self._series
+
+    def shares(self) -> DataFrame | None:
+        """The series with ``pct``, each value's share of the total shown."""
+        series = self.series()
+        small = self.operation == "group_by_agg" or (self.operation != "filter" and self._bounded())
+        return None if series is None else with_share(series, small)
+
+    @cached_property
+    def _series(self) -> DataFrame | None:
         if self.operation == "filter":
             column = self.breakdown_column()
             return None if column is None else breakdown_series(self.breakdown(column))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyframe.functions.missing import col
@@ -31,6 +33,9 @@ MISSING_TOKENS = (
     "null",
 )
 
+# What a row has beyond the names of the header.
+MORE = "_tally_more"
+
 # Unsigned 64-bit integers beyond bigint.
 UNSIGNED = "decimal(20,0)"
 
@@ -45,6 +50,7 @@ def load_csv(
     schema: T.StructType | str | None = None,
     multi_line: bool = False,
     durations: bool = True,
+    on_bad: str = "error",
 ) -> DataFrame:
     """Table from comma-separated text with a header.
 
@@ -52,26 +58,49 @@ def load_csv(
     types; with it (names must be those of the header) that pass is left out, which
     is the choice for very large files. ``multi_line`` allows line breaks inside
     quotes, at the price of files that cannot be split between tasks.
+
+    Nothing is lost without a word: a row with more values than the header has names, and
+    with ``schema`` a value of another type, is an error, found by the pass that infers
+    types or, with ``schema``, when the row is read. With ``on_bad="null"`` the further
+    values are dropped and misfits are NULL. Missing values at the end of a row are NULL.
     """
+    if on_bad not in ("error", "null"):
+        raise ValueError(f"on_bad is 'error' or 'null', not {on_bad!r}")
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
-    cells = blank_missing(reader.csv(path))
+    names = reader.csv(path).columns
+    wide = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MORE)])
+    cells = blank_missing(reader.schema(wide).csv(path), names)
+    strict = on_bad == "error"
     if schema is None:
-        types = infer_types(cells)
+        types, too_long = infer_types(cells, names)
+        if strict and too_long:
+            raise ValueError(f"{too_long} rows of {path} have more values than the header has names")
     else:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         types = {f.name: f.dataType.simpleString() for f in wanted.fields}
-        if list(types) != cells.columns:
-            raise ValueError(f"schema names {list(types)} differ from the header {cells.columns}")
-    table = cells.select(*[col(n).try_cast(t).alias(n) for n, t in types.items()])
+        if list(types) != names:
+            raise ValueError(f"schema names {list(types)} differ from the header {names}")
+        if strict:
+            message = F.lit(f"a row of {path} has more values than the header has names")
+            cells = cells.where(F.when(col(MORE).isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+    checked = strict and schema is not None
+    table = cells.select(*[(_typed(n, t) if checked else col(n).try_cast(t)).alias(n) for n, t in types.items()])
     return derive_durations(table) if durations else table
 
 
-def blank_missing(cells: DataFrame) -> DataFrame:
+def _typed(name: str, kind: str) -> Column:
+    """The cell as another type; an error if it has a value that is none of that type."""
+    value = col(name).try_cast(kind)
+    message = F.concat(F.lit(f"column {name!r} is not {kind}: "), col(name))
+    return F.when(col(name).isNotNull() & value.isNull(), F.raise_error(message).cast(kind)).otherwise(value)
+
+
+def blank_missing(cells: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """NULL in place of every missing-value token in the text columns."""
     texts = {
         f.name: F.when(~col(f.name).isin(*MISSING_TOKENS), col(f.name))
         for f in cells.schema.fields
-        if isinstance(f.dataType, T.StringType)
+        if isinstance(f.dataType, T.StringType) and (names is None or f.name in names)
     }
     return cells.withColumns(texts) if texts else cells
 
@@ -88,16 +117,15 @@ def _fits(cell: Column) -> dict[str, Column]:
     }
 
 
-def infer_types(cells: DataFrame) -> dict[str, str]:
-    """Narrowest type per column that loses nothing, from one aggregate.
+def infer_types(cells: DataFrame, names: Sequence[str]) -> tuple[dict[str, str], int]:
+    """Narrowest type per column that loses nothing, and the rows that are too long, from one aggregate.
 
     Dates stay text. A column without any value is ``double``; whole numbers too
     long for any integer type stay text rather than lose digits.
     """
-    names = cells.columns
     if not names:
-        return {}
-    columns = [F.struct(F.lit(i).alias("column"), col(n).alias("cell")) for i, n in enumerate(names)]
+        return {}, 0
+    columns = [F.struct(F.lit(i).alias("column"), col(n).alias("cell")) for i, n in enumerate([*names, MORE])]
     exploded = cells.select(F.explode(F.array(*columns)).alias("c")).select("c.*")
     counts = [F.count_if(condition).alias(kind) for kind, condition in _fits(F.col("cell")).items()]
     found = {r["column"]: r.asDict() for r in exploded.groupBy("column").agg(*counts).collect()}
@@ -112,4 +140,4 @@ def infer_types(cells: DataFrame) -> dict[str, str]:
             types[name] = "string"
         else:
             types[name] = kinds[0]
-    return types
+    return types, found.get(len(names), {"present": 0})["present"]
