@@ -1,7 +1,8 @@
 """Registered queries, each with the SQL that must give the same rows.
 
 ``entry`` runs the flagship request, ``queries`` gives one query per operator and
-``oracle_sql`` the SQL for it. Every query reads the given tables whole. Texts with
+``oracle_sql`` the SQL for it. Every query reads all rows of
+its tables. Texts with
 units, lists, dates as text and missing values are derived from their columns inside
 the query, in the same way on both sides.
 """
@@ -533,6 +534,18 @@ def describe_columns(spark, sf_dir):
     return tf.describe(lines.select("l_shipdate", "l_returnflag", "l_quantity"))
 
 
+@query("""
+select cast(1 as int) as ordinal, 'c_custkey' as "column", 'bigint' as dtype, count(*) as n_rows, count(*) - count(c_custkey) as n_missing from customer
+union all select 2 as ordinal, 'c_name' as "column", 'string' as dtype, count(*) as n_rows, count(*) - count(c_name) as n_missing from customer
+union all select 3 as ordinal, 'c_nationkey' as "column", 'int' as dtype, count(*) as n_rows, count(*) - count(c_nationkey) as n_missing from customer
+union all select 4 as ordinal, 'c_acctbal' as "column", 'double' as dtype, count(*) as n_rows, count(*) - count(c_acctbal) as n_missing from customer
+union all select 5 as ordinal, 'c_mktsegment' as "column", 'string' as dtype, count(*) as n_rows, count(*) - count(c_mktsegment) as n_missing from customer
+""")
+def describe_table(spark, sf_dir):
+    """All columns of a table."""
+    return tf.describe(table(spark, sf_dir, "customer"))
+
+
 @query("""
 select count(text) >= 5 and avg(cast(contains(text, ',') as int)) > 0.2 as is_list from documents
 """)
@@ -649,15 +662,15 @@ def breakdown_orders(spark, sf_dir):
 
 
 @query("""
-select cast(row_number() over (order by count(*) desc, event_type) as int) as ordinal,
- event_type as label, cast(count(*) as double) as value,
+select row_number() over (order by count(*) desc, o_orderpriority) as ordinal,
+ o_orderpriority as label, cast(count(*) as double) as value,
  round(100.0::double * count(*) / sum(count(*)) over (), 1) as pct
-from events where value > 10 group by event_type
+from orders where o_orderstatus = 'F' group by o_orderpriority
 """)
 def series_breakdown(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("value > 10")
-    series = charts.breakdown_series(tf.breakdown(events, "event_type"))
-    return charts.with_share(series, bounded=False)
+    """The column is picked: of the finished orders, priority is nearest to four values."""
+    plan = {"operation": "filter", "filter": {"column": "o_orderstatus", "operator": "eq", "value": "F"}}
+    return tf.run_plan(table(spark, sf_dir, "orders"), plan).shares()
 
 
 @query("""
@@ -675,8 +688,8 @@ select l_returnflag as label, count(*) as value,
  round(100.0::double * count(*) / sum(count(*)) over (), 1) as pct from lineitem group by 1
 """)
 def series_share(spark, sf_dir):
-    counted = tf.value_counts(table(spark, sf_dir, "lineitem"), "l_returnflag", split=False)
-    shares = charts.with_share(charts.count_series(counted))
+    plan = {"operation": "value_counts", "target_column": "l_returnflag"}
+    shares = tf.run_plan(table(spark, sf_dir, "lineitem"), plan, split=False).shares()
     return shares.select("label", F.col("value").cast("bigint").alias("value"), "pct")
 
 
@@ -686,13 +699,16 @@ def orders_per_year(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-select cast(yr as varchar) as label, n as value from (select year(o_orderdate) yr, count(*) n
- from orders group by 1) order by yr desc limit 5
+select row_number() over (order by yr desc, n, o_orderstatus) as ordinal, cast(yr as varchar) as label, n as value
+ from (select year(o_orderdate) yr, o_orderstatus, count(*) n from orders group by 1, 2)
+ order by yr desc, n, o_orderstatus limit 7
 """)
 def series_sort_limit(spark, sf_dir):
-    top = tf.sort_limit(orders_per_year(spark, sf_dir), "yr")
-    series = charts.sort_series(top, "yr", "n", ascending=False, bounded=True)
-    return series.select("label", F.col("value").cast("bigint").alias("value"))
+    """Years with ties: the series is in the order of the rows."""
+    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr"), "o_orderstatus")
+    counts = orders.groupBy("yr", "o_orderstatus").agg(F.count("*").alias("n")).select("yr", "n", "o_orderstatus")
+    series = tf.run_plan(counts, {"operation": "sort_limit", "target_column": "yr", "limit": 7}).series()
+    return series.select("ordinal", "label", F.col("value").cast("bigint").alias("value"))
 
 
 @query("""
@@ -763,6 +779,92 @@ def json_round_trip(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+# ---------------------------------------------------------------- ties, mixed functions, date forms
+
+
+@query("select * from (select l_orderkey, l_partkey, l_linenumber, l_quantity from lineitem) order by l_quantity desc, l_orderkey, l_partkey, l_linenumber limit 700")
+def sort_limit_ties(spark, sf_dir):
+    """Very many equal quantities at the limit: all other columns settle which rows stay."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    return tf.sort_limit(rows, "l_quantity", limit=700)
+
+
+@query("select * from (select l_orderkey, l_partkey, l_linenumber, l_quantity from lineitem) order by l_quantity desc, l_orderkey, l_partkey, l_linenumber limit 3000")
+def sort_limit_ties_by_ranges(spark, sf_dir):
+    """The same beyond the limit up to which one task gathers the rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    return tf.sort_limit(rows, "l_quantity", limit=3000)
+
+
+@query("select l_linestatus as key, round(median(l_extendedprice), 4) as value from lineitem group by 1")
+def group_median_large(spark, sf_dir):
+    """Two groups that hold the whole table."""
+    return rounded(tf.group_agg(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_extendedprice", "median"), 4)
+
+
+@query("""
+select l_returnflag as key, round(sum(cast(l_quantity as int)), 2)::double as sum_value,
+ count(distinct cast(l_quantity as int) || ' min') as nunique_value, min(cast(l_quantity as int) || ' min') as min_value
+from lineitem group by 1
+""")
+def group_units_mixed(spark, sf_dir):
+    """The sum reads the numbers, the others see the texts."""
+    rows = quantity_text(table(spark, sf_dir, "lineitem"))
+    return tf.group_agg(rows, "l_returnflag", "u", ["sum", "nunique", "min"])
+
+
+@query("select o_orderpriority as key, min(o_clerk) as min_value, max(o_clerk) as max_value from (select o_orderpriority, o_orderstatus || o_custkey as o_clerk from orders) group by 1")
+def group_min_max_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.concat("o_orderstatus", F.col("o_custkey").cast("string")).alias("o_clerk"))
+    return tf.group_agg(rows, "o_orderpriority", "o_clerk", ["min", "max"])
+
+
+def orders_with_written_day(spark, sf_dir, pattern: str, ending: str = "") -> DataFrame:
+    day = F.concat(F.date_format("o_orderdate", pattern), F.lit(ending))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+
+
+@query("select o_orderkey from orders where year(o_orderdate) = 1996")
+def filter_date_dotted(spark, sf_dir):
+    rows = orders_with_written_day(spark, sf_dir, "dd.MM.yyyy")
+    return tf.apply_filters(rows, {"column": "day", "operator": "date_year", "value": 1996}).select("o_orderkey")
+
+
+@query("select o_orderkey from orders where month(o_orderdate) = 3")
+def filter_date_half_day(spark, sf_dir):
+    rows = orders_with_written_day(spark, sf_dir, "MM/dd/yyyy hh:mm:ss a")
+    return tf.apply_filters(rows, {"column": "day", "operator": "date_month", "value": 3}).select("o_orderkey")
+
+
+@query("select o_orderkey from orders where month(o_orderdate) = 12 and year(o_orderdate) = 1995")
+def filter_date_offset(spark, sf_dir):
+    rows = orders_with_written_day(spark, sf_dir, "yyyy-MM-dd HH:mm:ss", "+09:00")
+    condition = {"column": "day", "operator": "date_month_year", "value": {"month": 12, "year": 1995}}
+    return tf.apply_filters(rows, condition).select("o_orderkey")
+
+
+@query("select * from customer order by c_acctbal, c_custkey limit 5")
+def sample_in_order(spark, sf_dir):
+    return tf.run_plan(table(spark, sf_dir, "customer"), {"operation": "filter"}).sample(5, ["c_acctbal", "c_custkey"])
+
+
+@query("""
+select row_number() over (order by value desc, key) as place, key, value from
+ (select o_custkey as key, count(*)::double as value from orders group by 1)
+""")
+def group_order(spark, sf_dir):
+    """Places of the groups: the largest first, ties by key."""
+    plan = {"operation": "group_by_agg", "target_column": "o_custkey", "agg_func": "count"}
+    rows = tf.run_plan(table(spark, sf_dir, "orders"), plan).rows
+    return with_positions(rows, [F.col("value").desc_nulls_last(), F.col("key").asc()], "place")
+
+
+@query("select p_brand as value, count(*) as count from part group by 1 order by 2 desc, 1 limit 7")
+def value_counts_by_plan(spark, sf_dir):
+    plan = {"operation": "value_counts", "target_column": "p_brand", "limit": 7}
+    return tf.run_plan(table(spark, sf_dir, "part"), plan, split=False).rows
+
+
 # ---------------------------------------------------------------- training-data operators
 
 
@@ -772,11 +874,13 @@ def add_llm_queries() -> None:
         try:
             found = importlib.import_module(module)
         except ModuleNotFoundError as error:
-            if error.name is None or error.name.split(".")[0] not in ("tallyframe", "corpus_pipeline"):
+            if error.name not in ("tallyframe.llm", "tallyframe.llm.queries", "corpus_pipeline"):
                 raise
             continue
         QUERIES.update(found.QUERIES)
         ORACLES.update(found.ORACLES)
 
 
+#: Names of the queries that need nothing but this module and the package itself.
+CORE = tuple(QUERIES)
 add_llm_queries()

@@ -75,7 +75,7 @@ def test_line_breaks_in_quotes(spark, tmp_path):
 
 
 def test_given_schema(spark, tmp_path):
-    table = load(spark, tmp_path, "a,b\n1,x\nNA,y\nz,w\n", schema="a int, b string")
+    table = load(spark, tmp_path, "a,b\n1,x\nNA,y\nz,w\n", schema="a int, b string", on_bad="null")
     assert table.dtypes == [("a", "int"), ("b", "string")]
     assert sorted(str(r["a"]) for r in table.collect()) == ["1", "None", "None"]
     with pytest.raises(ValueError, match="header"):
@@ -106,3 +106,17 @@ def test_json_out(spark, tmp_path):
 
 def test_parquet_in(spark):
     assert tf.load_parquet(spark, "/root/testdata/sf0.001/region.parquet").count() == 5
+
+
+def test_nothing_is_lost_without_a_word(spark, tmp_path):
+    ragged = "a,b\n1,2\n3,4,5\n6\n"
+    with pytest.raises(ValueError, match="1 rows .* more values"):
+        load(spark, tmp_path, ragged)
+    kept = load(spark, tmp_path, ragged, on_bad="null")
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, 2), (3, 4), (6, None)]
+    with pytest.raises(Exception, match="more values"):
+        load(spark, tmp_path, ragged, schema="a int, b int").select("b").collect()
+    with pytest.raises(Exception, match="is not int: z"):
+        load(spark, tmp_path, "a,b\n1,2\nz,3\n", schema="a int, b int").collect()
+    with pytest.raises(ValueError, match="on_bad"):
+        load(spark, tmp_path, ragged, on_bad="drop")

@@ -31,7 +31,7 @@ def plan_of(df) -> str:
     return text.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.CORE))
 def test_no_unwanted_operators(spark, name):
     plan = plan_of(registered.queries()[name](spark, SF_DIR))
     assert not [word for word in UNWANTED if word in plan]
@@ -85,17 +85,23 @@ def test_distinct_per_group_shuffles_by_key_and_value(spark):
     assert "hashpartitioning(key" in plan and "_value" in plan.split("hashpartitioning(key", 1)[1].splitlines()[0]
 
 
-def test_large_groups_do_not_use_the_built_in_median(spark, monkeypatch):
-    from tallyframe.operators import groups
+def test_medians_never_hold_a_group(spark):
+    for keys in ("o_orderstatus", "o_custkey"):
+        plan = plan_of(tf.group_agg(orders(spark), keys, "o_totalprice", "median"))
+        assert "median(" not in plan and "percentile(" not in plan and "Scan ExistingRDD" in plan
 
-    small = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", "median"))
-    assert "median(" in small or "percentile(" in small
-    monkeypatch.setattr(groups, "SMALL_GROUP", 10)
-    apart = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", "median"))
-    assert "LeftAnti" in apart and "Scan ExistingRDD" in apart
-    monkeypatch.setattr(groups, "LARGE_GROUPS", 0)
-    large = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", "median"))
-    assert "median(" not in large and "percentile(" not in large and "Scan ExistingRDD" in large
+
+def test_positions_move_rows_once(spark):
+    from tallyframe.operators.ranges import RANGE, with_positions
+
+    plan = plan_of(with_positions(orders(spark), [F.col("o_totalprice")], "n"))
+    assert f"hashpartitioning({RANGE}" not in plan.replace("partial", "") or plan.count("SortMergeJoin") == 0
+    assert "Window.partitionBy" not in plan and plan.count("BroadcastHashJoin") >= 1
+
+
+def test_first_and_last_stay_hash_aggregates(spark):
+    plan = plan_of(tf.group_agg(orders(spark), "o_orderstatus", "o_totalprice", ["first", "last"], order_by="o_orderkey"))
+    assert "SortAggregate" not in plan
 
 
 def test_size_of_the_profile_query_does_not_grow(spark):

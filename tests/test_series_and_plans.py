@@ -51,16 +51,40 @@ def test_kind(spark, values, target, choice, kind):
 
 def test_shares(spark):
     df = labels(spark, ["a", "b", "c"])
-    for bounded in (True, False):
+    for bounded in (False, True):
         assert [r["pct"] for r in charts.with_share(df, bounded).collect()] == [33.3] * 3
 
 
-def test_series_of_any_length(spark, monkeypatch):
+def test_series_of_any_length(spark):
     labelled = spark.range(300).select(F.col("id").cast("string").alias("label"), (F.col("id") % 7).alias("value"))
-    expected = charts.breakdown_series(labelled).orderBy("ordinal").collect()
-    monkeypatch.setattr(charts, "SMALL_SERIES", 10)
-    assert charts.breakdown_series(labelled).orderBy("ordinal").collect() == expected
-    assert [r["ordinal"] for r in expected] == list(range(1, 301))
+    by_ranges = charts.breakdown_series(labelled).orderBy("ordinal").collect()
+    in_one_task = charts._number(charts._series(labelled, F.col("label"), F.col("value")), bounded=True)
+    assert in_one_task.orderBy("ordinal").collect() == by_ranges
+    assert [r["ordinal"] for r in by_ranges] == list(range(1, 301))
+
+
+@pytest.mark.parametrize("limit", [5, 2000])
+def test_series_is_in_the_order_of_the_rows(spark, limit):
+    df = spark.createDataFrame([(2002, v, w) for v, w in [(1, "d"), (3, "a"), (0, "c"), (2, "a")]] + [(2001, 9, "z")], "y int, v int, w string")
+    result = tf.run_plan(df.select("y", "w", "v"), {"operation": "sort_limit", "target_column": "y", "limit": limit})
+    rows = result.rows.collect()
+    series = result.series().orderBy("ordinal").collect()
+    assert [r.label for r in series] == [str(r.y) for r in rows]
+    assert [r.value for r in series] == [r.w for r in rows]
+
+
+def test_work_is_done_once(spark, films):
+    """Asking again for what is known runs no job."""
+    result = tf.run_plan(films, {"operation": "filter"})
+    result.kind(), result.series(), result.id_columns()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("again", "again")
+    try:
+        result.series(), result.breakdown_column(), result.id_columns()
+        assert len(tracker.getJobIdsForGroup("again")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert result.shares().columns == ["ordinal", "label", "value", "pct"]
 
 
 @pytest.fixture(scope="module")

@@ -144,8 +144,32 @@ DATE_COLUMNS = [
     ["2025-01-15 10:00", "2025-01-15 11:30"],
     ["2025-01-15 10:00:00.5", "2025-01-15 10:00:00.123456"],
     ["North", "12", "3.5", "x1"],
+    ["15.01.2025", "16.01.2025"],
+    ["2025.01.15", "2025.1.5"],
+    ["2025/01/15 10:00:00", "2025/01/16 11:00:00"],
+    ["01/15/2025 10:00", "12/31/2025 23:59"],
+    ["01/15/2025 10:00:00", "12/31/2025 23:59:59"],
+    ["01/15/2025 10:30:00 AM", "01/15/2025 01:30:00 PM"],
+    ["Jan 5 2020", "Feb 6 2020"],
+    ["January 5 2020", "March 6 2020"],
+    ["01/15/20", "12/31/99"],
+    ["Monday, January 5, 2020", "Monday, March 2, 2020"],
+    ["2025-01-15T10:00", "2025-01-16T11:30"],
+    ["2025-01-15 10:00:00.123456789", "2025-01-15 10:00:00.5"],
 ]
 
+OFFSET_COLUMNS = [["2025-01-15T10:00:00.123Z", "2025-03-01T23:59:59.5Z"], ["2025-01-15 10:00:00+00:00", "2025-03-01 23:59:59+00:00"]]
+
+
+@pytest.mark.parametrize("values", DATE_COLUMNS[-12:] + OFFSET_COLUMNS, ids=lambda v: v[0])
+def test_every_form_is_filtered_and_profiled(spark, values):
+    days = pd.to_datetime(pd.Series(values * 2))
+    df = texts(spark, values * 2)
+    condition = {"column": "t", "operator": "date_month_year", "value": {"month": int(days[0].month), "year": int(days[0].year)}}
+    same = (days.dt.month == days[0].month) & (days.dt.year == days[0].year)
+    assert tf.apply_filters(df, condition).count() == same.sum()
+    assert ("t", "date_text") in {(r["column"], r["rule"]) for r in tf.profile(df).collect()}
+
 
 @pytest.mark.parametrize("values", DATE_COLUMNS, ids=lambda v: v[0])
 def test_dates_equal_pandas(spark, values):
@@ -179,7 +203,27 @@ def test_any_format(spark):
     assert tf.apply_filters(df, condition).count() == 1
     assert tf.apply_filters(df, condition, formats="any").count() == 3
     assert tf.apply_filters(df, condition, formats=["MMM d, yyyy"]).count() == 1
-    assert tf.apply_filters(texts(spark, ["junk"]), condition).count() == 0
+    with pytest.raises(ValueError, match="no known form of date"):
+        tf.apply_filters(texts(spark, ["junk"]), condition)
+    assert tf.apply_filters(texts(spark, [None]), condition).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"(?P<a_b>x)x", r"^x{,2}$", "[[]", r"c\Z", "[a&&b]", "[]x]", r"(?P<q>x)(?P=q)", r"[\s{,2}]", r"x{2,}"])
+def test_patterns_of_python(spark, pattern):
+    values = ["xx", "x", "", "xxx", "[", "abc", "abc\n", "a", "&", "b", "]", "{", " ", "x x"]
+    expected = [bool(re.search(pattern, v, re.IGNORECASE)) for v in values]
+    assert column(texts(spark, values), search(F.col("t"), pattern)) == expected
+
+
+def test_wrong_patterns_are_named(spark):
+    with pytest.raises(ValueError, match="not a regular expression"):
+        search(F.col("t"), "(")
+
+
+def test_floats_are_found_by_their_labels(spark):
+    df = spark.sql("select cast(v as float) v from values (1e7), (1e-5), (0.1), (12345678), (1e20), (3) as t(v)")
+    for r in df.select(text_form(F.col("v"), df.schema["v"].dataType).alias("x")).collect():
+        assert tf.apply_filters(df, {"column": "v", "operator": "eq", "value": r["x"]}).count() == 1, r["x"]
 
 
 def test_format_is_chosen_after_earlier_conditions(spark):
