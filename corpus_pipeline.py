@@ -13,7 +13,7 @@ from tallyframe.llm import bpe, decontamination, language, quality, simhash
 from tallyframe.llm.common import fresh, settle, table
 
 #: Documents are kept from this probability of their language, and this score of quality, on.
-LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.5, quality.THRESHOLD
+LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.35, quality.THRESHOLD
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

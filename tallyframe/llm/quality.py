@@ -24,16 +24,22 @@ TRAIN_DOCS, TRAIN_BYTES = 3000, 100_000
 BUCKETS_LOG2, DIMENSIONS, EPOCHS, RATE = 15, 8, 6, 20.0
 GRAMS = (3, 4, 5)
 FOLDS, THRESHOLD = 5, 0.3
-ALWAYS = 0  # the row that every document has once
+ALWAYS, AGAIN = 0, 1  # the row that every document has once, and that of a word said again
+#: How often the latter is counted: about as often as the n-grams of a word.
+AGAIN_WEIGHT = 16
 
 
 def hashed(data: np.ndarray, bits: int = BUCKETS_LOG2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and table rows: for the words of a block, then for its n-grams of each length.
+    """Positions and table rows: for the words of a block, pairs of equal words, and n-grams of each length.
 
-    An n-gram may begin or end with the white space beside a word but not go beyond it.
+    All pairs of a word and the same word after one white space have one row. An n-gram may
+    begin or end with the white space beside a word but not go beyond it.
     """
     starts, ends = word_spans(data)
-    yield starts, (span_hashes(data)(starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
+    words = span_hashes(data)(starts, ends)
+    yield starts, (words >> np.uint64(64 - bits)).astype(np.int64)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (starts[1:] - ends[:-1] == 1)) + 1
+    yield np.repeat(starts[again], AGAIN_WEIGHT), np.full(len(again) * AGAIN_WEIGHT, AGAIN)
     solid = data > 32
     values = np.maximum(data, 32).astype(np.uint32)  # any white space is a space
     h, inside, length = values, np.ones(len(data), bool), 1

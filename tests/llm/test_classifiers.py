@@ -56,13 +56,14 @@ def plain_grams(text: bytes):
     """Words and n-grams of a text as strings, one by one."""
     data = b"\n" + text + b"\n"
     found = [w for w in data.split()]
+    found += [b"again" for a, b in zip(found, found[1:]) if a == b] * quality.AGAIN_WEIGHT
     for n in quality.GRAMS:
         found += [data[i : i + n] for i in range(len(data) - n + 1) if all(c > 32 for c in data[i + 1 : i + n - 1])]
     return found
 
 
 def test_features_are_the_words_and_their_grams():
-    text = "ab cde fghij  klm\nno größe".encode()
+    text = "ab cde fghij  klm\nno größe größe nono".encode()
     data, _, _ = next(quality.pieces([text]))
     assert sum(len(at) for at, _ in quality.hashed(data)) == len(plain_grams(text))
 
