@@ -865,6 +865,21 @@ def value_counts_by_plan(spark, sf_dir):
     return tf.run_plan(table(spark, sf_dir, "part"), plan, split=False).rows
 
 
+@query("""
+select o_orderkey, case when o_orderstatus = 'F' then cast(o_custkey % 300 as bigint) end as duration_minutes,
+ case when o_orderstatus <> 'F' then cast(o_custkey % 9 as bigint) end as duration_seasons from orders
+""")
+def derive_durations(spark, sf_dir):
+    """Minutes of the one kind, seasons of the other."""
+    movie = F.col("o_orderstatus") == "F"
+    minutes = F.concat((F.col("o_custkey") % 300).cast("string"), F.lit(" min"))
+    seasons = F.concat((F.col("o_custkey") % 9).cast("string"), F.when(F.col("o_custkey") % 9 == 1, " Season").otherwise(" Seasons"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(movie, "Movie").otherwise("TV Show").alias("type"), F.when(movie, minutes).otherwise(seasons).alias("duration")
+    )
+    return tf.derive_durations(rows).drop("type", "duration")
+
+
 # ---------------------------------------------------------------- training-data operators
 
 
