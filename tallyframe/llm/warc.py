@@ -29,6 +29,8 @@ from tallyframe.shared import fresh_path
 LEAST_REVISIT = 100
 #: Bytes after which a task begins its next file; gap that a request may span; bytes of one request.
 FILE_BYTES, GAP, REQUEST_BYTES = 1 << 28, 1 << 16, 1 << 22
+#: Revisits of about 100 bytes that are broadcast to the writers at most; more are joined by a shuffle.
+BROADCAST_COPIES = 200_000
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "path string, offset long, length long, url string, digest string"
 READ = "page_id string, record_type string, refers_to string, url string, payload binary, payload_bytes long, payload_digest string"
@@ -110,7 +112,8 @@ def with_originals(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     The smallest id of each digest is found by an aggregate that combines before the shuffle.
     Digests that stand alone need no join; only those with copies are joined back, by digest
-    and id, so that no payload is shuffled by a digest that many pages share.
+    and id, so that no payload is shuffled by a digest that many pages share, and none at all
+    where there are few.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -122,7 +125,8 @@ def with_originals(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
     copies = settle(copies.withColumnsRenamed({"page_id": "copy_id", "digest": "copy_digest"}), "revisits")
     same = F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("digest") == F.col("copy_digest"))
-    return rows.join(copies, same, "left").select("page_id", "url", "payload", "digest", "original")
+    few = copies.count() <= BROADCAST_COPIES
+    return rows.join(F.broadcast(copies) if few else copies, same, "left").select("page_id", "url", "payload", "digest", "original")
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:

@@ -181,8 +181,10 @@ def read_all(index, folder):
     )
 
 
-def test_archives_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [warc.BROADCAST_COPIES, 0])
+def test_archives_round_trip(spark, monkeypatch, broadcast):
     monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", broadcast)
     long, copy = "<p>line</p>\r\n\r\n" * 40_000, "c" * 150
     pages = [(9, copy), (4, copy), (6, copy), (1, None), (2, ""), (3, long), (5, "short"), (7, "short"), (8, "größe " * 30), (4, copy), (10, long)]
     rows = [(p, f"http://h.example/{p}?a=%41\r\nX: y" if p % 2 else None, h, "extra") for p, h in pages]
