@@ -21,6 +21,8 @@ from tallyframe.llm.common import table
 SAMPLES = 32
 #: Rows that one bucket of neighbouring ids aims at, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS, MOST_BOUNDS = 256, 100_000, 500
+#: A text takes several times its size as words with their counts, so it is dealt to so many times the usual partitions.
+SPREAD = 4
 WORDS = r"\s+"
 
 
@@ -103,7 +105,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = F.broadcast(firsts.select("first_id", before.alias("before")))  # at most MOST_BUCKETS rows of 16 bytes
     heads = dealt.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("before", "doc_id").agg(F.min("text").alias("text"))
     marked = heads.select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("mark"))
-    rows = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("mark")).unionByName(marked).repartition("bucket")
+    rows = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("mark")).unionByName(marked)
+    rows = rows.repartition(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
     order = Window.partitionBy("bucket").orderBy("mark", F.asc_nulls_first("doc_id"), "text")
     return rows.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
