@@ -38,8 +38,12 @@ class Template:
         return 0 if self.exact else min(4, len(self.words) // 4)
 
 
+def document_words(text: bytes | None) -> bytes:
+    return text.translate(WORD_BYTES) if text else b""
+
+
 def words_of(text: str) -> tuple[str, ...]:
-    return tuple(text.encode().translate(WORD_BYTES).decode().split())
+    return tuple(word.decode() for word in document_words(text.encode()).split())
 
 
 # Phrases that must stand word for word, and their labels.
@@ -76,10 +80,6 @@ NOTICES = (
 TEMPLATES = PHRASES + NOTICES
 
 
-def document_words(text: bytes | None) -> bytes:
-    return text.translate(WORD_BYTES) if text else b""
-
-
 def gram_hashes(hashes: np.ndarray, size: int = GRAM) -> np.ndarray:
     """One hash for each run of ``size`` words."""
     n = len(hashes) - size + 1
@@ -164,13 +164,14 @@ def verified_spans(rows: DataFrame, spans: DataFrame, templates: tuple[Template,
     joined = rows.join(F.broadcast(grouped) if few else grouped, ["doc_id", "print"]).select("doc_id", "print", "text", "spans")
     # equal rows of one document would be checked, and counted, once each
     joined = joined.dropDuplicates(["doc_id", "print"])
-    known = [(np.array(t.words, dtype=object), t.exact) for t in templates]
+    # words are bytes here too: str.split() would part them at white space beyond ASCII and shift all places after it
+    known = [(np.array([w.encode() for w in t.words], dtype=object), t.exact) for t in templates]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list] = [[], [], [], []]
             for k, (text, listed) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3))):
-                words = np.array(document_words(text).decode("utf-8", "replace").split(), dtype=object)
+                words = np.array(document_words(text).split(), dtype=object)
                 for span in listed.as_py():
                     template, exact = known[span["template"]]
                     if exact:

@@ -160,6 +160,19 @@ def test_notices_with_changes(spark, nothing):
     assert licenses.license_labels(nothing).count() == 0
 
 
+def test_white_space_beyond_ascii_shifts_no_place(spark):
+    phrases = [" ".join(t.words) for t in licenses.PHRASES]
+    gaps = "\u00a0\u0085\u2003\u2028\u202f\u3000"
+    docs = [(k, f"a{gap}b {gap} c " * 4 + phrase) for k, (gap, phrase) in enumerate((g, p) for g in gaps for p in phrases)]
+    docs.append((99, "a\u00a0b " * 9 + " ".join(licenses.NOTICES[0].words)))
+    rows = {r.doc_id: r for r in licenses.license_labels(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for doc, text in docs[:-1]:
+        words, places = plain_phrases(text)
+        assert (rows[doc].n_words, rows[doc].n_base) == (len(words), 1)
+        assert (rows[doc].first_word, rows[doc].last_word, rows[doc].base_labels) == (places[0][0], places[0][0], places[0][1])
+    assert rows[99].labels == "mit" and rows[99].score == 1
+
+
 # ---------------------------------------------------------------- archives
 
 
