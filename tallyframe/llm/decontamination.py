@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tallyframe.llm.common import WORD_BYTES, as_bytes, fresh, mix, table, with_columns, word_hashes
+from tallyframe.llm.common import as_bytes, fresh, mix, table, with_columns, word_hashes
+from tallyframe.llm.words import parted_words
 
 #: Words of an item for each edit that is allowed, sampled steps, recall aimed at.
 WORDS_PER_EDIT, SAMPLED, RECALL = 5, 3, 0.95
@@ -46,7 +47,7 @@ def shared_run(n: int) -> int:
 
 
 def words_of(text: bytes | None) -> np.ndarray:
-    return word_hashes(text.translate(WORD_BYTES)) if text else np.zeros(0, np.uint64)
+    return np.concatenate([np.zeros(0, np.uint64), *map(word_hashes, parted_words(text))])
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -285,7 +286,8 @@ def contamination(
     """One row for each document row and item in it, with the window of the fewest edits.
 
     ``doc_id``, ``item_id``, ``first_word`` and ``n_words`` of the window, ``edits`` in words
-    and ``similarity``. Words are runs of letters and digits, without case (of ASCII). At most
+    and ``similarity``. Words are those of ``words``: runs of letters and digits of any script,
+    without case, and single characters of scripts that are written without spaces. At most
     one word in ``WORDS_PER_EDIT`` may be edited, so items under five words must stand as they
     are. Null and empty texts match nothing; repeated rows are reported as often as they come;
     without items or documents the result is empty. Of windows with equal edits the first is taken.

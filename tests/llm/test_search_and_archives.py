@@ -114,6 +114,36 @@ def test_many_items_take_more_readings(spark, odd, monkeypatch):
     assert dc.without_contaminated(odd, items).count() == odd.count() - 4
 
 
+def test_words_of_any_script(spark):
+    cases = [
+        ("東京は日本の首都である", "昔から東京は日本の首都であるといわれている。"),
+        ("今天天气很好", "他说:今天天气很好,我们走吧"),
+        ("กรุงเทพมหานคร", "เมืองกรุงเทพมหานครใหญ่มาก"),
+        ("élève à l’école", "VOICI «ÉLÈVE À L’ÉCOLE»"),
+        ("Straße nach Köln", "die STRASSE—NACH…KÖLN!"),
+        ("москва столица россии", "сегодня“МОСКВА\u00a0СТОЛИЦА\u3000РОССИИ”"),
+        ("naïve café", "a na\u00adïve cafe, naïve¡café¿"),
+    ]
+    docs = spark.createDataFrame([(k, d, "x") for k, (_, d) in enumerate(cases)] + [(99, "別の話です plain text", "x")], "doc_id long, text string, more string")
+    items = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(cases)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in dc.contamination(docs, items).collect()}
+    assert got == {(k, k, 0) for k in range(len(cases))}
+    assert [r.doc_id for r in dc.without_contaminated(docs, items).collect()] == [99]
+
+
+def test_words_do_not_depend_on_parts(monkeypatch):
+    from tallyframe.llm import words
+
+    split = lambda t: b" ".join(words.parted_words(t.encode())).split()
+    text = "Größe日本 x\u200by İ😀❤\ufe0f ½ €5 naïve\u00ad" * 40
+    whole = split(text)
+    assert [w.decode() for w in split("Größe日本 x\u200by 😀❤\ufe0f €5")] == ["grösse", "日", "本", "x", "y", "😀", "❤", "€", "5"]
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(words, "CHARACTERS_AT_ONCE", size)
+        assert split(text) == whole
+    assert split("ab_C-9\n") == [b"ab", b"c", b"9"] and not split("")
+
+
 @pytest.mark.parametrize("n", range(1, 80))
 def test_runs_leave_out_no_match(n):
     q, t = dc.shared_run(n), dc.allowed_edits(n)
