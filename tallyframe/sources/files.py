@@ -33,8 +33,17 @@ MISSING_TOKENS = (
     "null",
 )
 
-# What a row has beyond the names of the header.
+# The text of a row that has more or fewer values than the header has names, NULL for all others.
+RAGGED = "_tally_ragged"
+# What stands after the end of such a row to see where it ends; no value.
+END = "\u0001end\u0001"
+# Has a value where a row has more values than the header has names.
 MORE = "_tally_more"
+# Spark's own bound on the values of a row.
+MOST_VALUES = 20480
+
+# How values are quoted.
+QUOTES = {"quote": '"', "escape": '"'}
 
 # Unsigned 64-bit integers beyond bigint.
 UNSIGNED = "decimal(20,0)"
@@ -59,20 +68,24 @@ def load_csv(
     is the choice for very large files. ``multi_line`` allows line breaks inside
     quotes, at the price of files that cannot be split between tasks.
 
-    Nothing is lost without a word: a row with more values than the header has names, and
-    with ``schema`` a value of another type, is an error, found by the pass that infers
-    types or, with ``schema``, when the row is read. With ``on_bad="null"`` the further
+    Nothing is lost without a word: a row with more values than the header has names, empty
+    ones too, and with ``schema`` a value of another type, is an error, found by the pass that
+    infers types or, with ``schema``, when the row is read. With ``on_bad="null"`` the further
     values are dropped and misfits are NULL. Missing values at the end of a row are NULL.
     """
     if on_bad not in ("error", "null"):
         raise ValueError(f"on_bad is 'error' or 'null', not {on_bad!r}")
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    reader = spark.read.options(header=True, multiLine=multi_line, **QUOTES)
     names = reader.csv(path).columns
-    wide = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MORE)])
-    cells = blank_missing(reader.schema(wide).csv(path), names)
+    texts = [T.StructField(n, T.StringType()) for n in names]
+    cells = blank_missing(reader.schema(T.StructType(texts)).csv(path), names)
+    # where only some columns are read Spark cannot tell the length of a row
+    whole = spark.read.options(header=True, multiLine=multi_line, columnPruning=False, columnNameOfCorruptRecord=RAGGED, **QUOTES)
+    watched = blank_missing(whole.schema(T.StructType([*texts, T.StructField(RAGGED, T.StringType())])).csv(path), names)
+    watched = watched.withColumn(MORE, F.when(_too_long(len(names)), "more"))
     strict = on_bad == "error"
     if schema is None:
-        types, too_long = infer_types(cells, names)
+        types, too_long = infer_types(watched, names)
         if strict and too_long:
             raise ValueError(f"{too_long} rows of {path} have more values than the header has names")
     else:
@@ -81,13 +94,27 @@ def load_csv(
         if list(types) != names:
             raise ValueError(f"schema names {list(types)} differ from the header {names}")
         if strict:
-            message = F.lit(f"a row of {path} has more values than the header has names")
-            cells = cells.where(F.when(col(MORE).isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+            # the first cell is in the message as Spark reads no table for the text of ragged rows alone
+            message = F.concat(F.lit(f"a row of {path} has more values than the header has names; it begins with: "), F.coalesce(col(names[0]), F.lit("")))
+            cells = watched.where(F.when(col(MORE).isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
     checked = strict and schema is not None
     table = cells.select(*[(_typed(n, t) if checked else col(n).try_cast(t)).alias(n) for n, t in types.items()])
     return derive_durations(table) if durations else table
 
 
+def _too_long(names: int) -> Column:
+    """Whether a row has more values than the header has names, empty ones too.
+
+    Only ragged rows have a text to read. It is read once more with marks put after its end:
+    the first value that has no name is a mark unless the row itself has a value there.
+    """
+    width = names + 1
+    marked = F.concat(F.col(RAGGED), F.lit(f",{END}" * width))
+    wide = ", ".join(f"`c{k}` string" for k in range(width))
+    beyond = F.from_csv(marked, wide, {**QUOTES, "maxColumns": str(MOST_VALUES + width)})[f"c{names}"]
+    return F.when(F.col(RAGGED).isNotNull(), ~beyond.eqNullSafe(END)).otherwise(False)
+
+
 def _typed(name: str, kind: str) -> Column:
     """The cell as another type; an error if it has a value that is none of that type."""
     value = col(name).try_cast(kind)

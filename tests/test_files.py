@@ -120,3 +120,27 @@ def test_nothing_is_lost_without_a_word(spark, tmp_path):
         load(spark, tmp_path, "a,b\n1,2\nz,3\n", schema="a int, b int").collect()
     with pytest.raises(ValueError, match="on_bad"):
         load(spark, tmp_path, ragged, on_bad="drop")
+
+
+@pytest.mark.parametrize("row", ["1,2,,9", "1,2,", "1,2,,", ",,,", "1,,,,,9", '"1,5",2,,9', '1,"x ""y"", z",', '1,2,NA,9', '1,2,""'])
+def test_empty_values_beyond_the_header_are_noticed(spark, tmp_path, row):
+    text = f'a,b\n1,2\n3\n"4,4"\n"5,5,5","6 ""x"", y"\n{row}\n7,\n'
+    for lines in (False, True):
+        with pytest.raises(ValueError, match="1 rows .* more values"):
+            load(spark, tmp_path, text, multi_line=lines)
+        for build in (lambda t: t.collect(), lambda t: t.select("b").collect(), lambda t: t.count()):
+            with pytest.raises(Exception, match="more values"):
+                build(load(spark, tmp_path, text, schema="a string, b string", multi_line=lines))
+    assert load(spark, tmp_path, text, on_bad="null").count() == 6
+
+
+def test_short_rows_are_not_too_long(spark, tmp_path):
+    text = 'a,b,c\n1\n"2,2"\n3,\n"4 ""x"", y",5\n,\n6,7,\n8,9,z\n'
+    want = [("1", None, None), ("2,2", None, None), ("3", None, None), ('4 "x", y', 5, None), (None, None, None), ("6", 7, None), ("8", 9, "z")]
+    for options in ({}, {"schema": "a string, b bigint, c string"}, {"multi_line": True}):
+        table = load(spark, tmp_path, text, **options)
+        assert sorted(map(tuple, table.collect()), key=str) == sorted(want, key=str) and table.count() == 7
+    table = load(spark, tmp_path, 'a,b,c\n"1\n,2",x\n3,"4\n\n,",5\n', multi_line=True)
+    assert sorted(map(tuple, table.collect()), key=str) == [("1\n,2", "x", None), ("3", "4\n\n,", 5)]
+    with pytest.raises(ValueError, match="1 rows .* more values"):
+        load(spark, tmp_path, 'a,b\n"1\n,2",x\n3,"4\n\n,",\n', multi_line=True)
