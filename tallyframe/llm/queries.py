@@ -1,8 +1,9 @@
-"""The registered queries of this subpackage. None of them can be said in one SQL statement."""
+"""The registered queries of this subpackage, and DuckDB SQL for those that one statement can say."""
 
 from __future__ import annotations
 
 from tallyframe.llm.bpe import op6_bpe
+from tallyframe.llm.collocations import ORACLE as COLLOCATIONS_SQL, op13_collocations
 from tallyframe.llm.decontamination import op4_decontamination
 from tallyframe.llm.fingerprints import op8_fingerprints
 from tallyframe.llm.language import op5_language
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_token_counts, op3_quality, op4_decontamination, op5_language, op6_bpe, op7_sharding,
-        op8_fingerprints, op9_warc, op10_licenses,
+        op8_fingerprints, op9_warc, op10_licenses, op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_collocations": COLLOCATIONS_SQL}
