@@ -11,6 +11,7 @@ from tallyframe.llm.licenses import op10_licenses
 from tallyframe.llm.quality import op3_quality
 from tallyframe.llm.sharding import op7_sharding
 from tallyframe.llm.simhash import op1_simhash
+from tallyframe.llm.spelling import op12_spelling
 from tallyframe.llm.token_counts import op2_token_counts
 from tallyframe.llm.warc import op9_warc
 
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_token_counts, op3_quality, op4_decontamination, op5_language, op6_bpe, op7_sharding,
-        op8_fingerprints, op9_warc, op10_licenses, op13_collocations,
+        op8_fingerprints, op9_warc, op10_licenses, op12_spelling, op13_collocations,
     )
 }
 ORACLES: dict[str, str] = {"op13_collocations": COLLOCATIONS_SQL}
