@@ -796,6 +796,21 @@ def sort_limit_ties_by_ranges(spark, sf_dir):
     return tf.sort_limit(rows, "l_quantity", limit=3000)
 
 
+@query("select l_suppkey as key, round(median(l_extendedprice), 4) as value from lineitem group by 1")
+def group_median_many_groups(spark, sf_dir):
+    """A median for each supplier: many groups, each bounded by its own sketch or ordered whole."""
+    return rounded(tf.group_agg(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice", "median"), 4)
+
+
+@query("select o_orderstatus as key, median(o_custkey) as value from orders group by 1")
+def group_median_sketch_bounds(spark, sf_dir):
+    """Whole-number medians of groups above the final slice: the sketch's bounds, counts and a short order."""
+    from tallyframe.operators.medians import median_by_sketches
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("key"), "o_custkey")
+    return median_by_sketches(rows, ["key"], "o_custkey", "value", final=256)
+
+
 @query("select l_linestatus as key, round(median(l_extendedprice), 4) as value from lineitem group by 1")
 def group_median_large(spark, sf_dir):
     """Two groups that hold the whole table."""

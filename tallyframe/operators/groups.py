@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.missing import col, is_text, present, type_of
 from tallyframe.functions.text import first_number
-from tallyframe.operators.ranges import median_by_ranges
+from tallyframe.operators.medians import median_by_sketches
 from tallyframe.operators.rules import column_follows
 
 
@@ -84,9 +84,9 @@ def group_agg(
     functions gives ``<function>_value`` columns of their own types. ``units``
     settles whether sums and means of text use the first number in each text
     (``"auto"`` looks at the column, one aggregate job); all other functions of the list
-    see the text. ``first`` and ``last`` need ``order_by``. Exact medians take one
-    checkpoint while the result is built; ``approximate`` lets ``median`` be an
-    approximate percentile.
+    see the text. ``first`` and ``last`` need ``order_by``. Exact medians come from KLL
+    sketch bounds (``operators.medians``) and take a few checkpoints while the result is
+    built; ``approximate`` lets ``median`` be an approximate percentile.
     """
     key_names = [keys] if isinstance(keys, str) else list(keys)
     column = column or key_names[0]
@@ -128,7 +128,7 @@ def group_agg(
     result = rows.groupBy(*[col(g) for g in groups]).agg(*plain) if plain else None
     if medians:
         numbers = rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value")))
-        exact = median_by_ranges(numbers, groups, "_tally_value", "_tally_median")
+        exact = median_by_sketches(numbers, groups, "_tally_value", "_tally_median")
         exact = exact.select(*[col(g) for g in groups], *[F.col("_tally_median").alias(n) for n in medians])
         result = exact if result is None else result.join(exact, groups)
     result = result.select(*[col(c) for c in (*groups, *names)])
