@@ -251,6 +251,24 @@ def value_counts(spark, sf_dir):
     return tf.value_counts(table(spark, sf_dir, "part"), "p_type", split=False)
 
 
+@query("""
+select cast(o_orderkey as varchar) as value, count(*) as count from orders
+group by 1 order by count desc, value limit 20
+""")
+def value_counts_mostly_distinct(spark, sf_dir):
+    """Every key is different: the summaries cannot settle it and all values are counted."""
+    return tf.value_counts(table(spark, sf_dir, "orders"), "o_orderkey", split=False)
+
+
+@query("""
+select cast(l_suppkey as varchar) as value, count(*) as count from lineitem
+group by 1 order by count desc, value limit 10
+""")
+def value_counts_heavy_hitters(spark, sf_dir):
+    """Whole-number values, many of them: candidates from the summaries, counted exactly."""
+    return tf.value_counts(table(spark, sf_dir, "lineitem"), "l_suppkey", limit=10, split=False)
+
+
 @query("""
 select p_brand as value, count(*) as count from part where p_brand is not null
 group by 1 order by count desc, value limit 7

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.missing import is_text, present
 from tallyframe.functions.text import explode_list, text_form
+from tallyframe.operators.heavy import top_values
 from tallyframe.operators.ranges import first_rows
 from tallyframe.operators.rules import column_follows
 
 DEFAULT_VALUES = 20
+#: Limits up to which top values come from heavy-hitter summaries.
+HEAVY_LIMIT = 1_000
 
 
 def matching_rows(df: DataFrame) -> DataFrame:
@@ -27,9 +30,18 @@ def value_counts(
 
     ``split`` counts the items of comma-separated lists in place of whole texts;
     ``"auto"`` looks at the column first (one aggregate job, text columns only).
+    Up to ``HEAVY_LIMIT`` values are found from Misra-Gries summaries and one exact
+    count of the candidates (``operators.heavy``: a few small jobs); where these do not
+    settle the answer, and for larger limits, all values are counted.
     """
-    counted = count_values(df, column, choose_split(df, column, split), name)
-    return first_rows(counted, [(F.col("count"), False), (F.col(name), True)], value_limit(limit))
+    k = value_limit(limit)
+    rows = value_rows(df, column, choose_split(df, column, split), name)
+    counted = top_values(rows, name, k) if k <= HEAVY_LIMIT else None
+    if counted is None:
+        counted = rows.groupBy(name).agg(F.count("*").alias("count"))
+    dtype = counted.schema[name].dataType
+    counted = counted.select(text_form(F.col(name), dtype).alias(name), "count")
+    return first_rows(counted, [(F.col("count"), False), (F.col(name), True)], k)
 
 
 def value_limit(limit: int | None) -> int:
@@ -50,16 +62,19 @@ def count_values(df: DataFrame, column: str, split: bool = False, name: str = "v
     Equal values meet in the map-side aggregate, so a value that fills a third of
     the table still leaves each task as one row.
     """
-    value = present(df, column)
-    if split:
-        rows = explode_list(df, value.cast("string"), name)
-    else:
-        rows = df.select(value.alias(name)).where(F.col(name).isNotNull())
-    counted = rows.groupBy(name).agg(F.count("*").alias("count"))
+    counted = value_rows(df, column, split, name).groupBy(name).agg(F.count("*").alias("count"))
     dtype = counted.schema[name].dataType
     return counted.select(text_form(F.col(name), dtype).alias(name), "count")
 
 
+def value_rows(df: DataFrame, column: str, split: bool, name: str) -> DataFrame:
+    """The column's values (or list items) that are present, as the one column ``name``."""
+    value = present(df, column)
+    if split:
+        return explode_list(df, value.cast("string"), name)
+    return df.select(value.alias(name)).where(F.col(name).isNotNull())
+
+
 def total_values(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """Number of distinct values of the whole column, lists left unsplit."""
     count = F.approx_count_distinct if approximate else F.count_distinct
