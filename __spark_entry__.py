@@ -303,6 +303,18 @@ def value_counts_unsplit_auto(spark, sf_dir):
     return tf.value_counts(table(spark, sf_dir, "part"), "p_name")
 
 
+@query("select count(distinct l_partkey) as total_values from lineitem")
+def total_values_whole_numbers(spark, sf_dir):
+    """Distinct whole numbers of the whole table: bitmaps by bucket, no shuffle of values."""
+    return tf.total_values(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("select l_returnflag as key, cast(count(distinct l_partkey) as double) as value from lineitem group by 1")
+def group_nunique_whole_numbers(spark, sf_dir):
+    """Distinct whole numbers per group, one of which holds about half the table."""
+    return tf.group_agg(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_partkey", "nunique")
+
+
 @query("select count(distinct p_name) as total_values from part")
 def total_values(spark, sf_dir):
     return tf.total_values(table(spark, sf_dir, "part"), "p_name")
