@@ -3,10 +3,10 @@
 Texts are lower-cased in A-Z only, cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and the pieces
 into words at spaces and tabs. Everything is counted per language (null: ``und``).
 
-1. One Spark aggregate counts the words of each language (``n``).
+1. One Spark aggregate sums the bytes of each language.
 2. SON, first pass: each shard (rows of a task, at most ``shard_bytes`` of text together)
    is mined completely: all its phrases of 1 to 4 words are counted in numpy, and those
-   whose local count reaches ``min_count * shard words / all words`` of their language are
+   whose local count reaches ``min_count * shard bytes / all bytes`` of their language are
    locally frequent. A phrase below that share in every shard is below ``min_count`` in
    all, so the union of these sets holds every frequent phrase.
 3. Second pass: every shard counts exactly the phrases of that union (held in the task in
@@ -25,6 +25,7 @@ table gives no rows; a very long text is one shard of its own and is read whole.
 
 from __future__ import annotations
 
+import collections
 import math
 
 import numpy as np
@@ -41,9 +42,9 @@ LENGTHS = (2, 3, 4)
 MIN_COUNT, TOP, SCALE, INSIDE_SHARE = 30, 2000, 2_000_000, 80
 
 #: Bytes of text that one shard holds at most (a longer text is a shard of its own).
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 23
 #: Candidate keys a task holds at once; more are counted in further passes.
-BLOCK_KEYS = 1 << 23
+BLOCK_KEYS = 1 << 22
 #: Languages whose word counts are broadcast at most; more are joined by a shuffle.
 BROADCAST_LANGS = 100_000
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
@@ -53,17 +54,14 @@ TABLE = bytes(
     10 if b in PIECE_BREAKS else 32 if b in WORD_BREAKS else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 WORDS = ["w1", "w2", "w3", "w4"]
-KEYED = "lang string, g int, w1 long, w2 long, w3 long, w4 long, k long"
+LOCAL = "lang string, g int, k long, v long"
+KEYED = "lang string, g int, k long"
 COUNTED = "lang string, g int, w1 long, w2 long, w3 long, w4 long, c long, word string"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shard_phrases(texts, langs):
-    """All phrases of 1 to 4 words of a shard, counted: key, lang index, length, word hashes, count, first place.
-
-    ``texts`` are UTF-8 bytes (None: no words), ``langs`` an index per text. Returns also the
-    translated bytes and the word spans, so that words can be read back.
-    """
+def shard_words(texts):
+    """Translated bytes of a shard's texts, its words (starts, ends, 64-bit hashes), their pieces and texts."""
     data = np.frombuffer(b"\n" + b"\n".join((t or b"").translate(TABLE) for t in texts) + b"\n", np.uint8)
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = (data != 10) & (data != 32)
@@ -71,38 +69,52 @@ def shard_phrases(texts, langs):
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     hashes = span_hashes(data)(starts, ends)
     hashes[hashes == 0] = 1
-    piece = np.cumsum(data == 10)[starts]
+    piece = np.cumsum(data == 10, dtype=np.int64)[starts]
     bounds = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
-    lang = np.asarray(langs, np.int64)[np.searchsorted(bounds, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
-    n = len(starts)
-    parts = []
+    owner = np.searchsorted(bounds, starts, "right") - 1
+    return data, starts, ends, hashes, piece, owner
+
+
+def shard_phrases(hashes, piece, lang, code):
+    """Phrases of 1 to 4 words of a shard, one length at a time, counted.
+
+    ``lang`` is the index of each word's language in the shard, ``code`` a 64-bit code of
+    the language that is the same in every shard. Yields (g, keys, first word of the first
+    place, lang index, counts) for each distinct phrase; a phrase is its language and word
+    hashes, ``keys`` a 64-bit hash of these, the same in every shard.
+    """
+    n = len(hashes)
     for g in range(1, 5):
         m = max(n - g + 1, 0)
         if not m:
             continue
         at = np.flatnonzero(piece[g - 1 : g - 1 + m] == piece[:m])
-        cols = [hashes[at + j] if j < g else np.zeros(len(at), np.uint64) for j in range(4)]
-        parts.append((np.full(len(at), g, np.int64), lang[at], at, cols))
-    if not parts:
-        empty = np.zeros(0, np.uint64)
-        return (empty, np.zeros(0, np.int64), np.zeros(0, np.int64), [empty] * 4, np.zeros(0, np.int64), np.zeros(0, np.int64)), data, starts, ends
-    g = np.concatenate([p[0] for p in parts])
-    lg = np.concatenate([p[1] for p in parts])
-    at = np.concatenate([p[2] for p in parts])
-    cols = [np.concatenate([p[3][j] for p in parts]) for j in range(4)]
-    with np.errstate(over="ignore"):
-        key = mix(lg.astype(np.uint64) * STEP + g.astype(np.uint64))
-        for col in cols:
-            key = mix(key * STEP + col)
-    keys, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    same = (lg == lg[first][inverse]) & (g == g[first][inverse])
-    for col in cols:
-        same &= col == col[first][inverse]
-    if not same.all():  # two phrases share a key: group them by all their parts instead
-        rows = np.rec.fromarrays([lg, g, *cols])
-        _, first, counts = np.unique(rows, return_index=True, return_counts=True)
-        keys = key[first]
-    return (keys, lg[first], g[first], [c[first] for c in cols], counts, at[first]), data, starts, ends
+        with np.errstate(over="ignore"):
+            key = mix(code[at] * STEP + np.uint64(g))
+            for j in range(g):
+                key = mix(key * STEP + hashes[at + j])
+        keys, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        same = lang[at] == lang[at[first]][inverse]
+        for j in range(g):
+            same &= hashes[at + j] == hashes[at[first] + j][inverse]
+        if not same.all():  # two phrases share a key: group them by all their parts instead
+            rows = np.rec.fromarrays([lang[at], *[hashes[at + j] for j in range(g)]])
+            _, first, counts = np.unique(rows, return_index=True, return_counts=True)
+            keys = key[first]
+        yield g, keys, at[first], lang[at[first]], counts
+
+
+def tuples(hashes, at, g):
+    """The four word hashes of phrases of ``g`` words that start at ``at`` (0 beyond the phrase)."""
+    return [hashes[at + j] if j < g else np.zeros(len(at), np.uint64) for j in range(4)]
+
+
+def language_codes(names, lang):
+    """64-bit codes of the languages of a shard's words, the same in every task."""
+    import hashlib
+
+    codes = np.asarray([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in names], np.uint64)
+    return codes[lang] if len(names) else np.zeros(len(lang), np.uint64)
 
 
 def shards(batches, shard_bytes):
@@ -123,75 +135,99 @@ def shards(batches, shard_bytes):
 
 
 def local_frequent(min_count: int, shard_bytes: int):
-    """First SON pass: the keys of the locally frequent phrases of each shard."""
-    schema = pa.schema([("lang", pa.string()), ("g", pa.int32()), *[(w, pa.int64()) for w in WORDS], ("k", pa.int64())])
+    """First SON pass: the locally frequent phrases of each shard, and each shard's slack.
+
+    A phrase's rows carry ``count - (need - 1)``, where ``need`` is the local support of its
+    language; a row with ``g = 0`` carries ``need - 1`` of a language of the shard. Summed,
+    ``slack + sum`` bounds the phrase's count from above: in a shard where it is not
+    locally frequent it occurs at most ``need - 1`` times.
+    """
+    schema = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("k", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         for shard in shards(batches, shard_bytes):
             names = sorted({lang for _, lang, _ in shard})
             index = {lang: i for i, lang in enumerate(names)}
             totals = {lang: total for _, lang, total in shard}
-            (keys, lg, g, cols, counts, _), data, starts, ends = shard_phrases(
-                [t for t, _, _ in shard], [index[lang] for _, lang, _ in shard]
-            )
-            words = np.bincount(lg[g == 1], weights=counts[g == 1], minlength=len(names)).astype(np.int64)
-            # Locally frequent: count * all words >= min_count * shard words, in integers.
-            need = np.array([-(-min_count * int(w) // int(totals[name])) if w else 0 for name, w in zip(names, words)], np.int64)
-            keep = counts >= need[lg]
+            data, starts, ends, hashes, piece, owner = shard_words([t for t, _, _ in shard])
+            lang = np.asarray([index[lang] for _, lang, _ in shard], np.int64)[owner]
+            size = collections.Counter()
+            for text, name, _ in shard:
+                size[name] += len(text or b"")
+            # Locally frequent: count * all bytes >= min_count * shard bytes of the language, in integers.
+            need = np.array([-(-min_count * size[name] // int(totals[name])) if size[name] else 0 for name in names], np.int64)
+            slack = np.maximum(need - 1, 0)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.asarray(names, dtype=object)[lg[keep]] if len(names) else [], pa.string()),
-                    pa.array(g[keep], pa.int32()),
-                    *[pa.array(c[keep].view(np.int64)) for c in cols],
-                    pa.array(keys[keep].view(np.int64)),
-                ],
+                [pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(np.zeros(len(names), np.int64)),
+                 pa.array(slack)],
                 schema=schema,
             )
+            for g, keys, at, lg, counts in shard_phrases(hashes, piece, lang, language_codes(names, lang)):
+                keep = counts >= np.maximum(need[lg], 1)
+                yield from sliced(pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.asarray(names, dtype=object)[lg[keep]], pa.string()),
+                        pa.array(np.full(int(keep.sum()), g, np.int32)),
+                        pa.array(keys[keep].view(np.int64)),
+                        pa.array(counts[keep] - slack[lg[keep]]),
+                    ],
+                    schema=schema,
+                ))
 
     return run
 
 
-def candidate_counts(path: str, block: int, shard_bytes: int):
-    """Second SON pass: exact counts of the phrases whose keys are in block ``block`` at ``path``."""
+def candidate_counts(path: str, block: int, blocks: int, shard_bytes: int):
+    """Second SON pass: exact counts of the phrases whose keys at ``path`` fall in block ``block`` of ``blocks``."""
     schema = pa.schema(
         [("lang", pa.string()), ("g", pa.int32()), *[(w, pa.int64()) for w in WORDS], ("c", pa.int64()), ("word", pa.string())]
     )
 
     def run(batches):
-        import pyarrow.parquet as pq
-
-        store, root = open_store(f"{path}/block={block}")
-        wanted = np.sort(pq.read_table(root, filesystem=store, columns=["k"]).column("k").to_numpy().view(np.uint64))
+        import pyarrow.dataset as ds
+
+        store, root = open_store(path)
+        held = [
+            b.column(0).to_numpy()[b.column(1).to_numpy() % blocks == block]
+            for b in ds.dataset(root, filesystem=store, format="parquet").to_batches(columns=["k", "block"])
+        ]
+        wanted = np.sort(np.concatenate(held).view(np.uint64)) if held else np.zeros(0, np.uint64)
         for shard in shards(batches, shard_bytes):
             names = sorted({lang for _, lang, _ in shard})
             index = {lang: i for i, lang in enumerate(names)}
-            (keys, lg, g, cols, counts, at), data, starts, ends = shard_phrases(
-                [t for t, _, _ in shard], [index[lang] for _, lang, _ in shard]
-            )
-            place = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
-            hit = (wanted[place] == keys) if len(wanted) else np.zeros(len(keys), bool)
-            words = [
-                bytes(data[starts[i] : ends[i]]).decode() if one else None
-                for i, one in zip(at[hit], g[hit] == 1, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.asarray(names, dtype=object)[lg[hit]] if len(names) else [], pa.string()),
-                    pa.array(g[hit], pa.int32()),
-                    *[pa.array(c[hit].view(np.int64)) for c in cols],
-                    pa.array(counts[hit]),
-                    pa.array(words, pa.string()),
-                ],
-                schema=schema,
-            )
+            data, starts, ends, hashes, piece, owner = shard_words([t for t, _, _ in shard])
+            lang = np.asarray([index[lang] for _, lang, _ in shard], np.int64)[owner]
+            if block == 0:  # the words of each language, counted once
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)),
+                     *[pa.array(np.zeros(len(names), np.int64)) for _ in WORDS],
+                     pa.array(np.bincount(lang, minlength=len(names)).astype(np.int64)), pa.array([None] * len(names), pa.string())],
+                    schema=schema,
+                )
+            for g, keys, at, lg, counts in shard_phrases(hashes, piece, lang, language_codes(names, lang)):
+                if len(wanted):
+                    hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+                else:
+                    hit = np.zeros(len(keys), bool)
+                words = [bytes(data[starts[i] : ends[i]]).decode() for i in at[hit]] if g == 1 else [None] * int(hit.sum())
+                yield from sliced(pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.asarray(names, dtype=object)[lg[hit]], pa.string()),
+                        pa.array(np.full(int(hit.sum()), g, np.int32)),
+                        *[pa.array(c.view(np.int64)) for c in tuples(hashes, at[hit], g)],
+                        pa.array(counts[hit].astype(np.int64)),
+                        pa.array(words, pa.string()),
+                    ],
+                    schema=schema,
+                ))
 
     return run
 
 
-def word_count(text: F.Column) -> F.Column:
-    """Words of a text: runs of bytes that are neither piece nor word breaks."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\t\n\x0B\f\r .,;:!?]+")
-    return F.size(F.filter(parts, lambda p: p != ""))
+def sliced(batch: pa.RecordBatch, rows: int = 1 << 18):
+    """A batch in slices of at most ``rows`` rows, so that no Arrow message grows with a shard."""
+    for at in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(at, rows)
 
 
 def collocations(
@@ -210,33 +246,37 @@ def collocations(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    totals = rows.groupBy("lang").agg(F.sum(word_count(F.col("text"))).cast("long").alias("n"))
+    # Local support follows a shard's share of its language's bytes: any additive share keeps SON exact.
+    totals = rows.groupBy("lang").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
     totals = settle(totals, "languages")
     # Each row carries its language's words: by broadcast if the languages are few, as checked, else by a shuffle.
     few = totals.count() <= BROADCAST_LANGS
     sized = rows.join(F.broadcast(totals) if few else totals, "lang").select("text", "lang", "n")
 
-    local = sized.mapInArrow(local_frequent(min_count, shard_bytes), KEYED)
-    candidates = local.dropDuplicates(["lang", "g", *WORDS])
+    local = sized.mapInArrow(local_frequent(min_count, shard_bytes), LOCAL)
+    slack = local.where("g = 0").groupBy("lang").agg(F.sum("v").alias("slack"))
+    bounds = local.where("g > 0").groupBy("lang", "g", "k").agg(F.sum("v").alias("v"))
+    # Only candidates that could reach min_count: the bound is never below the count.
+    candidates = bounds.join(F.broadcast(slack) if few else slack, "lang").where(F.col("slack") + F.col("v") >= min_count)
     path = fresh_path(spark, "phrases")
-    count = candidates.count()
+    candidates.select("lang", "g", "k", F.pmod(F.col("k"), F.lit(1 << 30)).alias("block")).write.parquet(path)
+    count = spark.read.parquet(path).count()
     if not count:
         return spark.createDataFrame([], RESULT)
     blocks = max(1, math.ceil(count / block_keys))
-    candidates.withColumn("block", F.pmod(F.col("k"), F.lit(blocks))).write.partitionBy("block").parquet(path)
-    kept = spark.read.schema(KEYED).parquet(path)
 
     counted = None
     for block in range(blocks):
-        part = sized.mapInArrow(candidate_counts(path, block, shard_bytes), COUNTED)
+        part = sized.mapInArrow(candidate_counts(path, block, blocks, shard_bytes), COUNTED)
         counted = part if counted is None else counted.unionByName(part)
-    sums = counted.groupBy("lang", "g", *WORDS).agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
-    # A key hit by another phrase is counted there too: keep only the candidates themselves.
-    exact = sums.join(kept.select("lang", "g", *WORDS), ["lang", "g", *WORDS], "left_semi")
+    words = counted.where("g = 0").groupBy("lang").agg(F.sum("c").alias("n"))
+    counted = counted.where("g > 0")
+    exact = counted.groupBy("lang", "g", *WORDS).agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+    # Every phrase whose key is asked for is counted in every shard, so its count is exact.
     exact = exact.withColumn(
         "f", F.when(F.col("word") != F.col("other"), F.raise_error(F.lit("two words share a 64-bit hash"))).otherwise(F.col("f"))
     )
-    return score_phrases(exact, totals, min_count, top)
+    return score_phrases(exact, words, min_count, top)
 
 
 def score_phrases(exact: DataFrame, totals: DataFrame, min_count: int, top: int) -> DataFrame:
