@@ -315,6 +315,24 @@ def group_nunique_whole_numbers(spark, sf_dir):
     return tf.group_agg(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_partkey", "nunique")
 
 
+@query("""
+with t as (select *, row_number() over () as place from orders)
+select o_orderpriority as key, arg_min(o_totalprice, place) as first_value, arg_max(o_totalprice, place) as last_value
+from t group by 1
+""")
+def group_first_last_file(spark, sf_dir):
+    """First and last in the order of the file: Parquet's row index, no column of the table."""
+    return tf.group_agg(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", ["first", "last"], order_by="file")
+
+
+@query("""
+select * exclude (place) from (select *, row_number() over () as place from lineitem) order by place limit 25
+""")
+def sample_file_order(spark, sf_dir):
+    """The first rows of the file, whatever task reads them first."""
+    return tf.sample_rows(table(spark, sf_dir, "lineitem"), 25, order_by=["file"])
+
+
 @query("select count(distinct p_name) as total_values from part")
 def total_values(spark, sf_dir):
     return tf.total_values(table(spark, sf_dir, "part"), "p_name")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.missing import col, is_text, present, type_of
+from tallyframe.functions.places import file_place, wants_file_order
 from tallyframe.functions.text import first_number
 from tallyframe.operators.distinct import bitmap_distinct, is_whole
 from tallyframe.operators.medians import median_by_sketches
@@ -85,7 +86,8 @@ def group_agg(
     functions gives ``<function>_value`` columns of their own types. ``units``
     settles whether sums and means of text use the first number in each text
     (``"auto"`` looks at the column, one aggregate job); all other functions of the list
-    see the text. ``first`` and ``last`` need ``order_by``. Exact medians come from KLL
+    see the text. ``first`` and ``last`` need ``order_by``; ``order_by="file"`` is the
+    order of the files read (path, then row). Exact medians come from KLL
     sketch bounds (``operators.medians``) and take a few checkpoints while the result is
     built; ``approximate`` lets ``median`` be an approximate percentile.
     """
@@ -109,12 +111,14 @@ def group_agg(
     order = [order_by] if isinstance(order_by, str) else list(order_by or ())
     if not order and any(f in ORDERED for f in funcs):
         raise ValueError("first and last need order_by: rows have no order of their own")
+    # order_by="file": the rows' places in their files (path, row index), where no column is so named.
+    order_columns = file_place(df) if wants_file_order(df, order) else [present(df, o) for o in order]
 
     rows = df.select(
         *[present(df, k).alias(g) for k, g in zip(key_names, groups)],
         value.alias("_tally_value"),
         *[first_number(value).alias("_tally_number")] * bool(with_units),
-        *[present(df, o).alias(f"_tally_order{i}") for i, o in enumerate(order)],
+        *[c.alias(f"_tally_order{i}") for i, c in enumerate(order_columns)],
     )
     for g in groups:
         rows = rows.where(col(g).isNotNull())
@@ -125,7 +129,7 @@ def group_agg(
     if isinstance(func, str) and func == "sum" and isinstance(dtype, T.LongType):
         # the result is a double; sums of decimal(20,0) are decimal(30,0) and do not overflow on the way
         rows, types = rows.withColumn("_tally_value", F.col("_tally_value").cast("decimal(20,0)")), {func: T.DecimalType(20, 0)}
-    plain = [_aggregate(f, types[f], source[f], len(order)).alias(n) for f, n in zip(funcs, names) if n not in medians]
+    plain = [_aggregate(f, types[f], source[f], len(order_columns)).alias(n) for f, n in zip(funcs, names) if n not in medians]
     result = rows.groupBy(*[col(g) for g in groups]).agg(*plain) if plain else None
     if funcs == ["nunique"] and is_whole(rows, F.col("_tally_value")):
         # Whole numbers: bitmaps per (group, bucket) in place of the values themselves.

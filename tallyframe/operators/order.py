@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.missing import present
+from tallyframe.functions.places import file_place, wants_file_order
 from tallyframe.operators.ranges import first_rows
 
 DEFAULT_ROWS = 5
@@ -49,9 +50,14 @@ def can_be_ordered(dtype: T.DataType) -> bool:
 
 
 def sample_rows(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
-    """Any ``n`` rows, or the first ``n`` in a given order."""
+    """Any ``n`` rows, or the first ``n`` in a given order; ``["file"]`` is the order of the files read."""
     if n < 0:
         raise ValueError(f"negative limit {n}")
     if not order_by:
         return df.limit(n)
+    if wants_file_order(df, list(order_by)):
+        place = file_place(df)
+        named = df.select("*", *[c.alias(f"_tally_place{i}") for i, c in enumerate(place)])
+        kept = first_rows(named, [(F.col(f"_tally_place{i}"), True) for i in range(len(place))], n)
+        return kept.drop(*[f"_tally_place{i}" for i in range(len(place))])
     return first_rows(df, [(present(df, o), True) for o in order_by], n)
