@@ -60,9 +60,15 @@ def load_csv(
     multi_line: bool = False,
     durations: bool = True,
     on_bad: str = "error",
+    copies: str | None = None,
 ) -> DataFrame:
     """Table from comma-separated text with a header.
 
+    With ``copies`` (a folder every executor can reach) the typed table is written there
+    as Parquet under a key of the files' paths, sizes and modification times and of the
+    options; a later call with the same files finds it and starts no job at all. A
+    changed, added or removed file makes another key, so a stale copy is never read.
+
     Without ``schema`` one aggregate pass over the whole file settles the column
     types; with it (names must be those of the header) that pass is left out, which
     is the choice for very large files. ``multi_line`` allows line breaks inside
@@ -75,6 +81,8 @@ def load_csv(
     """
     if on_bad not in ("error", "null"):
         raise ValueError(f"on_bad is 'error' or 'null', not {on_bad!r}")
+    if copies is not None:
+        return _kept_copy(spark, path, copies, schema, multi_line, durations, on_bad)
     reader = spark.read.options(header=True, multiLine=multi_line, **QUOTES)
     names = reader.csv(path).columns
     texts = [T.StructField(n, T.StringType()) for n in names]
@@ -102,6 +110,42 @@ def load_csv(
     return derive_durations(table) if durations else table
 
 
+def _kept_copy(spark, path, copies, schema, multi_line, durations, on_bad) -> DataFrame:
+    """The typed copy of the CSV files at ``path`` in ``copies``, written by the first call."""
+    import hashlib
+    import json
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    # a fixed schema lists the files without reading them
+    for name in sorted(spark.read.schema("_tally_line string").csv(path).inputFiles()):
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(name)
+        status = hadoop_path.getFileSystem(conf).getFileStatus(hadoop_path)
+        files.append([name, status.getLen(), status.getModificationTime()])
+    wanted = schema.simpleString() if isinstance(schema, T.StructType) else schema
+    key = hashlib.sha256(json.dumps([files, wanted, multi_line, durations, on_bad]).encode()).hexdigest()[:32]
+    folder = f"{copies.rstrip('/')}/csv-{key}"
+    marker = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    store = marker.getFileSystem(conf)
+    types = jvm.org.apache.hadoop.fs.Path(f"{folder}.schema.json")
+    if store.exists(marker) and store.exists(types):
+        stream = store.open(types)
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return spark.read.schema(T.StructType.fromJson(json.loads(text))).parquet(folder)
+    table = load_csv(spark, path, schema, multi_line, durations, on_bad)
+    table.write.mode("overwrite").parquet(folder)
+    out = store.create(types, True)
+    try:
+        out.write(bytearray(json.dumps(table.schema.jsonValue()).encode()))
+    finally:
+        out.close()
+    return spark.read.schema(table.schema).parquet(folder)
+
+
 def _too_long(names: int) -> Column:
     """Whether a row has more values than the header has names, empty ones too.
 
