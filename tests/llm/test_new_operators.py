@@ -219,3 +219,22 @@ def test_lm_odd_tables(odd, nothing):
 @pytest.mark.parametrize("train_bytes, bits", [(0, 16), (1 << 20, 16), (1 << 30, 21), (1 << 50, 21)])
 def test_table_grows_with_the_corpus(train_bytes, bits):
     assert lm_scoring.table_bits(train_bytes) == bits
+
+
+# ---------------------------------------------------------------- the registered queries
+
+
+def test_registered_queries_give_the_plain_results(spark, documents):
+    import __spark_entry__ as entry
+
+    queries = entry.queries()
+    assert entry.oracle_sql()["op13_collocations"] == collocations.ORACLE
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(tuple(r) for r in con.execute(collocations.ORACLE).fetchall())
+    assert result_rows(queries["op13_collocations"](spark, SF)) == want
+    assert spelled(queries["op12_spelling"](spark, SF)) == plain_spelling(texts_of(documents))
+    scored = queries["op11_lm_scoring"](spark, SF).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in scored} == plain_base(
+        texts_of(documents)
+    )
