@@ -15,7 +15,10 @@ exactly, which is one more join, of the whole candidate with the words: terminal
 with one edit are the near words. Nodes of at most one code point have at most
 90 + 90 * 90 edges (the code points that a lower-cased run can hold), so that part of the
 edge table is broadcast and the root, which every word passes, is no hot key; deeper
-nodes are joined by a shuffle.
+nodes are joined by a shuffle. Edges that cannot go on are not followed: a state is
+joined with trie triples (node, char, next code point), two levels at once, so a
+substitution or insertion becomes a candidate only where the trie continues with the
+word's next code point.
 
 A word's form is its near word of largest ``n`` (ties: smallest in code-point order) if
 that ``n`` is at least 5 times its own; the root follows forms to the end, by pointer
@@ -53,29 +56,47 @@ def planted_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """Pairs (word, near, near_n) of kept words one edit apart, by the trie frontier; ``words`` has word, n."""
+    """Pairs (word, near, near_n) of kept words one edit apart, by the trie frontier; ``words`` has word, n.
+
+    A substitution or insertion at a node follows an edge whose child has the word's next
+    code point below it: the state is joined with trie triples (node, char, next), two
+    levels at once, so only edges that can go on become candidates. At the word's end
+    the plain edges (node, char) serve.
+    """
     length = F.char_length("word")
     levels = words.select("word", F.explode(F.sequence(F.lit(0), length)).alias("i"))
-    states = levels.select("word", "i", F.expr("substring(word, 1, i)").alias("node"), F.expr("substring(word, i + 2)").alias("after"),
-                           F.expr("substring(word, i + 1)").alias("rest"), F.expr("substring(word, i + 1, 1)").alias("own"))
-    edges = (
-        words.select("word", F.explode(F.sequence(F.lit(0), length - 1)).alias("i"))
-        .select(F.expr("substring(word, 1, i)").alias("node"), F.expr("substring(word, i + 1, 1)").alias("char"))
-        .distinct()
+    states = levels.select(
+        "word", "i", F.expr("substring(word, 1, i)").alias("node"), F.expr("substring(word, i + 2)").alias("after"),
+        F.expr("substring(word, i + 1)").alias("rest"), F.expr("substring(word, i + 1, 1)").alias("own"),
     )
-    shallow_edges = edges.where(F.char_length("node") <= SHALLOW)
-    deep_edges = edges.where(F.char_length("node") > SHALLOW)
-    shallow = states.where(F.col("i") <= SHALLOW).join(F.broadcast(shallow_edges), "node")
-    deep = states.where(F.col("i") > SHALLOW).join(deep_edges, "node")
-    followed = shallow.unionByName(deep)
-    substituted = followed.where((F.col("own") != "") & (F.col("char") != F.col("own"))).select(
+    prefixes = words.select("word", F.explode(F.sequence(F.lit(0), length - 1)).alias("i"))
+    edges = prefixes.select(F.expr("substring(word, 1, i)").alias("node"), F.expr("substring(word, i + 1, 1)").alias("char")).distinct()
+    triples = prefixes.select(
+        F.expr("substring(word, 1, i)").alias("node"), F.expr("substring(word, i + 1, 1)").alias("char"),
+        F.expr("substring(word, i + 2, 1)").alias("next"),
+    ).where(F.col("next") != "").distinct()
+
+    def follow(frontier: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+        """States joined with trie rows; nodes of at most SHALLOW code points are broadcast (bounded by the alphabet)."""
+        shallow = frontier.where(F.col("i") <= SHALLOW).join(F.broadcast(table.where(F.char_length("node") <= SHALLOW)), on)
+        deep = frontier.where(F.col("i") > SHALLOW).join(table.where(F.char_length("node") > SHALLOW), on)
+        return shallow.unionByName(deep)
+
+    # Substitution: the code point after the replaced one must follow the new edge.
+    inner = follow(states.where(F.col("after") != "").withColumn("next", F.substring("after", 1, 1)), triples, ["node", "next"])
+    last = follow(states.where((F.col("own") != "") & (F.col("after") == "")), edges, ["node"])
+    substituted = inner.unionByName(last, allowMissingColumns=True).where(F.col("char") != F.col("own")).select(
         "word", F.concat("node", "char", "after").alias("near")
     )
-    inserted = followed.select("word", F.concat("node", "char", "rest").alias("near"))
+    # Insertion: the word's own code point must follow the inserted one.
+    inner = follow(states.where(F.col("rest") != "").withColumn("next", F.col("own")), triples, ["node", "next"])
+    last = follow(states.where(F.col("rest") == ""), edges, ["node"])
+    inserted = inner.unionByName(last, allowMissingColumns=True).select("word", F.concat("node", "char", "rest").alias("near"))
     deleted = states.where(F.col("own") != "").select("word", F.concat("node", "after").alias("near"))
-    candidates = substituted.unionByName(inserted).unionByName(deleted).distinct()
+    candidates = substituted.unionByName(inserted).unionByName(deleted)
     targets = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return candidates.join(targets, "near").select("word", "near", "near_n")
+    # Candidates meet the words in one shuffle; only the terminal states, few, are made distinct.
+    return candidates.join(targets, "near").select("word", "near", "near_n").distinct()
 
 
 def spelling_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
