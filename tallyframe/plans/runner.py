@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tallyframe.operators.breakdown import EXCLUDED, breakdown, pick_breakdown_column
 from tallyframe.operators.counts import matching_rows, total_values, value_counts
@@ -43,6 +43,7 @@ class PlanResult:
     filtered: DataFrame | None = None
     rows: DataFrame | None = None
     exclude: Iterable[str] = EXCLUDED
+    matching: int | None = field(default=None, repr=False)
 
     @property
     def operation(self) -> str:
@@ -66,8 +67,23 @@ class PlanResult:
         return self.filtered
 
     def count(self) -> int:
-        """Rows that pass the filters."""
-        return matching_rows(self._table()).first()["matching_rows"]
+        """Rows that pass the filters; known without a job once ``write_rows`` has written a filter's rows."""
+        if self.matching is None:
+            self.matching = matching_rows(self._table()).first()["matching_rows"]
+        return self.matching
+
+    def write_rows(self, path: str, fmt: str = "parquet") -> None:
+        """Write ``rows``. For a filter, the rows that pass are counted by an ``Observation`` of
+        the same job, so ``count()`` reads the table no second time."""
+        if self.rows is None:
+            raise ValueError(f"unsupported request: {self.reason}")
+        rows, observation = self.rows, None
+        if self.operation == "filter" and self.rows is self.filtered:
+            observation = Observation("tallyframe_matching_rows")
+            rows = rows.observe(observation, F.count(F.lit(1)).alias("matching_rows"))
+        rows.write.format(fmt).save(path)
+        if observation is not None:
+            self.matching = observation.get["matching_rows"]
 
     def sample(self, n: int = SAMPLE, order_by: Sequence[str] | None = None) -> DataFrame:
         return sample_rows(self._table(), n, order_by)
