@@ -17,7 +17,7 @@ from tallyframe.operators.profile import profile, profile_text
 from tallyframe.operators.series import with_share
 from tallyframe.plans.runner import PlanResult, run_plan
 from tallyframe.sinks.files import write_csv, write_json
-from tallyframe.sources.files import load_csv, load_parquet
+from tallyframe.sources.files import bad_rows, load_csv, load_parquet
 from tallyframe.functions.missing import nan_to_null
 
 __all__ = [
@@ -30,6 +30,7 @@ __all__ = [
     "group_agg",
     "groups_count",
     "id_columns",
+    "bad_rows",
     "load_csv",
     "load_parquet",
     "matching_rows",

@@ -146,6 +146,44 @@ def _kept_copy(spark, path, copies, schema, multi_line, durations, on_bad) -> Da
     return spark.read.schema(table.schema).parquet(folder)
 
 
+def bad_rows(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """The rows of the CSV files at ``path`` that ``load_csv`` would refuse: file, row, reason, values.
+
+    ``row`` is the row's text as Spark's parser kept it (the corrupt-record column), and
+    ``file`` comes from ``_metadata``. Reasons: ``more values than the header`` (empty ones
+    too) and, with ``schema``, ``a value does not fit the schema``; ``values`` are the cells as
+    the parser took them (NULL where a value did not fit). One pass reads whole
+    rows; nothing goes through the driver.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, **QUOTES)
+    names = reader.csv(path).columns
+    texts = [T.StructField(n, T.StringType()) for n in names]
+    whole = spark.read.options(header=True, multiLine=multi_line, columnPruning=False, columnNameOfCorruptRecord=RAGGED, **QUOTES)
+    if schema is None:
+        fields = texts
+    else:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if wanted.names != names:
+            raise ValueError(f"schema names {wanted.names} differ from the header {names}")
+        fields = list(wanted.fields)
+    read = whole.schema(T.StructType([*fields, T.StructField(RAGGED, T.StringType())])).csv(path)
+    # Spark reads the corrupt-record column only beside parsed columns: all of them are kept in the query.
+    read = read.select(F.col("_metadata.file_path").alias("file"), F.col(RAGGED), *[col(n).alias(f"_tally_cell{i}") for i, n in enumerate(names)])
+    flagged = read.where(F.col(RAGGED).isNotNull()).withColumn(MORE, _too_long(len(names)))
+    reason = F.when(F.col(MORE), F.lit("more values than the header")).otherwise(F.lit("a value does not fit the schema"))
+    # A short row is no fault (missing values at the end are NULL): a misfit is a value the typed cell lost.
+    plain = F.from_csv(F.col(RAGGED), ", ".join(f"`c{i}` string" for i in range(len(names))), QUOTES)
+    lost = [plain[f"c{i}"].isNotNull() & (plain[f"c{i}"] != "") & F.col(f"_tally_cell{i}").isNull() for i in range(len(names))]
+    misfit = F.lit(False)
+    for one in lost:
+        misfit = misfit | one
+    found = flagged.where(F.col(MORE) | (F.lit(schema is not None) & misfit))
+    parsed = F.array(*[F.col(f"_tally_cell{i}").cast("string") for i in range(len(names))])
+    return found.select("file", F.col(RAGGED).alias("row"), reason.alias("reason"), parsed.alias("values"))
+
+
 def _too_long(names: int) -> Column:
     """Whether a row has more values than the header has names, empty ones too.
 
