@@ -916,10 +916,12 @@ select row_number() over (order by value desc, key) as place, key, value from
  (select o_custkey as key, count(*)::double as value from orders group by 1)
 """)
 def group_order(spark, sf_dir):
-    """Places of the groups: the largest first, ties by key."""
+    """Places of the groups as run_plan orders them (the largest first, ties by key): rows are
+    numbered in the order they come, so a wrong order of run_plan gives wrong places."""
     plan = {"operation": "group_by_agg", "target_column": "o_custkey", "agg_func": "count"}
     rows = tf.run_plan(table(spark, sf_dir, "orders"), plan).rows
-    return with_positions(rows, [F.col("value").desc_nulls_last(), F.col("key").asc()], "place")
+    seen = rows.withColumn("_seen", F.monotonically_increasing_id())
+    return with_positions(seen, [F.col("_seen")], "place").drop("_seen")
 
 
 @query("select p_brand as value, count(*) as count from part group by 1 order by 2 desc, 1 limit 7")
