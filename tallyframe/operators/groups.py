@@ -61,6 +61,7 @@ def _truth(dtype: T.DataType, c: Column) -> Column:
 
 
 UNIT_FUNCTIONS = ("sum", "mean")
+WHOLE_TYPES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def choose_units(df: DataFrame, column: str, funcs: Sequence[str], units: bool | str) -> bool:
@@ -147,6 +148,9 @@ def group_agg(
 
 def _aggregate(func: str, dtype: T.DataType, source: str, n_order: int) -> Column:
     value = F.col(source)
+    if func == "sum" and isinstance(dtype, WHOLE_TYPES):
+        # as the single form: summed in decimals, which do not overflow, and given as a double
+        return NUMERIC[func](_as_number(dtype, value).cast("decimal(20,0)")).cast("double")
     if func in NUMERIC:
         return NUMERIC[func](_as_number(dtype, value))
     if func in TRUTH:

@@ -274,3 +274,10 @@ def test_nan_to_null(spark):
     df = spark.createDataFrame([(1, float("nan"), np.float32("nan").item()), (2, 1.0, 2.0)], "i int, d double, f float")
     rows = tf.nan_to_null(df).orderBy("i").collect()
     assert tuple(rows[0]) == (1, None, None) and tuple(rows[1]) == (2, 1.0, 2.0)
+
+
+def test_sum_in_a_list_does_not_overflow_and_equals_the_single_form(spark):
+    rows = spark.createDataFrame([("a", 2**62)] * 4 + [("b", -5), ("b", None)], "k string, v long")
+    single = {r.key: r.value for r in tf.group_agg(rows, "k", "v", "sum").collect()}
+    listed = {r.key: r.sum_value for r in tf.group_agg(rows, "k", "v", ["sum", "count"]).collect()}
+    assert listed == single == {"a": float(2**64), "b": -5.0}
