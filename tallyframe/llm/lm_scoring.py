@@ -57,7 +57,7 @@ ORDERS = 4
 #: Slots an order: 2 ** bits, bits from the training bytes, within these bounds.
 FEWEST_TABLE_BITS, MOST_TABLE_BITS = 16, 21
 #: Bytes of a text read at once, bytes a weight step covers, start and rate of the weights.
-CHUNK_BYTES, BLOCK, START_WEIGHT, RATE = 1 << 18, 64, 0.3, 0.02
+CHUNK_BYTES, BLOCK, START_WEIGHT, RATE = 1 << 16, 64, 0.3, 0.02
 GATES = 8 * (ORDERS + 1)
 #: Tokens of the broadcast count table at most (of at most 64 bytes each).
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
