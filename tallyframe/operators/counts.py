@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.missing import is_text, present
 from tallyframe.functions.text import explode_list, text_form
-from tallyframe.operators.distinct import bitmap_distinct, is_whole
+from tallyframe.operators.distinct import bitmap_distinct, dense, is_whole
 from tallyframe.operators.heavy import top_values
 from tallyframe.operators.ranges import first_rows
 from tallyframe.operators.rules import column_follows
@@ -79,7 +79,7 @@ def value_rows(df: DataFrame, column: str, split: bool, name: str) -> DataFrame:
 def total_values(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """Number of distinct values of the whole column, lists left unsplit."""
     value = present(df, column)
-    if not approximate and is_whole(df, value):
+    if not approximate and is_whole(df, value) and dense(df, value):
         return bitmap_distinct(df, value)
     count = F.approx_count_distinct if approximate else F.count_distinct
     return df.agg(count(value).alias("total_values"))

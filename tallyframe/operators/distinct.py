@@ -6,6 +6,9 @@ Tasks OR their bits into one bitmap per (group, bucket), 4 KB each whatever the
 rows, Spark merges them by bucket, and the set bits are counted. Equal values meet in
 the first task that sees them, so a value that fills a third of the table is one bit;
 only (group, bucket, bitmap) rows are shuffled, never the values themselves.
+``total_values`` takes this way where the values are dense (at least 512 a bucket on
+average); ``group_agg``'s ``nunique`` keeps ``count(distinct)``, shuffled by key and value,
+as bitmaps of sparse values would be larger than the values.
 """
 
 from __future__ import annotations
@@ -22,6 +25,23 @@ def is_whole(df: DataFrame, column: Column | str) -> bool:
     return isinstance(kind, WHOLE)
 
 
+#: Values a bucket's bitmap (4 KB) must stand for on average to be smaller than the values (8 bytes each).
+PER_BUCKET = 512
+
+
+def dense(df: DataFrame, value: Column) -> bool:
+    """Whether the whole numbers are dense enough for bitmaps: one aggregate of min, max and count.
+
+    Sparse ones (random 64-bit ids, say) would cost a 4 KB bitmap a value; they are counted
+    by ``count(distinct)`` instead.
+    """
+    low, high, n = df.agg(F.min(value).cast("decimal(21,0)"), F.max(value).cast("decimal(21,0)"), F.count(value)).first()
+    if not n:
+        return True
+    buckets = int(high - low) // 32768 + 1
+    return buckets * PER_BUCKET <= n
+
+
 def bitmap_distinct(df: DataFrame, value: Column, keys: Sequence[Column] = (), name: str = "total_values") -> DataFrame:
     """Number of distinct non-null whole numbers of ``value``, per group of ``keys`` (the whole table without).
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tallyframe.functions.missing import col, is_text, present, type_of
 from tallyframe.functions.places import file_place, wants_file_order
 from tallyframe.functions.text import first_number
-from tallyframe.operators.distinct import bitmap_distinct, is_whole
 from tallyframe.operators.medians import median_by_sketches
 from tallyframe.operators.rules import column_follows
 
@@ -132,9 +131,6 @@ def group_agg(
         rows, types = rows.withColumn("_tally_value", F.col("_tally_value").cast("decimal(20,0)")), {func: T.DecimalType(20, 0)}
     plain = [_aggregate(f, types[f], source[f], len(order_columns)).alias(n) for f, n in zip(funcs, names) if n not in medians]
     result = rows.groupBy(*[col(g) for g in groups]).agg(*plain) if plain else None
-    if funcs == ["nunique"] and is_whole(rows, F.col("_tally_value")):
-        # Whole numbers: bitmaps per (group, bucket) in place of the values themselves.
-        result = bitmap_distinct(rows, F.col("_tally_value"), [col(g) for g in groups], names[0])
     if medians:
         numbers = rows.withColumn("_tally_value", _as_number(dtype, F.col("_tally_value")))
         exact = median_by_sketches(numbers, groups, "_tally_value", "_tally_median")

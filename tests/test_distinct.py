@@ -30,3 +30,9 @@ def test_negatives_zero_extremes_nulls_and_empty_groups(spark):
     got = {r.k: r.n for r in bitmap_distinct(rows, F.col("v"), [F.col("k")], "n").collect()}
     assert got == {"a": 10, "b": 0}
     assert bitmap_distinct(rows.limit(0), F.col("v")).first()[0] == 0
+
+
+def test_sparse_whole_numbers_are_counted_without_bitmaps(spark):
+    rows = spark.createDataFrame([(v,) for v in (1, 10**12, -(10**15), 10**12)], "v long")
+    plan = tf.total_values(rows, "v")
+    assert plan.first()[0] == 3 and "bitmap" not in plan._jdf.queryExecution().executedPlan().toString().lower()
