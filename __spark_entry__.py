@@ -752,10 +752,11 @@ select row_number() over (order by yr desc, n, o_orderstatus) as ordinal, cast(y
  order by yr desc, n, o_orderstatus limit 7
 """)
 def series_sort_limit(spark, sf_dir):
-    """Years with ties: the series is in the order of the rows."""
+    """Years with ties: the series is in the order of the rows. The counts are named as values,
+    as they may all differ, and would then be taken for an identifier."""
     orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr"), "o_orderstatus")
     counts = orders.groupBy("yr", "o_orderstatus").agg(F.count("*").alias("n")).select("yr", "n", "o_orderstatus")
-    series = tf.run_plan(counts, {"operation": "sort_limit", "target_column": "yr", "limit": 7}).series()
+    series = tf.run_plan(counts, {"operation": "sort_limit", "target_column": "yr", "limit": 7}).series("n")
     return series.select("ordinal", "label", F.col("value").cast("bigint").alias("value"))
 
 

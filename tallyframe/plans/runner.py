@@ -111,9 +111,17 @@ class PlanResult:
     def groups_count(self) -> int:
         return groups_count(self._table(), self.request.target).first()["groups_count"]
 
-    def series(self) -> DataFrame | None:
-        """``ordinal, label, value`` of the chart, ``None`` where there is none."""
-        return self._series
+    def series(self, value: str | None = None) -> DataFrame | None:
+        """``ordinal, label, value`` of the chart, ``None`` where there is none.
+
+        For sorted rows, ``value`` names the column shown. Without it the first column that is
+        no identifier is taken, which depends on the data, and only labels like years are charted.
+        """
+        if value is None:
+            return self._series
+        if self.operation != "sort_limit" or not isinstance(self.request.target, str):
+            raise ValueError("a value column is named for rows sorted by one column")
+        return sort_series(self.rows, self.request.target, value, self.request.ascending, self._bounded())
 
     def shares(self) -> DataFrame | None:
         """The series with ``pct``, each value's share of the total shown."""

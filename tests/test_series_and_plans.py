@@ -113,6 +113,27 @@ def test_sorted_series_skips_ids(films):
     assert only_id.series() is None and only_id.kind() is None
 
 
+def test_sorted_series_of_a_named_column(spark, tmp_path):
+    """Counts that all differ, missing years and no rows: the registered query gives its SQL's rows."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    days = [("2020-01-01", "F", 1), ("2020-01-01", "O", 2), ("2021-01-01", "F", 3), (None, "P", 4)]
+    rows = [(day, status) for day, status, n in days for _ in range(n)]
+    orders = spark.createDataFrame(rows, "day string, o_orderstatus string").selectExpr("to_date(day) o_orderdate", "o_orderstatus")
+    for name, table in (("all", orders), ("years", orders.dropna()), ("none", orders.limit(0))):
+        path = f"{tmp_path}/{name}/orders.parquet"
+        table.coalesce(1).write.parquet(path)
+        con = duckdb.connect()
+        con.execute(f"create view orders as select * from '{path}/*.parquet'")
+        want = sorted(con.execute(entry.oracle_sql()["series_sort_limit"]).fetchall())
+        got = entry.queries()["series_sort_limit"](spark, f"{tmp_path}/{name}")
+        assert sorted(tuple(r) for r in got.collect()) == want
+    films = spark.createDataFrame([(2020, 1), (2021, 2)], "y int, n int")
+    with pytest.raises(ValueError):
+        tf.run_plan(films, {"operation": "filter"}).series("n")
+
+
 def test_first_labels_are_distinct(spark):
     df = spark.createDataFrame([(2020, 1)] * 9 + [(5, 1)], "y int, n int")
     plan = {"operation": "sort_limit", "target_column": "y", "limit": None}
