@@ -4,12 +4,15 @@ Texts are lower-cased in A-Z only, cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` an
 into words at spaces and tabs. Everything is counted per language (null: ``und``).
 
 1. One Spark aggregate sums the bytes of each language.
-2. SON, first pass: each shard (rows of a task, at most ``shard_bytes`` of text together)
-   is mined completely: all its phrases of 1 to 4 words are counted in numpy, and those
-   whose local count reaches ``min_count * shard bytes / all bytes`` of their language are
-   locally frequent. A phrase below that share in every shard is below ``min_count`` in
-   all, so the union of these sets holds every frequent phrase.
-3. Second pass: every shard counts exactly the phrases of that union (held in the task in
+2. SON, first pass, one phrase length after the other: each shard (rows of a task, at most
+   ``shard_bytes`` of text together) is mined: its phrases are counted by sorting their
+   64-bit keys in numpy, and those whose local count reaches
+   ``min_count * shard bytes / all bytes`` of their language are locally frequent. A phrase
+   below that share in every shard is below ``min_count`` in all, so the union of these sets
+   holds every frequent phrase. A frequent phrase has only frequent parts: of 2 to 4 words,
+   only phrases are counted whose two parts of one word less are candidates (told by a filter
+   of fixed size, which may let others through but holds none back).
+3. Second pass: every shard counts exactly the phrases of all candidates (held in the task in
    blocks of at most ``block_keys``, one pass over the texts per block), and Spark sums
    them. Phrases are tuples of 64-bit word hashes; a hash that two words share is an error,
    raised by the query, so counts are exact.
@@ -20,13 +23,13 @@ into words at spaces and tabs. Everything is counted per language (null: ``und``
 
 Defined cases: null texts have no words; null languages are ``und``; rows and columns
 besides ``text`` and ``lang`` are ignored (any names); repeated rows count again; an empty
-table gives no rows; a very long text is one shard of its own and is read whole.
+table gives no rows; a very long text is one shard of its own, hashed in blocks that end with a piece.
 """
 
 from __future__ import annotations
 
-import collections
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,11 @@ MIN_COUNT, TOP, SCALE, INSIDE_SHARE = 30, 2000, 2_000_000, 80
 SHARD_BYTES = 1 << 23
 #: Candidate keys a task holds at once; more are counted in further passes.
 BLOCK_KEYS = 1 << 22
+#: Bytes of text hashed at once: numpy's 64-bit arrays of a block stay in the processor's cache.
+TEXT_BLOCK = 1 << 18
+#: Last bits of a key in the filter of a mining task (a byte each) and in the index of a counting one (four each).
+FILTER_BITS, INDEX_BITS = 25, 23
+FILTER_MASK, INDEX_MASK = np.uint64((1 << FILTER_BITS) - 1), np.uint64((1 << INDEX_BITS) - 1)
 #: Languages whose word counts are broadcast at most; more are joined by a shuffle.
 BROADCAST_LANGS = 100_000
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
@@ -54,54 +62,119 @@ TABLE = bytes(
     10 if b in PIECE_BREAKS else 32 if b in WORD_BREAKS else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 WORDS = ["w1", "w2", "w3", "w4"]
-LOCAL = "lang string, g int, k long, v long"
-KEYED = "lang string, g int, k long"
+LOCAL = "code long, g int, k long, v long"
 COUNTED = "lang string, g int, w1 long, w2 long, w3 long, w4 long, c long, word string"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shard_words(texts):
-    """Translated bytes of a shard's texts, its words (starts, ends, 64-bit hashes), their pieces and texts."""
-    data = np.frombuffer(b"\n" + b"\n".join((t or b"").translate(TABLE) for t in texts) + b"\n", np.uint8)
-    solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = (data != 10) & (data != 32)
-    edge = np.diff(solid)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = span_hashes(data)(starts, ends)
+class Words(NamedTuple):
+    """The words of a shard, language by language."""
+
+    names: list[str]  # the languages
+    size: np.ndarray  # bytes of text, of each language
+    total: np.ndarray  # bytes of text in the whole table, of each language
+    bounds: np.ndarray  # first word of each language, and the number of words
+    code: np.ndarray  # 64-bit code of each word's language
+    hashes: np.ndarray  # 64-bit hash of each word
+    piece: np.ndarray  # number of each word's piece
+    starts: np.ndarray  # place of each word in ``text``
+    ends: np.ndarray
+    text: bytes
+
+
+def text_blocks(texts):
+    """Translated texts in blocks of about ``TEXT_BLOCK`` bytes; longer texts are cut where a piece ends."""
+    held, size = [], 0
+    for text in texts:
+        text = (text or b"").translate(TABLE)
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > TEXT_BLOCK:
+                cut = text.rfind(b"\n", at, at + TEXT_BLOCK)
+                cut = text.find(b"\n", at + TEXT_BLOCK) if cut < 0 else cut
+                end = cut + 1 if cut >= 0 else end
+            held.append(text[at:end])
+            size += end - at + 1
+            at = end
+            if size >= TEXT_BLOCK:
+                yield b"\n" + b"\n".join(held) + b"\n"
+                held, size = [], 0
+    if held:
+        yield b"\n" + b"\n".join(held) + b"\n"
+
+
+def shard_words(shard) -> Words:
+    """The words of a shard's rows (text, lang, bytes of its language), hashed block by block."""
+    by_lang: dict[str, list] = {}
+    totals = {}
+    for text, lang, total in shard:
+        by_lang.setdefault(lang, []).append(text)
+        totals[lang] = int(total)
+    names = sorted(by_lang)
+    parts, blocks, bounds, length, pieces = [], [], [0], 0, 0
+    for name in names:
+        n = 0
+        for block in text_blocks(by_lang[name]):
+            data = np.frombuffer(block, np.uint8)
+            solid = (data != 10) & (data != 32)
+            edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+            starts, ends = edge[0::2], edge[1::2]
+            piece = np.cumsum(data == 10, dtype=np.int32)
+            parts.append((span_hashes(data)(starts, ends), piece[starts] + pieces, starts + length, ends + length))
+            blocks.append(block)
+            length += len(block)
+            pieces += int(piece[-1])
+            n += len(starts)
+        bounds.append(bounds[-1] + n)
+    kinds = (np.uint64, np.int64, np.int64, np.int64)
+    hashes, piece, starts, ends = (
+        np.concatenate([part[i] for part in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(kinds)
+    )
     hashes[hashes == 0] = 1
-    piece = np.cumsum(data == 10, dtype=np.int64)[starts]
-    bounds = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
-    owner = np.searchsorted(bounds, starts, "right") - 1
-    return data, starts, ends, hashes, piece, owner
+    codes = np.repeat(language_codes(names), np.diff(bounds))
+    size = np.array([sum(len(t or b"") for t in by_lang[name]) for name in names], np.int64)
+    total = np.array([totals[name] for name in names], np.int64)
+    return Words(names, size, total, np.asarray(bounds), codes, hashes, piece, starts, ends, b"".join(blocks))
 
 
-def shard_phrases(hashes, piece, lang, code):
-    """Phrases of 1 to 4 words of a shard, one length at a time, counted.
+def longer_keys(words: Words, keys: np.ndarray | None, g: int) -> np.ndarray:
+    """Keys of the ``g`` words from each word on, from those of ``g - 1`` words.
 
-    ``lang`` is the index of each word's language in the shard, ``code`` a 64-bit code of
-    the language that is the same in every shard. Yields (g, keys, first word of the first
-    place, lang index, counts) for each distinct phrase; a phrase is its language and word
-    hashes, ``keys`` a 64-bit hash of these, the same in every shard.
+    A key is a 64-bit hash of a phrase's language and word hashes, the same in every shard.
+    Where the words do not lie in one piece it stands for no phrase.
     """
-    n = len(hashes)
-    for g in range(1, 5):
-        m = max(n - g + 1, 0)
-        if not m:
-            continue
-        at = np.flatnonzero(piece[g - 1 : g - 1 + m] == piece[:m])
-        with np.errstate(over="ignore"):
-            key = mix(code[at] * STEP + np.uint64(g))
-            for j in range(g):
-                key = mix(key * STEP + hashes[at + j])
-        keys, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        same = lang[at] == lang[at[first]][inverse]
-        for j in range(g):
-            same &= hashes[at + j] == hashes[at[first] + j][inverse]
-        if not same.all():  # two phrases share a key: group them by all their parts instead
-            rows = np.rec.fromarrays([lang[at], *[hashes[at + j] for j in range(g)]])
-            _, first, counts = np.unique(rows, return_index=True, return_counts=True)
-            keys = key[first]
-        yield g, keys, at[first], lang[at[first]], counts
+    before = words.code if keys is None else keys[:-1]
+    with np.errstate(over="ignore"):
+        return mix(before * STEP + words.hashes[g - 1 :])
+
+
+def in_one_piece(words: Words, g: int) -> np.ndarray:
+    return words.piece[: max(len(words.piece) - g + 1, 0)] == words.piece[g - 1 :]
+
+
+def counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    edge = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    first = np.concatenate([np.zeros(min(len(keys), 1), np.int64), edge])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def key_batches(path: str):
+    """The keys written at ``path``, batch by batch."""
+    import pyarrow.dataset as ds
+
+    store, root = open_store(path)
+    for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(columns=["k"]):
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+
+def key_filter(path: str) -> np.ndarray:
+    """Which values the last ``FILTER_BITS`` bits of the keys at ``path`` take: a size that does not grow with them."""
+    held = np.zeros(1 << FILTER_BITS, bool)
+    for keys in key_batches(path):
+        held[keys & FILTER_MASK] = True
+    return held
 
 
 def tuples(hashes, at, g):
@@ -109,19 +182,18 @@ def tuples(hashes, at, g):
     return [hashes[at + j] if j < g else np.zeros(len(at), np.uint64) for j in range(4)]
 
 
-def language_codes(names, lang):
-    """64-bit codes of the languages of a shard's words, the same in every task."""
+def language_codes(names):
+    """64-bit codes of languages, the same in every task."""
     import hashlib
 
-    codes = np.asarray([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in names], np.uint64)
-    return codes[lang] if len(names) else np.zeros(len(lang), np.uint64)
+    return np.array([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in names], np.uint64)
 
 
 def shards(batches, shard_bytes):
     """Rows of a task in shards of at most ``shard_bytes`` of text: lists of (text, lang, words of its language)."""
     held, size = [], 0
     for batch in batches:
-        texts = list(as_bytes(batch.column(0)))
+        texts = as_bytes(batch.column(0))
         langs = batch.column(1).to_pylist()
         totals = batch.column(2).to_pylist()
         for text, lang, total in zip(texts, langs, totals, strict=True):
@@ -134,89 +206,89 @@ def shards(batches, shard_bytes):
         yield held
 
 
-def local_frequent(min_count: int, shard_bytes: int):
-    """First SON pass: the locally frequent phrases of each shard, and each shard's slack.
+def local_frequent(g: int, shorter: str | None, min_count: int, shard_bytes: int):
+    """First SON pass for phrases of ``g`` words: the locally frequent ones of each shard, and each shard's slack.
+
+    ``shorter`` is where the candidates of ``g - 1`` words lie: a phrase can only be frequent
+    if both its phrases of ``g - 1`` words are, so the others are not looked at.
 
     A phrase's rows carry ``count - (need - 1)``, where ``need`` is the local support of its
     language; a row with ``g = 0`` carries ``need - 1`` of a language of the shard. Summed,
     ``slack + sum`` bounds the phrase's count from above: in a shard where it is not
     locally frequent it occurs at most ``need - 1`` times.
     """
-    schema = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("k", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("code", pa.int64()), ("g", pa.int32()), ("k", pa.int64()), ("v", pa.int64())])
+
+    def rows(code, g, keys, v):
+        n = len(keys)
+        yield from sliced(pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, code, np.uint64).view(np.int64)), pa.array(np.full(n, g, np.int32)), pa.array(keys.view(np.int64)),
+             pa.array(v)],
+            schema=schema,
+        ))
 
     def run(batches):
+        known = key_filter(shorter) if shorter else None
         for shard in shards(batches, shard_bytes):
-            names = sorted({lang for _, lang, _ in shard})
-            index = {lang: i for i, lang in enumerate(names)}
-            totals = {lang: total for _, lang, total in shard}
-            data, starts, ends, hashes, piece, owner = shard_words([t for t, _, _ in shard])
-            lang = np.asarray([index[lang] for _, lang, _ in shard], np.int64)[owner]
-            size = collections.Counter()
-            for text, name, _ in shard:
-                size[name] += len(text or b"")
-            # Locally frequent: count * all bytes >= min_count * shard bytes of the language, in integers.
-            need = np.array([-(-min_count * size[name] // int(totals[name])) if size[name] else 0 for name in names], np.int64)
-            slack = np.maximum(need - 1, 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(np.zeros(len(names), np.int64)),
-                 pa.array(slack)],
-                schema=schema,
-            )
-            for g, keys, at, lg, counts in shard_phrases(hashes, piece, lang, language_codes(names, lang)):
-                keep = counts >= np.maximum(need[lg], 1)
-                yield from sliced(pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.asarray(names, dtype=object)[lg[keep]], pa.string()),
-                        pa.array(np.full(int(keep.sum()), g, np.int32)),
-                        pa.array(keys[keep].view(np.int64)),
-                        pa.array(counts[keep] - slack[lg[keep]]),
-                    ],
-                    schema=schema,
-                ))
+            words = shard_words(shard)
+            keys = None
+            for j in range(1, g):
+                keys = longer_keys(words, keys, j)
+            if g > 1:
+                hit = known[keys & FILTER_MASK]
+                at = np.flatnonzero(hit[:-1] & hit[1:] & in_one_piece(words, g))
+                with np.errstate(over="ignore"):
+                    keys = mix(keys[at] * STEP + words.hashes[at + g - 1])
+            else:
+                at, keys = np.arange(len(words.hashes)), longer_keys(words, None, 1)
+            ends = np.searchsorted(at, words.bounds)
+            for i, code in enumerate(language_codes(words.names)):
+                # Locally frequent: count * all bytes >= min_count * shard bytes of the language, in integers.
+                need = -(-min_count * int(words.size[i]) // int(words.total[i])) if words.size[i] else 0
+                slack = max(need - 1, 0)
+                if slack:
+                    yield from rows(code, 0, np.zeros(1, np.uint64), np.array([slack], np.int64))
+                found, counts = counted_keys(keys[ends[i] : ends[i + 1]])
+                keep = counts >= max(need, 1)
+                yield from rows(code, g, found[keep], counts[keep] - slack)
 
     return run
 
 
-def candidate_counts(path: str, block: int, blocks: int, shard_bytes: int):
-    """Second SON pass: exact counts of the phrases whose keys at ``path`` fall in block ``block`` of ``blocks``."""
+def candidate_counts(paths: list[str], block: int, blocks: int, shard_bytes: int):
+    """Second SON pass: exact counts of the phrases whose keys at ``paths`` fall in block ``block`` of ``blocks``."""
     schema = pa.schema(
         [("lang", pa.string()), ("g", pa.int32()), *[(w, pa.int64()) for w in WORDS], ("c", pa.int64()), ("word", pa.string())]
     )
 
     def run(batches):
-        import pyarrow.dataset as ds
-
-        store, root = open_store(path)
-        held = [
-            b.column(0).to_numpy()[b.column(1).to_numpy() % blocks == block]
-            for b in ds.dataset(root, filesystem=store, format="parquet").to_batches(columns=["k", "block"])
-        ]
-        wanted = np.sort(np.concatenate(held).view(np.uint64)) if held else np.zeros(0, np.uint64)
+        held = [keys[(keys >> np.uint64(32)) % np.uint64(blocks) == np.uint64(block)] for path in paths for keys in key_batches(path)]
+        wanted = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        index = np.full(1 << INDEX_BITS, -1, np.int32)
+        index[wanted & INDEX_MASK] = np.arange(len(wanted), dtype=np.int32)
         for shard in shards(batches, shard_bytes):
-            names = sorted({lang for _, lang, _ in shard})
-            index = {lang: i for i, lang in enumerate(names)}
-            data, starts, ends, hashes, piece, owner = shard_words([t for t, _, _ in shard])
-            lang = np.asarray([index[lang] for _, lang, _ in shard], np.int64)[owner]
+            words = shard_words(shard)
+            names = words.names
+            lang = np.repeat(np.arange(len(names)), np.diff(words.bounds))
             if block == 0:  # the words of each language, counted once
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)),
                      *[pa.array(np.zeros(len(names), np.int64)) for _ in WORDS],
-                     pa.array(np.bincount(lang, minlength=len(names)).astype(np.int64)), pa.array([None] * len(names), pa.string())],
+                     pa.array(np.diff(words.bounds).astype(np.int64)), pa.array([None] * len(names), pa.string())],
                     schema=schema,
                 )
-            for g, keys, at, lg, counts in shard_phrases(hashes, piece, lang, language_codes(names, lang)):
-                if len(wanted):
-                    hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
-                else:
-                    hit = np.zeros(len(keys), bool)
-                words = [bytes(data[starts[i] : ends[i]]).decode() for i in at[hit]] if g == 1 else [None] * int(hit.sum())
+            keys = None
+            for g in range(1, min(4, len(words.hashes)) + 1):
+                keys = longer_keys(words, keys, g)
+                at, counts = places(words, lang, keys, g, wanted, index)
+                spelt = [words.text[words.starts[i] : words.ends[i]].decode() for i in at] if g == 1 else [None] * len(at)
                 yield from sliced(pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.asarray(names, dtype=object)[lg[hit]], pa.string()),
-                        pa.array(np.full(int(hit.sum()), g, np.int32)),
-                        *[pa.array(c.view(np.int64)) for c in tuples(hashes, at[hit], g)],
-                        pa.array(counts[hit].astype(np.int64)),
-                        pa.array(words, pa.string()),
+                        pa.array(np.asarray(names, dtype=object)[lang[at]], pa.string()),
+                        pa.array(np.full(len(at), g, np.int32)),
+                        *[pa.array(c.view(np.int64)) for c in tuples(words.hashes, at, g)],
+                        pa.array(counts.astype(np.int64)),
+                        pa.array(spelt, pa.string()),
                     ],
                     schema=schema,
                 ))
@@ -224,6 +296,35 @@ def candidate_counts(path: str, block: int, blocks: int, shard_bytes: int):
     return run
 
 
+def places(words: Words, lang, keys, g: int, wanted, index):
+    """One place and the count of each phrase of ``g`` words of a shard whose key is wanted.
+
+    ``index`` leads from the last bits of a key to its place in the sorted ``wanted``; keys
+    that share them with another are searched for.
+    """
+    guess = index[keys & INDEX_MASK]
+    at = np.flatnonzero((guess >= 0) & in_one_piece(words, g))
+    which, own = guess[at], keys[at]
+    off = np.flatnonzero(wanted[which] != own)
+    if len(off):
+        found = np.minimum(np.searchsorted(wanted, own[off]), len(wanted) - 1)
+        which[off] = np.where(wanted[found] == own[off], found, -1)
+        at, which = at[which >= 0], which[which >= 0]
+    counts = np.bincount(which, minlength=len(wanted))
+    place = np.zeros(len(wanted), np.int64)
+    place[which] = at
+    same = lang[at] == lang[place[which]]
+    for j in range(g):
+        same &= words.hashes[at + j] == words.hashes[place[which] + j]
+    if same.all():
+        seen = np.flatnonzero(counts)
+        return place[seen], counts[seen]
+    # Two phrases share a key: group them by all their parts instead.
+    parts = np.rec.fromarrays([lang[at], *[words.hashes[at + j] for j in range(g)]])
+    _, first, counts = np.unique(parts, return_index=True, return_counts=True)
+    return at[first], counts
+
+
 def sliced(batch: pa.RecordBatch, rows: int = 1 << 18):
     """A batch in slices of at most ``rows`` rows, so that no Arrow message grows with a shard."""
     for at in range(0, max(batch.num_rows, 1), rows):
@@ -253,25 +354,36 @@ def collocations(
     few = totals.count() <= BROADCAST_LANGS
     sized = rows.join(F.broadcast(totals) if few else totals, "lang").select("text", "lang", "n")
 
-    local = sized.mapInArrow(local_frequent(min_count, shard_bytes), LOCAL)
-    slack = local.where("g = 0").groupBy("lang").agg(F.sum("v").alias("slack"))
-    bounds = local.where("g > 0").groupBy("lang", "g", "k").agg(F.sum("v").alias("v"))
-    # Only candidates that could reach min_count: the bound is never below the count.
-    candidates = bounds.join(F.broadcast(slack) if few else slack, "lang").where(F.col("slack") + F.col("v") >= min_count)
-    path = fresh_path(spark, "phrases")
-    candidates.select("lang", "g", "k", F.pmod(F.col("k"), F.lit(1 << 30)).alias("block")).write.parquet(path)
-    count = spark.read.parquet(path).count()
-    if not count:
+    paths: list[str] = []
+    for g in range(1, 5):
+        # A job a length, so that only phrases are looked at whose parts can be frequent.
+        local = sized.mapInArrow(local_frequent(g, paths[-1] if paths else None, min_count, shard_bytes), LOCAL)
+        summed = settle(local.groupBy("code", "g", "k").agg(F.sum("v").alias("v")), f"local_{g}")
+        slack = summed.where("g = 0").select("code", F.col("v").alias("slack"))
+        found = summed.where("g > 0").join(F.broadcast(slack) if few else slack, "code", "left")
+        # Only candidates that could reach min_count: the bound is never below the count.
+        found = found.where(F.coalesce("slack", F.lit(0)) + F.col("v") >= min_count)
+        path = fresh_path(spark, "phrases")
+        found.select("k").write.parquet(path)
+        if spark.read.schema("k long").parquet(path).isEmpty():
+            break
+        paths.append(path)
+    if not paths:
         return spark.createDataFrame([], RESULT)
+    count = sum(spark.read.schema("k long").parquet(path).count() for path in paths)
     blocks = max(1, math.ceil(count / block_keys))
 
     counted = None
     for block in range(blocks):
-        part = sized.mapInArrow(candidate_counts(path, block, blocks, shard_bytes), COUNTED)
+        part = sized.mapInArrow(candidate_counts(paths, block, blocks, shard_bytes), COUNTED)
         counted = part if counted is None else counted.unionByName(part)
-    words = counted.where("g = 0").groupBy("lang").agg(F.sum("c").alias("n"))
-    counted = counted.where("g > 0")
-    exact = counted.groupBy("lang", "g", *WORDS).agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+    # Written once: the steps below read these few rows many times.
+    exact = settle(
+        counted.groupBy("lang", "g", *WORDS).agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")),
+        "counted",
+    )
+    words = exact.where("g = 0").select("lang", F.col("f").alias("n"))
+    exact = exact.where("g > 0")
     # Every phrase whose key is asked for is counted in every shard, so its count is exact.
     exact = exact.withColumn(
         "f", F.when(F.col("word") != F.col("other"), F.raise_error(F.lit("two words share a 64-bit hash"))).otherwise(F.col("f"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_cases import texts_of
 
@@ -60,6 +63,64 @@ def test_collocations_odd_tables(odd, nothing):
     assert collocations.collocations(nothing).count() == 0
 
 
+def shard_batch(rows):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([t for t, _ in rows]), pa.array([lang for _, lang in rows]), pa.array([10**12] * len(rows), pa.int64())],
+        ["text", "lang", "n"],
+    )
+
+
+def test_collocation_mining_holds_little_beside_a_shard():
+    # 4 MB of text: words and keys are some 30 MB, 64-bit arrays over all bytes would be over 150 MB.
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(5000)]
+    rows = [(" ".join(vocabulary[i] for i in rng.integers(0, 5000, 700)), "en") for _ in range(1000)]
+    batch = shard_batch(rows)
+    tracemalloc.start()
+    found = sum(b.num_rows for b in collocations.local_frequent(1, None, 30, 1 << 23)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(set(vocabulary)) and peak < 120e6
+
+
+def test_collocation_mining_skips_phrases_with_rare_parts(tmp_path):
+    rows = [("a b c d", "en"), ("b c, d a", "en"), ("b c", "de")]
+    batch = shard_batch(rows)
+    words = [b for b in collocations.local_frequent(1, None, 30, 1 << 23)([batch]) if b.num_rows]
+    keys = pa.Table.from_batches(words)
+    shard = next(collocations.shards([batch], 1 << 23))
+    held = collocations.shard_words(shard)
+    own = collocations.longer_keys(held, None, 1)
+    kept = [k for k, i in zip(own.view(np.int64), range(len(own))) if held.text[held.starts[i] : held.ends[i]] in (b"b", b"c")]
+    assert set(kept) < set(keys.column("k").to_pylist())
+    pq.write_table(pa.table({"k": pa.array(kept, pa.int64())}), tmp_path / "part-0.parquet")
+    pairs = pa.Table.from_batches(list(collocations.local_frequent(2, str(tmp_path), 30, 1 << 23)([batch])))
+    assert sorted(zip(pairs.column("g").to_pylist(), pairs.column("v").to_pylist())) == [(2, 1), (2, 2)]  # b c in de and en
+
+
+def test_collocation_counts_when_keys_share_their_index(monkeypatch):
+    monkeypatch.setattr(collocations, "INDEX_MASK", np.uint64(7))
+    monkeypatch.setattr(collocations, "TEXT_BLOCK", 64)
+    rng = np.random.default_rng(5)
+    texts = ["".join(f"{w}{s}" for w, s in zip(rng.choice(list("abcdefghij"), 40), rng.choice([" ", " ", ". ", "\t"], 40))) for _ in range(30)]
+    held = collocations.shard_words(next(collocations.shards([shard_batch([(t, "en") for t in texts])], 1 << 23)))
+    keys, lang = None, np.zeros(len(held.hashes), np.int64)
+    for g in (1, 2, 3):
+        keys = collocations.longer_keys(held, keys, g)
+        wanted = np.unique(keys[::2])
+        index = np.full(8, -1, np.int32)
+        index[wanted & np.uint64(7)] = np.arange(len(wanted), dtype=np.int32)
+        at, counts = collocations.places(held, lang, keys, g, wanted, index)
+        got = {b" ".join(held.text[held.starts[i + j] : held.ends[i + j]] for j in range(g)): int(c) for i, c in zip(at, counts)}
+        plain = collections.Counter()
+        for text in texts:
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+                w = re.findall(r"[^ \t]+", piece)
+                plain.update(" ".join(w[i : i + g]).encode() for i in range(len(w) - g + 1))
+        assert set(got) and all(plain[phrase] == n for phrase, n in got.items())
+        assert sum(got.values()) == int((np.isin(keys, wanted) & collocations.in_one_piece(held, g)).sum())
+
+
 def test_collocation_scores_are_exact_beyond_64_bits():
     assert (10**13 * 2_000_000) // (10**13 + 10**13 + 1) == 999_999
     # The Spark expression divides decimals, so a * 2000000 may pass 2 ** 63.
