@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallyframe.llm.common import as_bytes, fresh_path, mix, settle, span_hashes, table
+from tallyframe.llm.common import as_bytes, fresh_path, mix, settle, sliced, span_hashes, table
 from tallyframe.llm.warc import open_store
 
 #: Fixed values of the contract: piece and word separators, phrase lengths, thresholds.
@@ -325,12 +325,6 @@ def places(words: Words, lang, keys, g: int, wanted, index):
     return at[first], counts
 
 
-def sliced(batch: pa.RecordBatch, rows: int = 1 << 18):
-    """A batch in slices of at most ``rows`` rows, so that no Arrow message grows with a shard."""
-    for at in range(0, max(batch.num_rows, 1), rows):
-        yield batch.slice(at, rows)
-
-
 def collocations(
     docs: DataFrame,
     text: str = "text",

@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm.common import as_bytes, fresh_path, remainder, settle, span_hashes, table
+from tallyframe.llm.common import as_bytes, fresh_path, remainder, settle, sliced, span_hashes, table
 from tallyframe.llm.warc import open_store
 
 #: Fixed values of the contract: folds, separators of words, the letters lower-cased.
@@ -59,6 +59,8 @@ FEWEST_TABLE_BITS, MOST_TABLE_BITS = 16, 21
 #: Bytes of a text read at once, bytes a weight step covers, start and rate of the weights.
 CHUNK_BYTES, BLOCK, START_WEIGHT, RATE = 1 << 16, 64, 0.3, 0.02
 GATES = 8 * (ORDERS + 1)
+#: Rows of the count table read at once.
+LOAD_ROWS = 1 << 16
 #: Tokens of the broadcast count table at most (of at most 64 bytes each).
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -136,25 +138,26 @@ def count_contexts(bits: int, chunk_bytes: int):
         for k in range(ORDERS):
             n0, n1 = counts[k][0::2], counts[k][1::2]
             seen = np.flatnonzero(n0 + n1)
-            yield pa.RecordBatch.from_arrays(
+            yield from sliced(pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(seen), k, np.int32)), pa.array(seen), pa.array(n0[seen].astype(np.int64)), pa.array(n1[seen].astype(np.int64))], schema=schema
-            )
+            ))
 
     return run
 
 
 def load_table(path: str, bits: int) -> np.ndarray:
     """Stretched predictions (ORDERS, 2 ** bits) of the summed counts at ``path``; 0 where a slot is unseen."""
-    import pyarrow.parquet as pq
+    import pyarrow.dataset as ds
 
     store, root = open_store(path)
-    counts = pq.read_table(root, filesystem=store, columns=["order", "slot", "n0", "n1"])
     out = np.zeros((ORDERS, 1 << bits), np.float32)
-    order = counts.column("order").to_numpy()
-    slot = counts.column("slot").to_numpy()
-    n0 = counts.column("n0").to_numpy().astype(np.float64)
-    n1 = counts.column("n1").to_numpy().astype(np.float64)
-    out[order, slot] = np.clip(np.log((n1 + 0.5) / (n0 + 0.5)), -8, 8)
+    # One batch at a time: the counts as a whole are many times the size of the predictions.
+    batches = ds.dataset(root, filesystem=store, format="parquet").to_batches(
+        columns=["order", "slot", "n0", "n1"], batch_size=LOAD_ROWS, batch_readahead=0, fragment_readahead=0, use_threads=False
+    )
+    for batch in batches:
+        order, slot, n0, n1 = (column.to_numpy() for column in batch.columns)
+        out[order, slot] = np.clip(np.log((n1 + 0.5) / (n0 + 0.5)), -8, 8)
     return out
 
 

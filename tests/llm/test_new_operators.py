@@ -267,6 +267,25 @@ def test_lm_scores_learn_the_corpus(spark, documents):
     assert abs(one.score - many.score) < 0.02 * abs(one.score)
 
 
+def test_lm_table_is_loaded_in_little_memory(tmp_path):
+    # 4 x 2^18 slots are 4 MB of predictions and 29 MB of counts, which stood in memory several times.
+    bits, parts = 18, 4
+    rng = np.random.default_rng(7)
+    n0, n1 = rng.integers(0, 1000, (2, lm_scoring.ORDERS, 1 << bits))
+    for part in range(parts):
+        slot = np.tile(np.arange(part, 1 << bits, parts), lm_scoring.ORDERS)
+        order = np.repeat(np.arange(lm_scoring.ORDERS, dtype=np.int32), (1 << bits) // parts)
+        rows = {"order": order, "slot": slot, "n0": n0[order, slot], "n1": n1[order, slot]}
+        pq.write_table(pa.table(rows), tmp_path / f"part-{part}.parquet")
+    lm_scoring.load_table(str(tmp_path), bits)  # imports and pools
+    tracemalloc.start()
+    got = lm_scoring.load_table(str(tmp_path), bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, np.clip(np.log((n1 + 0.5) / (n0 + 0.5)), -8, 8).astype(np.float32))
+    assert peak < 12e6
+
+
 def test_lm_odd_tables(odd, nothing):
     got = lm_scoring.lm_scores(odd.withColumnRenamed("score", "key")).collect()
     assert len(got) == odd.count()
