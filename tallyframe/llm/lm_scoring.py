@@ -66,6 +66,11 @@ FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 ORDER_SALT = [np.uint64(0x2545F4914F6CDD1D * (k + 1) % (1 << 64)) for k in range(ORDERS)]
 LOG10_2 = math.log10(2)
+#: Of each byte: its bits, and the bits before each with a leading one, spread by the salt of each order.
+BIT = ((np.arange(256)[:, None] >> (7 - np.arange(8))) & 1).astype(np.int8)
+PARTIAL = ((np.arange(256)[:, None] | 256) >> (8 - np.arange(8))).astype(np.uint64)
+with np.errstate(over="ignore"):
+    SPREAD = [PARTIAL * ORDER_SALT[(k + 1) % ORDERS] for k in range(ORDERS)]
 
 
 def stream(text: bytes | None) -> bytes:
@@ -85,17 +90,14 @@ def slots(chunk: bytes, before: bytes, bits: int) -> tuple[list[np.ndarray], np.
     separator = (data == 32) | (data == 10)
     last = np.maximum.accumulate(np.where(separator, np.arange(len(data)), 0))
     starts = [at - 1, at - 2, at - 3, last[at - 1] + 1]
-    own = data[pad:].astype(np.uint64)
-    place = np.arange(8, dtype=np.uint64)
-    partial = (own[:, None] | np.uint64(256)) >> (np.uint64(8) - place)[None, :]
-    bit = ((own[:, None] >> (np.uint64(7) - place)[None, :]) & np.uint64(1)).astype(np.int8)
+    own = data[pad:]
     shift = np.uint64(64 - bits)
     out = []
     with np.errstate(over="ignore"):
         for k in range(ORDERS):
             base = (spans(starts[k], at) ^ ORDER_SALT[k]) * MULTIPLIER
-            out.append((((base[:, None] + partial * ORDER_SALT[(k + 1) % ORDERS]) * MULTIPLIER) >> shift).astype(np.int64))
-    return out, bit
+            out.append((((base[:, None] + SPREAD[k][own]) * MULTIPLIER) >> shift).view(np.int64))
+    return out, BIT[own]
 
 
 def pieces_of(text: bytes, chunk_bytes: int):
@@ -122,8 +124,9 @@ def count_contexts(bits: int, chunk_bytes: int):
 
         def add(parts):
             for k in range(ORDERS):
-                index = np.concatenate([(part_slots[k] * 2 + part_bits).ravel() for part_slots, part_bits in parts])
-                counts[k] += np.bincount(index, minlength=2 * size).astype(np.uint32)
+                # Added in place: the table is much larger than a chunk, and is not passed over for each.
+                for part_slots, part_bits in parts:
+                    np.add.at(counts[k], (part_slots[k] * 2 + part_bits).ravel(), np.uint32(1))
 
         for batch in batches:
             for text in as_bytes(batch.column(0)):
@@ -166,9 +169,9 @@ def mixed_bits(units, weights: np.ndarray, table_: np.ndarray, bits: int) -> np.
     parts = [slots(chunk, before, bits) for chunk, before, _ in units]
     owner = np.concatenate([np.full(len(chunk), i, np.int64) for i, (chunk, _, _) in enumerate(units)])
     texts = np.asarray([t for _, _, t in units], np.int64)
-    x = np.stack([np.concatenate([table_[k][p[0][k]] for p in parts]) for k in range(ORDERS)], axis=-1)  # (n, 8, ORDERS)
+    x = [np.concatenate([table_[k][p[0][k]] for p in parts]) for k in range(ORDERS)]  # (n, 8) each
     y = np.concatenate([p[1] for p in parts]).astype(np.float32)
-    gate = np.arange(8)[None, :] * (ORDERS + 1) + (x != 0).sum(-1)
+    gate = np.arange(8)[None, :] * (ORDERS + 1) + sum((xk != 0).astype(np.int64) for xk in x)
     place = np.concatenate([np.arange(len(chunk)) for chunk, _, _ in units]) // BLOCK
     order = np.argsort(place.astype(np.int32), kind="stable")
     ends = np.cumsum(np.bincount(place))
@@ -178,14 +181,17 @@ def mixed_bits(units, weights: np.ndarray, table_: np.ndarray, bits: int) -> np.
     for end in ends:
         rows = order[start:end]
         start = end
-        xs, ys = x[rows], y[rows]
+        xs, ys = [xk[rows] for xk in x], y[rows]
         index = texts[owner[rows]][:, None] * GATES + gate[rows]
-        p = 1.0 / (1.0 + np.exp(-np.clip((flat[index] * xs).sum(-1), -30, 30)))
+        dot = flat[:, 0][index] * xs[0]
+        for k in range(1, ORDERS):
+            dot += flat[:, k][index] * xs[k]
+        p = 1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30)))
         p = np.clip(p, 1.0 / 4096, 1 - 1.0 / 4096)
         cost += np.bincount(owner[rows], -np.log2(np.where(ys > 0, p, 1 - p)).sum(1), minlength=len(units))
-        step = (RATE * (ys - p))[..., None] * xs
+        step = RATE * (ys - p)
         for k in range(ORDERS):
-            flat[:, k] += np.bincount(index.ravel(), step[..., k].ravel(), minlength=len(flat)).astype(np.float32)
+            flat[:, k] += np.bincount(index.ravel(), (step * xs[k]).ravel(), minlength=len(flat)).astype(np.float32)
     return cost
 
 
@@ -207,7 +213,9 @@ def score_texts(path: str, bits: int, chunk_bytes: int):
                 for (j, _), c in zip(group, mixed_bits(units, weights, table_, bits), strict=True):
                     cost[j] = c
 
-            for j, s in enumerate(streams):
+            # Texts of like length together: a group takes as many steps as its longest text has blocks.
+            for j in sorted(range(len(streams)), key=lambda i: len(streams[i])):
+                s = streams[j]
                 if len(s) > chunk_bytes:
                     weights = np.full((1, GATES, ORDERS), START_WEIGHT, np.float32)
                     cost[j] = sum(mixed_bits([(c, b, 0)], weights, table_, bits)[0] for c, b in pieces_of(s, chunk_bytes))
