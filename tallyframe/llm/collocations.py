@@ -11,7 +11,11 @@ into words at spaces and tabs. Everything is counted per language (null: ``und``
    below that share in every shard is below ``min_count`` in all, so the union of these sets
    holds every frequent phrase. A frequent phrase has only frequent parts: of 2 to 4 words,
    only phrases are counted whose two parts of one word less are candidates (told by a filter
-   of fixed size, which may let others through but holds none back).
+   of fixed size, which may let others through but holds none back). Local support falls to 1
+   when the table is much larger than a shard, so phrases of 2 to 4 words are first counted
+   by buckets of their keys over the whole table (Park, Chen and Yu): about one bucket per 8 to
+   16 bytes of text, two bytes of id and one of count for each bucket of a shard, summed by
+   Spark. A phrase whose bucket stays below ``min_count`` is not mined; none that reaches it is lost.
 3. Second pass: every shard counts exactly the phrases of all candidates (held in the task in
    blocks of at most ``block_keys``, one pass over the texts per block), and Spark sums
    them. Phrases are tuples of 64-bit word hashes; a hash that two words share is an error,
@@ -53,6 +57,8 @@ TEXT_BLOCK = 1 << 18
 #: Last bits of a key in the filter of a mining task (a byte each) and in the index of a counting one (four each).
 FILTER_BITS, INDEX_BITS = 25, 23
 FILTER_MASK, INDEX_MASK = np.uint64((1 << FILTER_BITS) - 1), np.uint64((1 << INDEX_BITS) - 1)
+#: Buckets of the phrases of one length: 2 ** bits within these bounds, a bit each in a mining task; buckets of a row: 2 ** 16.
+FEWEST_BUCKET_BITS, MOST_BUCKET_BITS, BLOCK_BITS = 16, 29, 16
 #: Languages whose word counts are broadcast at most; more are joined by a shuffle.
 BROADCAST_LANGS = 100_000
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
@@ -62,6 +68,7 @@ TABLE = bytes(
     10 if b in PIECE_BREAKS else 32 if b in WORD_BREAKS else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 WORDS = ["w1", "w2", "w3", "w4"]
+BUCKETS, HELD = "block int, ids binary, counts binary", "block int, held binary"
 LOCAL = "code long, g int, k long, v long"
 COUNTED = "lang string, g int, w1 long, w2 long, w3 long, w4 long, c long, word string"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +184,90 @@ def key_filter(path: str) -> np.ndarray:
     return held
 
 
+def phrase_keys(words: Words, g: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of a shard's phrases of ``g`` words whose parts of ``g - 1`` words pass the filter ``known``."""
+    keys = None
+    for j in range(1, g):
+        keys = longer_keys(words, keys, j)
+    if g == 1:
+        return np.arange(len(words.hashes)), longer_keys(words, None, 1)
+    hit = known[keys & FILTER_MASK]
+    at = np.flatnonzero(hit[:-1] & hit[1:] & in_one_piece(words, g))
+    with np.errstate(over="ignore"):
+        return at, mix(keys[at] * STEP + words.hashes[at + g - 1])
+
+
+def bucket_bits(text_bytes: int) -> int:
+    """Buckets grow with the bytes of text, one per 8 to 16 of them, within bounds."""
+    return min(MOST_BUCKET_BITS, max(FEWEST_BUCKET_BITS, max(text_bytes, 1).bit_length() - 4))
+
+
+def bucket_counts(g: int, shorter: str, bits: int, min_count: int, shard_bytes: int):
+    """Counts of each shard's phrases of ``g`` words by bucket (the first ``bits`` of a key), at most ``min_count`` each.
+
+    A row holds the buckets of one block of ``2 ** BLOCK_BITS``: their last bits and their counts.
+    """
+    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
+    kind = np.min_scalar_type(min_count)
+
+    def packed(values, ends):
+        offsets = (ends * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    def run(batches):
+        known = key_filter(shorter)
+        for shard in shards(batches, shard_bytes):
+            keys = phrase_keys(shard_words(shard), g, known)[1]
+            buckets, counts = counted_keys(keys >> np.uint64(64 - bits))
+            if not len(buckets):
+                continue
+            blocks = (buckets >> np.uint64(BLOCK_BITS)).astype(np.int32)
+            first = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+            ends = np.append(first, len(blocks))
+            yield from sliced(pa.RecordBatch.from_arrays(
+                [pa.array(blocks[first]), packed((buckets & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u2"), ends),
+                 packed(np.minimum(counts, min_count).astype(kind), ends)],
+                schema=schema,
+            ), 1 << 12)
+
+    return run
+
+
+def full_buckets(min_count: int):
+    """Of a block's rows: a bit for each bucket, set where the counts reach ``min_count``."""
+    kind = np.min_scalar_type(min_count)
+
+    def run(rows: pa.Table) -> pa.Table:
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
+        for ids, counts in zip(rows.column("ids"), rows.column("counts"), strict=True):
+            total[np.frombuffer(ids.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), kind)
+        return pa.table({
+            "block": pa.array([rows.column("block")[0].as_py()], pa.int32()),
+            "held": pa.array([np.packbits(total >= min_count).tobytes()], pa.binary()),
+        })
+
+    return run
+
+
+def load_buckets(path: str, bits: int) -> np.ndarray:
+    """The bits of all buckets, from the blocks at ``path``."""
+    import pyarrow.dataset as ds
+
+    store, root = open_store(path)
+    held = np.zeros((1 << bits - BLOCK_BITS, (1 << BLOCK_BITS) // 8), np.uint8)
+    for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(columns=["block", "held"], batch_size=1 << 10):
+        for block, bits_ in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+            held[block] = np.frombuffer(bits_.as_buffer(), np.uint8)
+    return held.reshape(-1)
+
+
+def in_full_bucket(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key's bucket is set."""
+    bits = len(held).bit_length() + 2
+    bucket = keys >> np.uint64(64 - bits)
+    return (held[bucket >> np.uint64(3)] >> (7 - (bucket & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def tuples(hashes, at, g):
     """The four word hashes of phrases of ``g`` words that start at ``at`` (0 beyond the phrase)."""
     return [hashes[at + j] if j < g else np.zeros(len(at), np.uint64) for j in range(4)]
@@ -206,11 +297,12 @@ def shards(batches, shard_bytes):
         yield held
 
 
-def local_frequent(g: int, shorter: str | None, min_count: int, shard_bytes: int):
+def local_frequent(g: int, shorter: str | None, min_count: int, shard_bytes: int, buckets: str | None = None, bits: int = 0):
     """First SON pass for phrases of ``g`` words: the locally frequent ones of each shard, and each shard's slack.
 
     ``shorter`` is where the candidates of ``g - 1`` words lie: a phrase can only be frequent
-    if both its phrases of ``g - 1`` words are, so the others are not looked at.
+    if both its phrases of ``g - 1`` words are, so the others are not looked at. ``buckets`` is
+    where the full ones of ``2 ** bits`` buckets lie: a phrase of any other is not frequent.
 
     A phrase's rows carry ``count - (need - 1)``, where ``need`` is the local support of its
     language; a row with ``g = 0`` carries ``need - 1`` of a language of the shard. Summed,
@@ -229,18 +321,13 @@ def local_frequent(g: int, shorter: str | None, min_count: int, shard_bytes: int
 
     def run(batches):
         known = key_filter(shorter) if shorter else None
+        full = load_buckets(buckets, bits) if buckets else None
         for shard in shards(batches, shard_bytes):
             words = shard_words(shard)
-            keys = None
-            for j in range(1, g):
-                keys = longer_keys(words, keys, j)
-            if g > 1:
-                hit = known[keys & FILTER_MASK]
-                at = np.flatnonzero(hit[:-1] & hit[1:] & in_one_piece(words, g))
-                with np.errstate(over="ignore"):
-                    keys = mix(keys[at] * STEP + words.hashes[at + g - 1])
-            else:
-                at, keys = np.arange(len(words.hashes)), longer_keys(words, None, 1)
+            at, keys = phrase_keys(words, g, known)
+            if full is not None:
+                own = in_full_bucket(keys, full)
+                at, keys = at[own], keys[own]
             ends = np.searchsorted(at, words.bounds)
             for i, code in enumerate(language_codes(words.names)):
                 # Locally frequent: count * all bytes >= min_count * shard bytes of the language, in integers.
@@ -345,13 +432,20 @@ def collocations(
     totals = rows.groupBy("lang").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
     totals = settle(totals, "languages")
     # Each row carries its language's words: by broadcast if the languages are few, as checked, else by a shuffle.
-    few = totals.count() <= BROADCAST_LANGS
+    size = totals.agg(F.count(F.lit(1)).alias("langs"), F.sum("n").alias("bytes")).first()
+    few, bits = size["langs"] <= BROADCAST_LANGS, bucket_bits(int(size["bytes"] or 0))
     sized = rows.join(F.broadcast(totals) if few else totals, "lang").select("text", "lang", "n")
 
     paths: list[str] = []
     for g in range(1, 5):
         # A job a length, so that only phrases are looked at whose parts can be frequent.
-        local = sized.mapInArrow(local_frequent(g, paths[-1] if paths else None, min_count, shard_bytes), LOCAL)
+        shorter = paths[-1] if paths else None
+        buckets = None
+        if shorter:
+            buckets = fresh_path(spark, "buckets")
+            parts = sized.mapInArrow(bucket_counts(g, shorter, bits, min_count, shard_bytes), BUCKETS)
+            parts.groupBy("block").applyInArrow(full_buckets(min_count), HELD).write.parquet(buckets)
+        local = sized.mapInArrow(local_frequent(g, shorter, min_count, shard_bytes, buckets, bits), LOCAL)
         summed = settle(local.groupBy("code", "g", "k").agg(F.sum("v").alias("v")), f"local_{g}")
         slack = summed.where("g = 0").select("code", F.col("v").alias("slack"))
         found = summed.where("g > 0").join(F.broadcast(slack) if few else slack, "code", "left")
@@ -371,17 +465,17 @@ def collocations(
     for block in range(blocks):
         part = sized.mapInArrow(candidate_counts(paths, block, blocks, shard_bytes), COUNTED)
         counted = part if counted is None else counted.unionByName(part)
-    # Written once: the steps below read these few rows many times.
-    exact = settle(
-        counted.groupBy("lang", "g", *WORDS).agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")),
-        "counted",
-    )
+    # Written once: the steps below read these few rows many times. Spellings are a key, as minima of texts are not hashed.
+    exact = settle(counted.groupBy("lang", "g", *WORDS, "word").agg(F.sum("c").alias("f")), "counted")
     words = exact.where("g = 0").select("lang", F.col("f").alias("n"))
-    exact = exact.where("g > 0")
     # Every phrase whose key is asked for is counted in every shard, so its count is exact.
-    exact = exact.withColumn(
+    single = exact.where("g = 1").groupBy("lang", "g", *WORDS).agg(
+        F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")
+    )
+    single = single.withColumn(
         "f", F.when(F.col("word") != F.col("other"), F.raise_error(F.lit("two words share a 64-bit hash"))).otherwise(F.col("f"))
     )
+    exact = exact.where("g > 1").unionByName(settle(single.drop("other"), "words"))
     return score_phrases(exact, words, min_count, top)
 
 

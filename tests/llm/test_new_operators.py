@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.parquet as pq
 import pytest
 from llm_cases import texts_of
@@ -121,6 +122,35 @@ def test_collocation_counts_when_keys_share_their_index(monkeypatch):
         assert sum(got.values()) == int((np.isin(keys, wanted) & collocations.in_one_piece(held, g)).sum())
 
 
+def test_collocation_mining_leaves_out_phrases_of_buckets_below_min_count(tmp_path):
+    # Of 20,000 pairs of candidate words one stands 30 times: a shard of a large table (support 1) handed on every pair.
+    rng = np.random.default_rng(9)
+    pairs = {(f"w{i}", f"w{j}") for i, j in rng.integers(0, 400, (20_000, 2))}
+    rows = [(f"{a} {b}.", "en") for a, b in sorted(pairs)] + [("big dog!", "en")] * 30
+    batch = shard_batch(rows)
+    words = pa.Table.from_batches([b for b in collocations.local_frequent(1, None, 30, 1 << 23)([batch]) if b.num_rows])
+    pq.write_table(words.select(["k"]), tmp_path / "words.parquet")
+    (tmp_path / "full").mkdir()
+    bits = collocations.bucket_bits(1 << 21)
+    mined = {}
+    for shard_bytes in (1 << 23, 1 << 12):  # one shard, many shards
+        parts = pa.Table.from_batches(list(collocations.bucket_counts(2, str(tmp_path / "words.parquet"), bits, 30, shard_bytes)([batch])))
+        full = [collocations.full_buckets(30)(parts.filter(pa.compute.equal(parts["block"], b))) for b in set(parts["block"].to_pylist())]
+        pq.write_table(pa.concat_tables(full), tmp_path / "full" / "part-0.parquet")
+        args = (2, str(tmp_path / "words.parquet"), 30, shard_bytes, str(tmp_path / "full"), bits)
+        mined[shard_bytes] = pa.Table.from_batches(list(collocations.local_frequent(*args)([batch])))
+    assert all(sum(t["v"].to_pylist()) >= 30 and t.num_rows < 100 for t in mined.values())
+    assert 30 in mined[1 << 23]["v"].to_pylist()
+
+
+def test_collocation_buckets_lose_no_frequent_phrase(spark, documents, monkeypatch):
+    # Few buckets, counts beyond a byte: other phrases may be let through, the result is the same.
+    monkeypatch.setattr(collocations, "MOST_BUCKET_BITS", 16)
+    docs = documents.unionByName(documents).unionByName(documents)
+    wide = result_rows(collocations.collocations(docs, min_count=300, shard_bytes=1 << 16))
+    assert wide == result_rows(collocations.collocations(docs.coalesce(1), min_count=300)) and wide
+
+
 def test_collocation_scores_are_exact_beyond_64_bits():
     assert (10**13 * 2_000_000) // (10**13 + 10**13 + 1) == 999_999
     # The Spark expression divides decimals, so a * 2000000 may pass 2 ** 63.
