@@ -26,8 +26,8 @@ word context again at the cut). Rows of a task are scored in lockstep, block by
 that numpy works on many texts at once.
 
 The base score is a Spark job: ``log10((c + 1) / (N + V + 1))`` summed over tokens, with
-``c`` from the training tokens' counts (a broadcast of the at most ``frequent`` most
-frequent tokens of at most 64 bytes, a shuffle for the rest), ``N`` and ``V`` their total
+``c`` from the training tokens' counts (the at most ``frequent`` most frequent tokens of at
+most 64 bytes are summed where the texts are read, the rest joined by a shuffle), ``N`` and ``V`` their total
 and distinct number; the end token counts once per training row.
 
 Defined cases: null texts are empty (one token, the end; one byte, the line feed); null
@@ -47,10 +47,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyframe.llm.common import as_bytes, fresh_path, remainder, settle, sliced, span_hashes, table
 from tallyframe.llm.warc import open_store
 
-#: Fixed values of the contract: folds, separators of words, the letters lower-cased.
+#: Fixed values of the contract: folds, the letters lower-cased.
 FOLDS, HELD_OUT = 7, 2
-SEPARATORS = "[\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 ORDERS = 4
@@ -59,6 +57,10 @@ FEWEST_TABLE_BITS, MOST_TABLE_BITS = 16, 21
 #: Bytes of a text read at once, bytes a weight step covers, start and rate of the weights.
 CHUNK_BYTES, BLOCK, START_WEIGHT, RATE = 1 << 16, 64, 0.3, 0.02
 GATES = 8 * (ORDERS + 1)
+#: Bytes of text scored in lockstep, at most ``chunk_bytes`` of each text.
+GROUP_BYTES = 1 << 19
+#: Bytes of text whose contexts are counted at once, and whose tokens are.
+COUNT_BYTES, TOKEN_BYTES = 1 << 20, 1 << 22
 #: Rows of the count table read at once.
 LOAD_ROWS = 1 << 16
 #: Tokens of the broadcast count table at most (of at most 64 bytes each).
@@ -68,6 +70,7 @@ ORDER_SALT = [np.uint64(0x2545F4914F6CDD1D * (k + 1) % (1 << 64)) for k in range
 LOG10_2 = math.log10(2)
 #: Of each byte: its bits, and the bits before each with a leading one, spread by the salt of each order.
 BIT = ((np.arange(256)[:, None] >> (7 - np.arange(8))) & 1).astype(np.int8)
+BIT_FLOAT = BIT.astype(np.float32)
 PARTIAL = ((np.arange(256)[:, None] | 256) >> (8 - np.arange(8))).astype(np.uint64)
 with np.errstate(over="ignore"):
     SPREAD = [PARTIAL * ORDER_SALT[(k + 1) % ORDERS] for k in range(ORDERS)]
@@ -78,8 +81,8 @@ def stream(text: bytes | None) -> bytes:
     return b" ".join((text or b"").translate(LOWERED).split()) + b"\n"
 
 
-def slots(chunk: bytes, before: bytes, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Context slots (one array (n, 8) an order) and bits (n, 8) of the bytes of ``chunk``.
+def contexts(chunk: bytes, before: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the contexts of each byte of ``chunk`` (one array an order), and the bytes.
 
     ``before`` holds the three bytes read before the chunk (line feeds at a text's start).
     """
@@ -90,14 +93,24 @@ def slots(chunk: bytes, before: bytes, bits: int) -> tuple[list[np.ndarray], np.
     separator = (data == 32) | (data == 10)
     last = np.maximum.accumulate(np.where(separator, np.arange(len(data)), 0))
     starts = [at - 1, at - 2, at - 3, last[at - 1] + 1]
-    own = data[pad:]
-    shift = np.uint64(64 - bits)
-    out = []
     with np.errstate(over="ignore"):
-        for k in range(ORDERS):
-            base = (spans(starts[k], at) ^ ORDER_SALT[k]) * MULTIPLIER
-            out.append((((base[:, None] + SPREAD[k][own]) * MULTIPLIER) >> shift).view(np.int64))
-    return out, BIT[own]
+        return [(spans(starts[k], at) ^ ORDER_SALT[k]) * MULTIPLIER for k in range(ORDERS)], data[pad:]
+
+
+def slots_of(k: int, base: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
+    """The slots (n, 8) of the bits of bytes ``own`` in their contexts of order ``k``."""
+    with np.errstate(over="ignore"):
+        spread = SPREAD[k].take(own, axis=0)
+        spread += base[:, None]
+        spread *= MULTIPLIER
+        spread >>= np.uint64(64 - bits)
+    return spread.view(np.int64)
+
+
+def slots(chunk: bytes, before: bytes, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Context slots (one array (n, 8) an order) and bits (n, 8) of the bytes of ``chunk``."""
+    bases, own = contexts(chunk, before)
+    return [slots_of(k, bases[k], own, bits) for k in range(ORDERS)], BIT[own]
 
 
 def pieces_of(text: bytes, chunk_bytes: int):
@@ -112,6 +125,64 @@ def pieces_of(text: bytes, chunk_bytes: int):
         at = end
 
 
+def add_contexts(counts: np.ndarray, parts: list[tuple[bytes, bytes]], bits: int) -> None:
+    """Adds the zeros and ones of the bytes of ``parts`` (chunk, before) to ``counts`` (ORDERS, 2 * slots), in place.
+
+    Equal pairs of context and byte are counted first, by sorting, and their eight slots looked
+    up once: short contexts by their bytes, words (with the byte that ends them) by their hash.
+    """
+
+    def add(k, hashes, own, times):
+        with np.errstate(over="ignore"):
+            base = (hashes ^ ORDER_SALT[k]) * MULTIPLIER
+        slot = slots_of(k, base, own, bits)
+        np.add.at(counts[k], (slot * 2 + BIT[own]).ravel(), np.repeat(times.astype(np.uint32), 8))
+
+    # Words cut at a chunk's end are few: byte by byte, as in scoring.
+    whole = [c[-1:] in (b" ", b"\n") and b[-1:] in (b" ", b"\n") for c, b in parts]
+    for (chunk, before), even in zip(parts, whole, strict=True):
+        if not even:
+            found, ones = slots(chunk, before, bits)
+            for k in range(ORDERS):
+                np.add.at(counts[k], (found[k] * 2 + ones).ravel(), np.uint32(1))
+    parts = [part for part, even in zip(parts, whole, strict=True) if even]
+    if not parts:
+        return
+    data = np.frombuffer(b"".join(b + c for c, b in parts), np.uint8)
+    own = np.ones(len(data), bool)
+    lead = len(parts[0][1])
+    begin = np.cumsum([0, *[lead + len(c) for c, _ in parts[:-1]]])
+    for i in range(lead):
+        own[begin + i] = False
+    at = np.flatnonzero(own)
+    for k in range(1, ORDERS):
+        keys = data[at].astype(np.uint32)
+        for i in range(1, k + 1):
+            keys |= data[at - i].astype(np.uint32) << np.uint32(8 * i)
+        keys, times = run_lengths(np.sort(keys))
+        context = np.stack([(keys >> np.uint32(8 * i)).astype(np.uint8) for i in range(k, 0, -1)], 1).ravel()
+        first = np.arange(len(keys)) * k
+        add(k - 1, span_hashes(context)(first, first + k), (keys & np.uint32(255)).astype(np.int64), times)
+    ends = np.flatnonzero(own & ((data == 32) | (data == 10)))
+    starts = np.append(0, ends[:-1] + 1)
+    starts += np.where(own[starts], 0, lead)
+    spans = span_hashes(data)
+    words = spans(starts, ends + 1)
+    order = np.argsort(words)
+    times = run_lengths(words[order])[1]
+    some = order[np.cumsum(times) - times]
+    sizes = ends[some] + 1 - starts[some]
+    start = np.repeat(starts[some], sizes)
+    place = start + np.arange(len(start)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    add(ORDERS - 1, spans(start, place), data[place].astype(np.int64), np.repeat(times, sizes))
+
+
+def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted values, and how often each stands there."""
+    first = np.flatnonzero(np.append(np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def count_contexts(bits: int, chunk_bytes: int):
     """Training pass: zeros and ones of every context slot of a task's rows, as rows (order, slot, n0, n1)."""
     schema = pa.schema([("order", pa.int32()), ("slot", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
@@ -121,23 +192,16 @@ def count_contexts(bits: int, chunk_bytes: int):
         counts = np.zeros((ORDERS, 2 * size), np.uint32)
         held: list[tuple[bytes, bytes]] = []
         length = 0
-
-        def add(parts):
-            for k in range(ORDERS):
-                # Added in place: the table is much larger than a chunk, and is not passed over for each.
-                for part_slots, part_bits in parts:
-                    np.add.at(counts[k], (part_slots[k] * 2 + part_bits).ravel(), np.uint32(1))
-
         for batch in batches:
             for text in as_bytes(batch.column(0)):
                 for chunk, before in pieces_of(stream(text), chunk_bytes):
                     held.append((chunk, before))
                     length += len(chunk)
-                    if length >= chunk_bytes:
-                        add([slots(c, b, bits) for c, b in held])
+                    if length >= COUNT_BYTES:
+                        add_contexts(counts, held, bits)
                         held, length = [], 0
         if held:
-            add([slots(c, b, bits) for c, b in held])
+            add_contexts(counts, held, bits)
         for k in range(ORDERS):
             n0, n1 = counts[k][0::2], counts[k][1::2]
             seen = np.flatnonzero(n0 + n1)
@@ -148,6 +212,76 @@ def count_contexts(bits: int, chunk_bytes: int):
     return run
 
 
+def token_groups(batches):
+    """Rows of a task in groups of about ``TOKEN_BYTES`` of text: keys (of the second column, if there is one), each
+    token's place among them, the distinct tokens, and which of these each token is."""
+
+    def made(keys, streams):
+        data = np.frombuffer(b"".join(streams), np.uint8)
+        parts = (data == 32) | (data == 10)
+        ends = np.flatnonzero(parts)
+        sizes = np.diff(np.append(-1, ends)) - 1
+        owner = np.searchsorted(np.cumsum([len(s) for s in streams]), ends, side="right")
+        ends, owner, sizes = ends[sizes > 0], owner[sizes > 0], sizes[sizes > 0]
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        letters = pa.py_buffer(np.ascontiguousarray(data[~parts]))
+        # A key of Arrow's dictionary is the token itself, so that no two are taken for one.
+        coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
+        return keys, owner, coded.dictionary.cast(pa.large_string()).cast(pa.string()), coded.indices.to_numpy()
+
+    keys, streams, size = [], [], 0
+    for batch in batches:
+        given = batch.column(1).to_pylist() if batch.num_columns > 1 else [None] * batch.num_rows
+        for text, key in zip(as_bytes(batch.column(0)), given, strict=True):
+            keys.append(key)
+            streams.append(stream(text))
+            size += len(streams[-1])
+            if size >= TOKEN_BYTES:
+                yield made(keys, streams)
+                keys, streams, size = [], [], 0
+    if streams:
+        yield made(keys, streams)
+
+
+def count_tokens(batches):
+    """Tokens of each group of rows and their counts."""
+    for _, _, distinct, which in token_groups(batches):
+        times = np.bincount(which, minlength=len(distinct)).astype(np.int64)
+        yield from sliced(pa.RecordBatch.from_arrays([distinct, pa.array(times)], ["token", "c"]))
+
+
+def row_tokens(path: str, denominator: float):
+    """Of every row its number of words, and of those at ``path`` number and summed log10 (a row without token); other tokens with their number."""
+    schema = pa.schema([("key", pa.int64()), ("token", pa.string()), ("m", pa.int64()), ("hot_words", pa.int64()), ("hot_score", pa.float64())])
+
+    def run(batches):
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        store, root = open_store(path)
+        hot = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["token", "c"])
+        tokens_ = pa.concat_arrays([pa.array([], pa.string()), *[chunk.cast(pa.string()) for chunk in hot.column("token").chunks]])
+        logs = np.append(np.log10((hot.column("c").to_numpy() + 1) / denominator), 0.0)
+        for keys, owner, distinct, which in token_groups(batches):
+            n = len(keys)
+            found = pc.fill_null(pc.index_in(distinct, value_set=tokens_), -1).to_numpy()[which]
+            known = found >= 0
+            yield from sliced(pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.nulls(n, pa.string()), pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
+                 pa.array(np.bincount(owner[known], minlength=n).astype(np.int64)), pa.array(np.bincount(owner, logs[found], minlength=n))],
+                schema=schema,
+            ))
+            pairs, m = run_lengths(np.sort(owner[~known] * max(len(distinct), 1) + which[~known]))
+            row, token = np.divmod(pairs, max(len(distinct), 1))
+            yield from sliced(pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(keys, np.int64)[row]), distinct.take(pa.array(token)), pa.array(m.astype(np.int64)),
+                 pa.array(np.zeros(len(m), np.int64)), pa.array(np.zeros(len(m)))],
+                schema=schema,
+            ))
+
+    return run
+
+
 def load_table(path: str, bits: int) -> np.ndarray:
     """Stretched predictions (ORDERS, 2 ** bits) of the summed counts at ``path``; 0 where a slot is unseen."""
     import pyarrow.dataset as ds
@@ -166,32 +300,43 @@ def load_table(path: str, bits: int) -> np.ndarray:
 
 def mixed_bits(units, weights: np.ndarray, table_: np.ndarray, bits: int) -> np.ndarray:
     """Bits of each unit (chunk, before, text index) under the gated mixer; ``weights`` (texts, GATES, ORDERS) are refined in place."""
-    parts = [slots(chunk, before, bits) for chunk, before, _ in units]
-    owner = np.concatenate([np.full(len(chunk), i, np.int64) for i, (chunk, _, _) in enumerate(units)])
-    texts = np.asarray([t for _, _, t in units], np.int64)
-    x = [np.concatenate([table_[k][p[0][k]] for p in parts]) for k in range(ORDERS)]  # (n, 8) each
-    y = np.concatenate([p[1] for p in parts]).astype(np.float32)
-    gate = np.arange(8)[None, :] * (ORDERS + 1) + sum((xk != 0).astype(np.int64) for xk in x)
-    place = np.concatenate([np.arange(len(chunk)) for chunk, _, _ in units]) // BLOCK
-    order = np.argsort(place.astype(np.int32), kind="stable")
+    # The bytes of a step side by side; slots and predictions of a step are looked up when it comes.
+    place = np.concatenate([np.arange(len(chunk), dtype=np.int32) // BLOCK for chunk, _, _ in units])
+    order = np.argsort(place, kind="stable")
     ends = np.cumsum(np.bincount(place))
-    flat = weights.reshape(-1, ORDERS)
+    parts = [contexts(chunk, before) for chunk, before, _ in units]
+    bases = [np.concatenate([p[0][k] for p in parts])[order] for k in range(ORDERS)]
+    own = np.concatenate([p[1] for p in parts])[order]
+    del parts, place
+    owner = np.repeat(np.arange(len(units), dtype=np.int32), [len(chunk) for chunk, _, _ in units])[order]
+    first = np.asarray([t * GATES for _, _, t in units], np.int64)
+    flat = np.ascontiguousarray(weights.reshape(-1, ORDERS).T)
+    bit_gate = np.arange(8) * (ORDERS + 1)
     cost = np.zeros(len(units))
     start = 0
     for end in ends:
-        rows = order[start:end]
+        now, rows = own[start:end], owner[start:end]
+        xs = [table_[k].take(slots_of(k, bases[k][start:end], now, bits)) for k in range(ORDERS)]
         start = end
-        xs, ys = [xk[rows] for xk in x], y[rows]
-        index = texts[owner[rows]][:, None] * GATES + gate[rows]
-        dot = flat[:, 0][index] * xs[0]
+        ys = BIT_FLOAT.take(now, axis=0)
+        known = sum((xk != 0).view(np.int8) for xk in xs)
+        index = first.take(rows)[:, None] + bit_gate
+        index += known
+        # Every index is within bounds: "clip" only spares a check of each.
+        dot = flat[0].take(index, mode="clip")
+        dot *= xs[0]
         for k in range(1, ORDERS):
-            dot += flat[:, k][index] * xs[k]
-        p = 1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30)))
-        p = np.clip(p, 1.0 / 4096, 1 - 1.0 / 4096)
-        cost += np.bincount(owner[rows], -np.log2(np.where(ys > 0, p, 1 - p)).sum(1), minlength=len(units))
+            dot += flat[k].take(index, mode="clip") * xs[k]
+        p = 1.0 / (1.0 + np.exp(-np.minimum(np.maximum(dot, -30), 30)))
+        p = np.minimum(np.maximum(p, 1.0 / 4096), 1 - 1.0 / 4096)
+        chance = 1 - p
+        np.copyto(chance, p, where=ys > 0)
+        cost += np.bincount(rows, -np.log2(chance).sum(1), minlength=len(units))
         step = RATE * (ys - p)
+        index = index.ravel()
         for k in range(ORDERS):
-            flat[:, k] += np.bincount(index.ravel(), (step * xs[k]).ravel(), minlength=len(flat)).astype(np.float32)
+            flat[k] += np.bincount(index, (step * xs[k]).ravel(), minlength=flat.shape[1]).astype(np.float32)
+    weights.reshape(-1, ORDERS)[:] = flat.T
     return cost
 
 
@@ -209,22 +354,20 @@ def score_texts(path: str, bits: int, chunk_bytes: int):
 
             def flush(group):
                 weights = np.full((len(group), GATES, ORDERS), START_WEIGHT, np.float32)
-                units = [(s, b"\n\n\n", i) for i, (_, s) in enumerate(group)]
-                for (j, _), c in zip(group, mixed_bits(units, weights, table_, bits), strict=True):
-                    cost[j] = c
+                reading = [pieces_of(streams[j], chunk_bytes) for j in group]
+                # The first chunks of all texts together, then the second of those that have one, and so on.
+                while units := [(*piece, i) for i, rest in enumerate(reading) if (piece := next(rest, None))]:
+                    for (_, _, i), c in zip(units, mixed_bits(units, weights, table_, bits), strict=True):
+                        cost[group[i]] += c
 
             # Texts of like length together: a group takes as many steps as its longest text has blocks.
             for j in sorted(range(len(streams)), key=lambda i: len(streams[i])):
-                s = streams[j]
-                if len(s) > chunk_bytes:
-                    weights = np.full((1, GATES, ORDERS), START_WEIGHT, np.float32)
-                    cost[j] = sum(mixed_bits([(c, b, 0)], weights, table_, bits)[0] for c, b in pieces_of(s, chunk_bytes))
-                    continue
-                if length + len(s) > chunk_bytes:
+                held = min(len(streams[j]), chunk_bytes)
+                if group and length + held > GROUP_BYTES:
                     flush(group)
                     group, length = [], 0
-                group.append((j, s))
-                length += len(s)
+                group.append(j)
+                length += held
             if group:
                 flush(group)
             sizes = np.asarray([len(s) for s in streams], np.int64)
@@ -240,11 +383,6 @@ def table_bits(train_bytes: int, fewest: int = FEWEST_TABLE_BITS, most: int = MO
     return int(min(most, max(fewest, math.ceil(math.log2(max(train_bytes, 1))) - 8)))
 
 
-def tokens(text: F.Column) -> F.Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
-
-
 def lm_scores(
     docs: DataFrame,
     text: str = "text",
@@ -265,8 +403,8 @@ def lm_scores(
         "scored_rows",
     )
     training = rows.where(~F.col("held_out"))
-    words = training.select(F.explode(tokens(F.col("text"))).alias("token"))
-    counts = settle(words.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token_counts")
+    words = training.select("text").mapInArrow(count_tokens, "token string, c long")
+    counts = settle(words.groupBy("token").agg(F.sum("c").alias("c")), "token_counts")
     totals = training.agg(
         F.count(F.lit(1)).alias("r"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")
     ).first()
@@ -276,19 +414,26 @@ def lm_scores(
     v_total = int(seen["v"]) + (1 if ends else 0)
     denominator = float(n_total + v_total + 1)
 
-    # The base score: token frequencies of each row joined to the training counts.
-    per_row = rows.select("key", F.explode(tokens(F.col("text"))).alias("token")).groupBy("key", "token").agg(
-        F.count(F.lit(1)).alias("m")
-    )
+    # The base score: the most frequent tokens' part is summed where the texts are read, the others are joined to the counts.
     cut = counts.where(F.octet_length("token") <= FREQUENT_BYTES).orderBy(F.col("c").desc(), "token").limit(frequent)
-    hot = settle(cut, "frequent_tokens")
-    hot_rows = per_row.join(F.broadcast(hot), "token")
-    rest = per_row.join(F.broadcast(hot), "token", "left_anti").join(counts, "token", "left")
-    joined = hot_rows.unionByName(rest).select("key", "m", F.coalesce("c", F.lit(0)).alias("c"))
-    base = joined.groupBy("key").agg(
-        F.sum("m").alias("n_words"),
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known_words"),
-        F.sum(F.col("m") * F.log10((F.col("c") + 1) / F.lit(denominator))).alias("word_score"),
+    hot = fresh_path(spark, "frequent_tokens")
+    cut.write.parquet(hot)
+    per_row = settle(
+        rows.select("text", "key").mapInArrow(
+            row_tokens(hot, denominator), "key long, token string, m long, hot_words long, hot_score double"
+        ),
+        "row_tokens",
+    )
+    rest = per_row.where(F.col("token").isNotNull()).select("key", "token", "m").join(counts, "token", "left")
+    rest = rest.groupBy("key").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rest_words"),
+        F.sum(F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))).alias("rest_score"),
+    )
+    base = per_row.where(F.col("token").isNull()).join(rest, "key", "left").select(
+        "key",
+        F.col("m").alias("n_words"),
+        (F.col("hot_words") + F.coalesce("rest_words", F.lit(0))).alias("known_words"),
+        (F.col("hot_score") + F.coalesce("rest_score", F.lit(0.0))).alias("word_score"),
     )
 
     # The model: context counts of the training rows, summed by slot, then every row scored.

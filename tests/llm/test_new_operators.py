@@ -316,6 +316,36 @@ def test_lm_table_is_loaded_in_little_memory(tmp_path):
     assert peak < 12e6
 
 
+def test_lm_contexts_are_counted_once_a_pair(monkeypatch):
+    # Counts equal those of the scoring slots, byte by byte; equal texts are looked up once, not a time each.
+    rng = np.random.default_rng(11)
+    words = ["".join(map(chr, rng.integers(97, 103, n))) for n in rng.integers(1, 9, 60)]
+    texts = [" ".join(rng.choice(words, 40)).encode() for _ in range(30)] + [b"", b"x" * 900, "Gr\u00f6\u00dfe \u65e5\u672c ".encode() * 9, b"a " + b"y" * 300 + b" b"]
+    bits, parts = 12, [part for text in texts for part in lm_scoring.pieces_of(lm_scoring.stream(text), 256)]
+    want = np.zeros((lm_scoring.ORDERS, 2 << bits), np.uint32)
+    for chunk, before in parts:
+        found, ones = lm_scoring.slots(chunk, before, bits)
+        for k in range(lm_scoring.ORDERS):
+            np.add.at(want[k], (found[k] * 2 + ones).ravel(), 1)
+    got = np.zeros_like(want)
+    lm_scoring.add_contexts(got, parts, bits)
+    assert np.array_equal(got, want)
+    looked = []
+    monkeypatch.setattr(lm_scoring, "BIT", type("Bits", (), {"__getitem__": lambda self, own: looked.append(len(own)) or np.zeros((len(own), 8), np.int8)})())
+    for copies in (1, 50):
+        lm_scoring.add_contexts(got, [(c, b) for c, b in parts if c[-1:] in (b" ", b"\n") and b[-1:] in (b" ", b"\n")] * copies, bits)
+    assert looked[:4] == looked[4:]
+
+
+def test_lm_token_rows_without_a_shuffle_of_every_token(tmp_path):
+    pq.write_table(pa.table({"token": ["the", "cat"], "c": pa.array([9, 4], pa.int64())}), tmp_path / "part-0.parquet")
+    batch = pa.RecordBatch.from_arrays([pa.array(["The cat the dog dog", None, "\tcat\x0b"]), pa.array([5, 6, 7], pa.int64())], ["text", "key"])
+    got = pa.Table.from_batches(list(lm_scoring.row_tokens(str(tmp_path), 100.0)([batch]))).to_pylist()
+    assert [(r["key"], r["m"], r["hot_words"]) for r in got if r["token"] is None] == [(5, 5, 3), (6, 0, 0), (7, 1, 1)]
+    assert [(r["key"], r["token"], r["m"]) for r in got if r["token"] is not None] == [(5, "dog", 2)]
+    assert math.isclose(got[0]["hot_score"], 2 * math.log10(0.1) + math.log10(0.05))
+
+
 def test_lm_odd_tables(odd, nothing):
     got = lm_scoring.lm_scores(odd.withColumnRenamed("score", "key")).collect()
     assert len(got) == odd.count()
