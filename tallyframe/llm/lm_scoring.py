@@ -38,6 +38,7 @@ rows; with no training rows every count is 0 and every slot unseen.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -58,9 +59,15 @@ FEWEST_TABLE_BITS, MOST_TABLE_BITS = 16, 21
 CHUNK_BYTES, BLOCK, START_WEIGHT, RATE = 1 << 16, 64, 0.3, 0.02
 GATES = 8 * (ORDERS + 1)
 #: Bytes of text scored in lockstep, at most ``chunk_bytes`` of each text.
-GROUP_BYTES = 1 << 19
+GROUP_BYTES = 1 << 20
+#: Texts whose blocks are mixed side by side.
+LANE = 128
 #: Bytes of text whose contexts are counted at once, and whose tokens are.
 COUNT_BYTES, TOKEN_BYTES = 1 << 20, 1 << 22
+#: Distinct grams that a task holds before it sums them, bytes of words whose contexts are counted at once.
+GRAMS, WORD_BYTES = 1 << 20, 1 << 17
+#: Slots in a row of counts that tasks hand on, and rows at once.
+BLOCK_SLOTS, BLOCK_ROWS = 1 << 12, 64
 #: Rows of the count table read at once.
 LOAD_ROWS = 1 << 16
 #: Tokens of the broadcast count table at most (of at most 64 bytes each).
@@ -70,7 +77,9 @@ ORDER_SALT = [np.uint64(0x2545F4914F6CDD1D * (k + 1) % (1 << 64)) for k in range
 LOG10_2 = math.log10(2)
 #: Of each byte: its bits, and the bits before each with a leading one, spread by the salt of each order.
 BIT = ((np.arange(256)[:, None] >> (7 - np.arange(8))) & 1).astype(np.int8)
-BIT_FLOAT = BIT.astype(np.float32)
+BIT_FLOAT, OTHER_FLOAT = BIT.astype(np.float32), (1 - BIT).astype(np.float32)
+#: Bounds of a bit's probability.
+LEAST, MOST = np.float32(1 / 4096), np.float32(1 - 1 / 4096)
 PARTIAL = ((np.arange(256)[:, None] | 256) >> (8 - np.arange(8))).astype(np.uint64)
 with np.errstate(over="ignore"):
     SPREAD = [PARTIAL * ORDER_SALT[(k + 1) % ORDERS] for k in range(ORDERS)]
@@ -125,19 +134,27 @@ def pieces_of(text: bytes, chunk_bytes: int):
         at = end
 
 
+def add_slots(counts: np.ndarray, k: int, hashes: np.ndarray, own: np.ndarray, times: np.ndarray, bits: int) -> None:
+    """Adds bytes ``own``, each ``times`` times in the context of order ``k`` with this hash, to ``counts`` (2 * slots), in place."""
+    with np.errstate(over="ignore"):
+        base = (hashes ^ ORDER_SALT[k]) * MULTIPLIER
+    slot = slots_of(k, base, own, bits)
+    np.add.at(counts, (slot * 2 + BIT[own]).ravel(), np.repeat(times.astype(counts.dtype), 8))
+
+
+def gram_contexts(k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys that hold a byte and the ``k`` bytes before it (the last one lowest): the hash of these, and the byte."""
+    context = np.stack([(keys >> np.uint32(8 * i)).astype(np.uint8) for i in range(k, 0, -1)], 1).ravel()
+    first = np.arange(len(keys)) * k
+    return span_hashes(context)(first, first + k), (keys & np.uint32(255)).astype(np.int64)
+
+
 def add_contexts(counts: np.ndarray, parts: list[tuple[bytes, bytes]], bits: int) -> None:
     """Adds the zeros and ones of the bytes of ``parts`` (chunk, before) to ``counts`` (ORDERS, 2 * slots), in place.
 
     Equal pairs of context and byte are counted first, by sorting, and their eight slots looked
     up once: short contexts by their bytes, words (with the byte that ends them) by their hash.
     """
-
-    def add(k, hashes, own, times):
-        with np.errstate(over="ignore"):
-            base = (hashes ^ ORDER_SALT[k]) * MULTIPLIER
-        slot = slots_of(k, base, own, bits)
-        np.add.at(counts[k], (slot * 2 + BIT[own]).ravel(), np.repeat(times.astype(np.uint32), 8))
-
     # Words cut at a chunk's end are few: byte by byte, as in scoring.
     whole = [c[-1:] in (b" ", b"\n") and b[-1:] in (b" ", b"\n") for c, b in parts]
     for (chunk, before), even in zip(parts, whole, strict=True):
@@ -160,9 +177,7 @@ def add_contexts(counts: np.ndarray, parts: list[tuple[bytes, bytes]], bits: int
         for i in range(1, k + 1):
             keys |= data[at - i].astype(np.uint32) << np.uint32(8 * i)
         keys, times = run_lengths(np.sort(keys))
-        context = np.stack([(keys >> np.uint32(8 * i)).astype(np.uint8) for i in range(k, 0, -1)], 1).ravel()
-        first = np.arange(len(keys)) * k
-        add(k - 1, span_hashes(context)(first, first + k), (keys & np.uint32(255)).astype(np.int64), times)
+        add_slots(counts[k - 1], k - 1, *gram_contexts(k, keys), times, bits)
     ends = np.flatnonzero(own & ((data == 32) | (data == 10)))
     starts = np.append(0, ends[:-1] + 1)
     starts += np.where(own[starts], 0, lead)
@@ -174,7 +189,7 @@ def add_contexts(counts: np.ndarray, parts: list[tuple[bytes, bytes]], bits: int
     sizes = ends[some] + 1 - starts[some]
     start = np.repeat(starts[some], sizes)
     place = start + np.arange(len(start)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    add(ORDERS - 1, spans(start, place), data[place].astype(np.int64), np.repeat(times, sizes))
+    add_slots(counts[-1], ORDERS - 1, spans(start, place), data[place].astype(np.int64), np.repeat(times, sizes), bits)
 
 
 def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,51 +198,80 @@ def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
+BLOCK_SCHEMA = pa.schema([("order", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+
+
+def slot_blocks(counts: list[np.ndarray | None]):
+    """Zeros and ones of the slots of each order as rows (order, block, counts): ``BLOCK_SLOTS`` slots a row, none without a count."""
+    for k, some in enumerate(counts):
+        if some is None:
+            continue
+        blocks = some.reshape(-1, min(2 * BLOCK_SLOTS, len(some)))
+        for at in range(0, len(blocks), BLOCK_ROWS):
+            seen = at + np.flatnonzero(blocks[at : at + BLOCK_ROWS].any(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(seen), k, np.int32)), pa.array(seen.astype(np.int32)), pa.array([blocks[i].astype(np.int64).tobytes() for i in seen], pa.binary())],
+                schema=BLOCK_SCHEMA,
+            )
+
+
+def sum_blocks(bits: int):
+    """The sum of the rows of one order and block, as rows (order, slot, n0, n1) of the slots seen."""
+    width = min(BLOCK_SLOTS, 1 << bits)
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = np.zeros(2 * width, np.int64)
+        for counts in rows.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+        n0, n1 = total[0::2], total[1::2]
+        seen = np.flatnonzero(n0 + n1)
+        order, block = (value.as_py() for value in key)
+        return pa.table({"order": pa.array(np.full(len(seen), order, np.int32)), "slot": seen + block * width, "n0": n0[seen], "n1": n1[seen]})
+
+    return run
+
+
 def count_contexts(bits: int, chunk_bytes: int):
-    """Training pass: zeros and ones of every context slot of a task's rows, as rows (order, slot, n0, n1)."""
-    schema = pa.schema([("order", pa.int32()), ("slot", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
-    size = 1 << bits
+    """Contexts of the texts that hold a word which a chunk may cut, byte by byte, as rows of ``slot_blocks``."""
 
     def run(batches):
-        counts = np.zeros((ORDERS, 2 * size), np.uint32)
-        held: list[tuple[bytes, bytes]] = []
-        length = 0
+        counts = None
         for batch in batches:
             for text in as_bytes(batch.column(0)):
-                for chunk, before in pieces_of(stream(text), chunk_bytes):
-                    held.append((chunk, before))
-                    length += len(chunk)
+                read = stream(text)
+                if max(map(len, read.split()), default=0) < chunk_bytes - 1:
+                    continue
+                if counts is None:
+                    counts = np.zeros((ORDERS, 2 << bits), np.uint32)
+                held, length = [], 0
+                for part in pieces_of(read, chunk_bytes):
+                    held.append(part)
+                    length += len(part[0])
                     if length >= COUNT_BYTES:
                         add_contexts(counts, held, bits)
                         held, length = [], 0
-        if held:
-            add_contexts(counts, held, bits)
-        for k in range(ORDERS):
-            n0, n1 = counts[k][0::2], counts[k][1::2]
-            seen = np.flatnonzero(n0 + n1)
-            yield from sliced(pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen), k, np.int32)), pa.array(seen), pa.array(n0[seen].astype(np.int64)), pa.array(n1[seen].astype(np.int64))], schema=schema
-            ))
+                add_contexts(counts, held, bits)
+        yield from slot_blocks([] if counts is None else list(counts))
 
     return run
 
 
 def token_groups(batches):
     """Rows of a task in groups of about ``TOKEN_BYTES`` of text: keys (of the second column, if there is one), each
-    token's place among them, the distinct tokens, and which of these each token is."""
+    token's place among them, the distinct tokens, which of these each token is, the streams' bytes and their sizes."""
 
     def made(keys, streams):
         data = np.frombuffer(b"".join(streams), np.uint8)
         parts = (data == 32) | (data == 10)
         ends = np.flatnonzero(parts)
         sizes = np.diff(np.append(-1, ends)) - 1
-        owner = np.searchsorted(np.cumsum([len(s) for s in streams]), ends, side="right")
+        bounds = np.asarray([len(s) for s in streams])
+        owner = np.searchsorted(np.cumsum(bounds), ends, side="right")
         ends, owner, sizes = ends[sizes > 0], owner[sizes > 0], sizes[sizes > 0]
         offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
         letters = pa.py_buffer(np.ascontiguousarray(data[~parts]))
         # A key of Arrow's dictionary is the token itself, so that no two are taken for one.
         coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
-        return keys, owner, coded.dictionary.cast(pa.large_string()).cast(pa.string()), coded.indices.to_numpy()
+        return keys, owner, coded.dictionary.cast(pa.large_string()).cast(pa.string()), coded.indices.to_numpy(), data, bounds
 
     keys, streams, size = [], [], 0
     for batch in batches:
@@ -243,11 +287,108 @@ def token_groups(batches):
         yield made(keys, streams)
 
 
-def count_tokens(batches):
-    """Tokens of each group of rows and their counts."""
-    for _, _, distinct, which in token_groups(batches):
-        times = np.bincount(which, minlength=len(distinct)).astype(np.int64)
-        yield from sliced(pa.RecordBatch.from_arrays([distinct, pa.array(times)], ["token", "c"]))
+def grams_of(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each byte of the streams in ``data`` with the three before it (line feeds at a stream's start), the byte itself lowest."""
+    grams = data.astype(np.uint32)
+    for k in range(1, ORDERS):
+        grams[k:] |= data[:-k].astype(np.uint32) << np.uint32(8 * k)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(1, ORDERS):
+        at = starts[sizes >= k] + k - 1
+        low = np.uint32((1 << 8 * k) - 1)
+        grams[at] = grams[at] & low | np.uint32(0x0A0A0A0A) & ~low
+    return grams
+
+
+def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of the times of each."""
+    joined, counts = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(joined)
+    found, runs = run_lengths(joined[order])
+    return found, np.add.reduceat(counts[order], np.cumsum(runs) - runs) if len(found) else counts
+
+
+def count_parts(chunk_bytes: int):
+    """Training pass: what base score and model count, as rows (token, gram, c, w, e).
+
+    ``c``: the token's number. Of texts without a word that a chunk may cut, ``w`` and ``e``: how often
+    the token, or the gram, stands there, and how often the token is the last one (the empty token: texts without one).
+    """
+    schema = pa.schema([("token", pa.string()), ("gram", pa.int64()), ("c", pa.int64()), ("w", pa.int64()), ("e", pa.int64())])
+
+    def rows(tokens, grams, *numbers):
+        n = len(numbers[0])
+        columns = [pa.nulls(n, pa.string()) if tokens is None else tokens, pa.nulls(n, pa.int64()) if grams is None else pa.array(grams.astype(np.int64))]
+        return sliced(pa.RecordBatch.from_arrays([*columns, *[pa.array(x.astype(np.int64)) for x in numbers]], schema=schema))
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        keys, times = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for given, owner, tokens, which, data, sizes in token_groups(batches):
+            n = len(tokens)
+            cut = np.zeros(len(given), bool)
+            cut[owner[(pc.binary_length(tokens).to_numpy() >= chunk_bytes - 1)[which]]] = True
+            last = np.append(owner[1:] != owner[:-1], np.ones(min(len(owner), 1), bool))
+            plain = ~cut[owner]
+            yield from rows(tokens, None, *(np.bincount(x, minlength=n) for x in (which, which[plain], which[plain & last])))
+            empty = np.full(1, len(given) - last.sum())
+            if empty[0]:
+                yield from rows(pa.array([""]), None, np.zeros(1), empty, empty)
+            grams = grams_of(data, sizes)
+            if cut.any():
+                grams = grams[np.repeat(~cut, sizes)]
+            grams.sort()
+            for held, more in zip((keys, times), run_lengths(grams), strict=True):
+                held.append(more)
+            if sum(map(len, keys)) > GRAMS:
+                keys, times = ([x] for x in summed(keys, times))
+        found, number = summed(keys, times)
+        zero = np.zeros(len(found))
+        yield from rows(None, found, zero, number, zero)
+
+    return run
+
+
+def count_slots(bits: int):
+    """Context slots of counted tokens and grams (columns token, gram, w, e), as rows of ``slot_blocks``."""
+
+    def run(batches):
+        counts = [None] * ORDERS
+
+        def add(k, hashes, own, times):
+            if counts[k] is None:
+                counts[k] = np.zeros(2 << bits, np.int64)
+            add_slots(counts[k], k, hashes, own, times, bits)
+
+        for batch in batches:
+            words = batch.filter(batch.column("token").is_valid())
+            others = batch.filter(batch.column("gram").is_valid())
+            grams, times = (others.column(name).to_numpy() for name in ("gram", "w"))
+            grams = grams.astype(np.uint32)
+            for k in range(1, ORDERS if len(grams) else 0):
+                keys, number = summed([grams & np.uint32((1 << 8 * (k + 1)) - 1)], [times])
+                add(k - 1, *gram_contexts(k, keys), number)
+            w, e = (words.column(name).to_numpy() for name in ("w", "e"))
+            tokens = list(as_bytes(words.column("token")))
+            # A word, and the space or the line feed that ends it: as many tokens at once as make ``WORD_BYTES``.
+            sizes = np.asarray([len(t) + 1 for t in tokens], np.int64)
+            group = (np.cumsum(sizes) - sizes) // WORD_BYTES
+            for some in np.split(np.arange(len(tokens)), np.flatnonzero(np.diff(group)) + 1):
+                if not len(some):
+                    continue
+                data = np.frombuffer(b" ".join(tokens[i] for i in some) + b" ", np.uint8)
+                ends = np.cumsum(sizes[some])
+                starts = ends - sizes[some]
+                spans = span_hashes(data)
+                number = np.repeat(w[some], sizes[some])
+                number[ends - 1] -= e[some]
+                add(ORDERS - 1, spans(np.repeat(starts, sizes[some]), np.arange(len(data))), data.astype(np.int64), number)
+                final = np.flatnonzero(e[some])
+                add(ORDERS - 1, spans(starts[final], ends[final] - 1), np.full(len(final), 10), e[some][final])
+        yield from slot_blocks(counts)
+
+    return run
 
 
 def row_tokens(path: str, denominator: float):
@@ -262,7 +403,7 @@ def row_tokens(path: str, denominator: float):
         hot = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["token", "c"])
         tokens_ = pa.concat_arrays([pa.array([], pa.string()), *[chunk.cast(pa.string()) for chunk in hot.column("token").chunks]])
         logs = np.append(np.log10((hot.column("c").to_numpy() + 1) / denominator), 0.0)
-        for keys, owner, distinct, which in token_groups(batches):
+        for keys, owner, distinct, which, _, _ in token_groups(batches):
             n = len(keys)
             found = pc.fill_null(pc.index_in(distinct, value_set=tokens_), -1).to_numpy()[which]
             known = found >= 0
@@ -298,45 +439,172 @@ def load_table(path: str, bits: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def kept_table(path: str, bits: int) -> np.ndarray:
+    """The predictions, read once by each Python process and kept for its next tasks."""
+    return load_table(path, bits)
+
+
+def distinct(keys: np.ndarray, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and which of these each key is. Keys are 64-bit hashes, or lie ``below`` a
+    bound and have their last places taken."""
+    if below is not None and below > 4 * len(keys) + (1 << 16):
+        found, first, which = np.unique(keys[::-1], return_index=True, return_inverse=True)
+        return len(keys) - 1 - first, which[::-1]
+    if below is not None:
+        place = np.full(below, -1, np.int32)
+        place[keys] = np.arange(len(keys), dtype=np.int32)
+        some = place >= 0
+        return place[some], (np.cumsum(some, dtype=np.int32) - np.int32(1)).take(keys)
+    # The key that was written last at a place of its hash's highest bits stands for all that equal it there.
+    width = max(len(keys) - 1, 1).bit_length() + 1
+    slot = (keys >> np.uint64(64 - width)).view(np.int64)
+    place = np.empty(1 << width, np.int32)
+    here = np.arange(len(keys), dtype=np.int32)
+    place[slot] = here
+    held = place.take(slot)
+    some = np.flatnonzero(held == here)
+    number = place[: len(keys)]
+    number[some] = np.arange(len(some), dtype=np.int32)
+    which = number.take(held)
+    # The others, few, by sorting.
+    rest = np.flatnonzero(keys.take(held) != keys)
+    found, first, same = np.unique(keys[rest], return_index=True, return_inverse=True)
+    which[rest] = same + len(some)
+    return np.append(some, rest[first]), which
+
+
+def context_rows(units, table_: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """What the bytes of the units have in common, looked up once: the predictions of the eight bits (one array (rows, 8)
+    an order) of each distinct pair of a context and a byte.
+
+    Further: the row of every byte (one array an order), whether a predictor does not know one of its contexts, the
+    bytes (with those before each unit), and where each unit starts in them.
+    """
+    data = np.frombuffer(b"".join(before + chunk for chunk, before, _ in units), np.uint8)
+    leads = np.asarray([len(before) for _, before, _ in units])
+    sizes = np.asarray([len(chunk) for chunk, _, _ in units])
+    begin = np.cumsum(leads + sizes) - leads - sizes
+    spans = span_hashes(data)
+    present = np.bincount(data, minlength=256) > 0
+    letters, letter = int(present.sum()), (np.cumsum(present) - 1)[data]
+    xrows, rows = [], []
+    odd, ids, n = np.zeros(letters, bool), letter, letters
+    for k in range(ORDERS):
+        if k < ORDERS - 1:
+            # A context and its byte are numbered by the number of what ends before the byte, and the byte. The first
+            # bytes before the first unit have none; their numbers are not used, and never the last places of others'.
+            keys = letter.copy()
+            keys[1:] += ids[:-1].astype(np.int64) * letters
+            places, ids = distinct(keys, n * letters)
+            n = len(places)
+            row, own = ids, np.maximum(places, k + 1)
+            base = spans(own - k - 1, own)
+        else:
+            parts = (data == 32) | (data == 10)
+            parts[begin] = True
+            starts = np.zeros(len(data), np.int32)
+            np.maximum.accumulate(np.where(parts[:-1], np.arange(1, len(data), dtype=np.int32), np.int32(0)), out=starts[1:])
+            words = spans(starts, slice(0, len(data)))
+            with np.errstate(over="ignore"):
+                own, row = distinct(words + data * MULTIPLIER)
+            base = words[own]
+        with np.errstate(over="ignore"):
+            x = table_[k].take(slots_of(k, (base ^ ORDER_SALT[k]) * MULTIPLIER, data[own], bits))
+        xrows.append(x)
+        rows.append(row)
+        if k < ORDERS - 1:
+            shorter = rows[-2] if k else letter
+            odd = odd[shorter[places]] | (x == 0).any(1)
+    odd = odd[rows[-2]] | (x == 0).any(1)[row]
+    return xrows, rows, odd, data, begin + leads
+
+
 def mixed_bits(units, weights: np.ndarray, table_: np.ndarray, bits: int) -> np.ndarray:
     """Bits of each unit (chunk, before, text index) under the gated mixer; ``weights`` (texts, GATES, ORDERS) are refined in place."""
-    # The bytes of a step side by side; slots and predictions of a step are looked up when it comes.
-    place = np.concatenate([np.arange(len(chunk), dtype=np.int32) // BLOCK for chunk, _, _ in units])
-    order = np.argsort(place, kind="stable")
-    ends = np.cumsum(np.bincount(place))
-    parts = [contexts(chunk, before) for chunk, before, _ in units]
-    bases = [np.concatenate([p[0][k] for p in parts])[order] for k in range(ORDERS)]
-    own = np.concatenate([p[1] for p in parts])[order]
-    del parts, place
-    owner = np.repeat(np.arange(len(units), dtype=np.int32), [len(chunk) for chunk, _, _ in units])[order]
-    first = np.asarray([t * GATES for _, _, t in units], np.int64)
-    flat = np.ascontiguousarray(weights.reshape(-1, ORDERS).T)
-    bit_gate = np.arange(8) * (ORDERS + 1)
+    sizes = np.asarray([len(chunk) for chunk, _, _ in units])
+    xrows, rows, odd, data, start = context_rows(units, table_, bits)
+    # Units of like length side by side, in lanes small enough for the processor's cache.
+    by_size = np.argsort(-sizes, kind="stable")
     cost = np.zeros(len(units))
-    start = 0
-    for end in ends:
-        now, rows = own[start:end], owner[start:end]
-        xs = [table_[k].take(slots_of(k, bases[k][start:end], now, bits)) for k in range(ORDERS)]
-        start = end
-        ys = BIT_FLOAT.take(now, axis=0)
-        known = sum((xk != 0).view(np.int8) for xk in xs)
-        index = first.take(rows)[:, None] + bit_gate
-        index += known
-        # Every index is within bounds: "clip" only spares a check of each.
-        dot = flat[0].take(index, mode="clip")
-        dot *= xs[0]
+    for i in range(0, len(units), LANE):
+        lane = by_size[i : i + LANE]
+        texts = [units[j][2] for j in lane]
+        cost[lane] = lane_bits(start[lane], sizes[lane], texts, weights, xrows, rows, odd, data)
+    return cost
+
+
+def lane_bits(start, sizes, texts, weights, xrows, rows, odd, data) -> np.ndarray:
+    """Bits of units of descending ``sizes``, block by block in lockstep; ``start``: their places in ``rows``, ``odd`` and ``data``.
+
+    A step's arrays are (byte, unit, bit). Bits of which all predictors know their context, nearly
+    all, take the unit's weights of that gate as they lie; the others' are looked up one by one.
+    """
+    blocks = -(-sizes // BLOCK)
+    # Weights of each order: (unit, bit) where all contexts are known, (unit, bit, number known) elsewhere.
+    held = weights[texts].reshape(len(texts), 8, ORDERS + 1, ORDERS)
+    full = [np.ascontiguousarray(held[:, :, ORDERS, k]) for k in range(ORDERS)]
+    part = [np.ascontiguousarray(held[:, :, :ORDERS, k]).reshape(-1) for k in range(ORDERS)]
+    cost = np.zeros(len(texts))
+    buffers = np.empty((ORDERS + 2, BLOCK * len(texts) * 8), np.float32)
+    active = np.searchsorted(-blocks, -np.arange(blocks.max(initial=0)), side="left")
+    for step, n in enumerate(active):
+        *xs, dot, one = (buffer[: BLOCK * n * 8].reshape(BLOCK, n, 8) for buffer in buffers)
+        at = (start[:n] + step * BLOCK) + np.arange(BLOCK)[:, None]
+        # Units that end within the step are filled up with their last byte, which then counts for nothing.
+        ends = start[:n] + sizes[:n]
+        over = at >= ends if (sizes[:n] < (step + 1) * BLOCK).any() else None
+        if over is not None:
+            at = np.minimum(at, ends - 1)
+        for k in range(ORDERS):
+            xrows[k].take(rows[k].take(at), axis=0, out=xs[k], mode="clip")
+            if over is not None:
+                xs[k][over] = 0
+        np.multiply(full[0][:n], xs[0], out=dot)
         for k in range(1, ORDERS):
-            dot += flat[k].take(index, mode="clip") * xs[k]
-        p = 1.0 / (1.0 + np.exp(-np.minimum(np.maximum(dot, -30), 30)))
-        p = np.minimum(np.maximum(p, 1.0 / 4096), 1 - 1.0 / 4096)
-        chance = 1 - p
-        np.copyto(chance, p, where=ys > 0)
-        cost += np.bincount(rows, -np.log2(chance).sum(1), minlength=len(units))
-        step = RATE * (ys - p)
-        index = index.ravel()
+            dot += np.multiply(full[k][:n], xs[k], out=one)
+        some = np.flatnonzero(odd.take(at) if over is None else odd.take(at) & ~over)
+        if len(some):
+            odd_known = sum((x.reshape(-1, 8)[some] != 0).view(np.int8) for x in xs)
+            byte, bit = np.nonzero(odd_known != ORDERS)
+            some = some[byte] * 8 + bit
+            gate = (some // 8 % n * 8 + bit) * ORDERS + odd_known[byte, bit]
+            odd_xs = [x.reshape(-1)[some] for x in xs]
+            odd_dot = part[0][gate] * odd_xs[0]
+            for k in range(1, ORDERS):
+                odd_dot += part[k][gate] * odd_xs[k]
+            dot.reshape(-1)[some] = odd_dot
+        np.minimum(np.maximum(dot, -30, out=dot), 30, out=dot)
+        np.exp(np.negative(dot, out=dot), out=dot)
+        dot += 1
+        p = np.divide(np.float32(1), dot, out=dot)
+        np.minimum(np.maximum(p, LEAST, out=p), MOST, out=p)
+        # The probability of the bit that came, p or 1 - p, is the distance of p from the other bit.
+        now = data[at]
+        OTHER_FLOAT.take(now, axis=0, out=one, mode="clip")
+        one -= p
+        np.log2(np.abs(one, out=one), out=one)
+        total = one[..., 0::2] + one[..., 1::2]
+        total = total[..., 0::2] + total[..., 1::2]
+        total = total[..., 0] + total[..., 1]
+        if over is not None:
+            total[over] = 0
+        cost[:n] -= total.sum(0, dtype=np.float64)
+        slope = BIT_FLOAT.take(now, axis=0, out=one, mode="clip")
+        slope -= p
+        slope *= np.float32(RATE)
+        if len(some):
+            odd_slope = slope.reshape(-1)[some]
+            slope.reshape(-1)[some] = 0
+            for k in range(ORDERS):
+                part[k] += np.bincount(gate, odd_slope * odd_xs[k], minlength=len(part[k])).astype(np.float32)
         for k in range(ORDERS):
-            flat[k] += np.bincount(index, (step * xs[k]).ravel(), minlength=flat.shape[1]).astype(np.float32)
-    weights.reshape(-1, ORDERS)[:] = flat.T
+            xs[k] *= slope
+            full[k][:n] += xs[k].sum(0, dtype=np.float64).astype(np.float32)
+    for k in range(ORDERS):
+        held[:, :, ORDERS, k] = full[k]
+        held[:, :, :ORDERS, k] = part[k].reshape(len(texts), 8, ORDERS)
+    weights[texts] = held.reshape(len(texts), GATES, ORDERS)
     return cost
 
 
@@ -345,7 +613,7 @@ def score_texts(path: str, bits: int, chunk_bytes: int):
     schema = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("model_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
 
     def run(batches):
-        table_ = load_table(path, bits)
+        table_ = kept_table(path, bits)
         for batch in batches:
             keys = batch.column(1).to_numpy()
             streams = [stream(t) for t in as_bytes(batch.column(0))]
@@ -383,6 +651,23 @@ def table_bits(train_bytes: int, fewest: int = FEWEST_TABLE_BITS, most: int = MO
     return int(min(most, max(fewest, math.ceil(math.log2(max(train_bytes, 1))) - 8)))
 
 
+def part_counts(training: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Tokens and grams of the training rows with their numbers, as ``count_parts`` has them."""
+    parts = training.select("text").mapInArrow(count_parts(chunk_bytes), "token string, gram long, c long, w long, e long")
+    return parts.groupBy("token", "gram").agg(*(F.sum(n).alias(n) for n in ("c", "w", "e")))
+
+
+def context_counts(training: DataFrame, counted: DataFrame, bits: int, chunk_bytes: int, longest: int) -> DataFrame:
+    """Zeros and ones of every context slot: from the counted tokens and grams, and from texts, of at most ``longest``
+    bytes, with words that a chunk may cut."""
+    block = "order int, block int, counts binary"
+    blocks = counted.where("w > 0").select("token", "gram", "w", "e").mapInArrow(count_slots(bits), block)
+    if longest >= chunk_bytes - 1:
+        long = training.where(F.octet_length("text") >= chunk_bytes - 1).select("text")
+        blocks = blocks.unionByName(long.mapInArrow(count_contexts(bits, chunk_bytes), block))
+    return blocks.groupBy("order", "block").applyInArrow(sum_blocks(bits), "order int, slot long, n0 long, n1 long")
+
+
 def lm_scores(
     docs: DataFrame,
     text: str = "text",
@@ -403,10 +688,11 @@ def lm_scores(
         "scored_rows",
     )
     training = rows.where(~F.col("held_out"))
-    words = training.select("text").mapInArrow(count_tokens, "token string, c long")
-    counts = settle(words.groupBy("token").agg(F.sum("c").alias("c")), "token_counts")
+    counted = settle(part_counts(training, chunk_bytes), "training_counts")
+    counts = counted.where("token is not null and c > 0").select("token", "c")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
     totals = training.agg(
-        F.count(F.lit(1)).alias("r"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")
+        F.count(F.lit(1)).alias("r"), F.sum(size).alias("b"), F.max(size).alias("longest")
     ).first()
     seen = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     ends = int(totals["r"])
@@ -439,8 +725,7 @@ def lm_scores(
     # The model: context counts of the training rows, summed by slot, then every row scored.
     bits = table_bits(int(totals["b"] or 0) + 2 * ends, most=most_table_bits)
     path = fresh_path(spark, "context_counts")
-    summed = training.select("text").mapInArrow(count_contexts(bits, chunk_bytes), "order int, slot long, n0 long, n1 long")
-    summed.groupBy("order", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).write.parquet(path)
+    context_counts(training, counted, bits, chunk_bytes, int(totals["longest"] or 0)).write.parquet(path)
     model = rows.select("text", "key").mapInArrow(
         score_texts(path, bits, chunk_bytes), "key long, score double, model_bytes long, bits_per_byte double"
     )

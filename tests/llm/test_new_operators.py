@@ -337,6 +337,52 @@ def test_lm_contexts_are_counted_once_a_pair(monkeypatch):
     assert looked[:4] == looked[4:]
 
 
+def test_lm_model_counts_equal_those_byte_by_byte(spark):
+    # Counted tokens and grams give the slots of every byte, with words that chunks cut, empty texts and texts of one byte.
+    rng = np.random.default_rng(13)
+    words = ["".join(map(chr, rng.integers(97, 103, n))) for n in rng.integers(1, 9, 60)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(30)]
+    texts += ["", None, "a", "\t\n", "Gr\u00f6\u00dfe \u65e5\u672c " * 9, "\x00 \x00\x00"]
+    texts += ["x" * n + tail for n in (253, 254, 255, 256, 257, 300, 900) for tail in ("", " end here", " " + "y" * 254 + " z")]
+    texts += ["a " + "y" * 300 + " b", "b " * 100 + "w" * 600]
+    bits, chunk = 12, 256
+    want = np.zeros((lm_scoring.ORDERS, 2 << bits), np.int64)
+    for text in texts:
+        for piece, before in lm_scoring.pieces_of(lm_scoring.stream((text or "").encode()), chunk):
+            found, ones = lm_scoring.slots(piece, before, bits)
+            for k in range(lm_scoring.ORDERS):
+                np.add.at(want[k], (found[k] * 2 + ones).ravel(), 1)
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counted = lm_scoring.part_counts(training, chunk)
+    got = np.zeros_like(want)
+    for r in lm_scoring.context_counts(training, counted, bits, chunk, 2000).collect():
+        got[r.order, 2 * r.slot : 2 * r.slot + 2] += r.n0, r.n1
+    assert np.array_equal(got, want)
+
+
+def test_lm_mixer_does_not_grow_with_equal_contexts(monkeypatch):
+    # Slots are looked up once a distinct pair of context and byte, and texts score the same in any company.
+    rng = np.random.default_rng(17)
+    bits = 12
+    table = rng.normal(0, 2, (lm_scoring.ORDERS, 1 << bits)).astype(np.float32)
+    table[rng.random(table.shape) < 0.3] = 0
+    texts = [lm_scoring.stream(" ".join(rng.choice(["the", "cat", "s\u00e4t", "x" * 150], n)).encode()) for n in (0, 1, 9, 40, 90)]
+    looked, plain = [], lm_scoring.slots_of
+
+    def scored(some):
+        weights = np.full((len(some), lm_scoring.GATES, lm_scoring.ORDERS), lm_scoring.START_WEIGHT, np.float32)
+        monkeypatch.setattr(lm_scoring, "slots_of", lambda k, base, own, bits: looked.append(len(own)) or plain(k, base, own, bits))
+        return lm_scoring.mixed_bits([(t, b"\n\n\n", i) for i, t in enumerate(some)], weights, table, bits)
+
+    one = scored(texts)
+    before = sum(looked)
+    looked.clear()
+    assert np.array_equal(scored(texts * 200)[:5], one)
+    assert sum(looked) < 1.2 * before + 50
+    for t, bits_ in zip(texts, one, strict=True):
+        assert scored([t])[0] == bits_
+
+
 def test_lm_token_rows_without_a_shuffle_of_every_token(tmp_path):
     pq.write_table(pa.table({"token": ["the", "cat"], "c": pa.array([9, 4], pa.int64())}), tmp_path / "part-0.parquet")
     batch = pa.RecordBatch.from_arrays([pa.array(["The cat the dog dog", None, "\tcat\x0b"]), pa.array([5, 6, 7], pa.int64())], ["text", "key"])
