@@ -38,6 +38,8 @@ rows; with no training rows every count is 0 and every slot unseen.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import math
 
@@ -51,6 +53,8 @@ from tallyframe.llm.warc import open_store
 #: Fixed values of the contract: folds, the letters lower-cased.
 FOLDS, HELD_OUT = 7, 2
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The same, and each white space a space.
+SPACED = bytes(32 if 9 <= b <= 13 else b for b in LOWERED)
 
 ORDERS = 4
 #: Slots an order: 2 ** bits, bits from the training bytes, within these bounds.
@@ -59,13 +63,13 @@ FEWEST_TABLE_BITS, MOST_TABLE_BITS = 16, 21
 CHUNK_BYTES, BLOCK, START_WEIGHT, RATE = 1 << 16, 64, 0.3, 0.02
 GATES = 8 * (ORDERS + 1)
 #: Bytes of text scored in lockstep, at most ``chunk_bytes`` of each text.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Texts whose blocks are mixed side by side.
 LANE = 128
 #: Bytes of text whose contexts are counted at once, and whose tokens are.
 COUNT_BYTES, TOKEN_BYTES = 1 << 20, 1 << 22
-#: Distinct grams that a task holds before it sums them, bytes of words whose contexts are counted at once.
-GRAMS, WORD_BYTES = 1 << 20, 1 << 17
+#: Distinct grams, and tokens, that a task holds before it sums them, bytes of words whose contexts are counted at once.
+GRAMS, TOKENS, WORD_BYTES = 1 << 19, 1 << 19, 1 << 17
 #: Slots in a row of counts that tasks hand on, and rows at once.
 BLOCK_SLOTS, BLOCK_ROWS = 1 << 12, 64
 #: Rows of the count table read at once.
@@ -77,7 +81,7 @@ ORDER_SALT = [np.uint64(0x2545F4914F6CDD1D * (k + 1) % (1 << 64)) for k in range
 LOG10_2 = math.log10(2)
 #: Of each byte: its bits, and the bits before each with a leading one, spread by the salt of each order.
 BIT = ((np.arange(256)[:, None] >> (7 - np.arange(8))) & 1).astype(np.int8)
-BIT_FLOAT, OTHER_FLOAT = BIT.astype(np.float32), (1 - BIT).astype(np.float32)
+BIT_FLOAT = BIT.astype(np.float32)
 #: Bounds of a bit's probability.
 LEAST, MOST = np.float32(1 / 4096), np.float32(1 - 1 / 4096)
 PARTIAL = ((np.arange(256)[:, None] | 256) >> (8 - np.arange(8))).astype(np.uint64)
@@ -85,9 +89,17 @@ with np.errstate(over="ignore"):
     SPREAD = [PARTIAL * ORDER_SALT[(k + 1) % ORDERS] for k in range(ORDERS)]
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: a Python process that Spark uses again keeps what its last task held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stream(text: bytes | None) -> bytes:
     """The bytes the model reads: lower-cased words joined by spaces, then a line feed."""
-    return b" ".join((text or b"").translate(LOWERED).split()) + b"\n"
+    spaced = (text or b"").translate(SPACED).strip(b" ")
+    return (b" ".join(spaced.split()) if b"  " in spaced else spaced) + b"\n"
 
 
 def contexts(chunk: bytes, before: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -255,8 +267,8 @@ def count_contexts(bits: int, chunk_bytes: int):
     return run
 
 
-def token_groups(batches):
-    """Rows of a task in groups of about ``TOKEN_BYTES`` of text: keys (of the second column, if there is one), each
+def token_groups(batches, group_bytes: int):
+    """Rows of a task in groups of about ``group_bytes`` of text: keys (of the second column, if there is one), each
     token's place among them, the distinct tokens, which of these each token is, the streams' bytes and their sizes."""
 
     def made(keys, streams):
@@ -265,7 +277,7 @@ def token_groups(batches):
         ends = np.flatnonzero(parts)
         sizes = np.diff(np.append(-1, ends)) - 1
         bounds = np.asarray([len(s) for s in streams])
-        owner = np.searchsorted(np.cumsum(bounds), ends, side="right")
+        owner = np.repeat(np.arange(len(bounds)), np.diff(np.searchsorted(ends, np.cumsum(bounds)), prepend=0))
         ends, owner, sizes = ends[sizes > 0], owner[sizes > 0], sizes[sizes > 0]
         offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
         letters = pa.py_buffer(np.ascontiguousarray(data[~parts]))
@@ -280,7 +292,7 @@ def token_groups(batches):
             keys.append(key)
             streams.append(stream(text))
             size += len(streams[-1])
-            if size >= TOKEN_BYTES:
+            if size >= group_bytes:
                 yield made(keys, streams)
                 keys, streams, size = [], [], 0
     if streams:
@@ -319,22 +331,35 @@ def count_parts(chunk_bytes: int):
     def rows(tokens, grams, *numbers):
         n = len(numbers[0])
         columns = [pa.nulls(n, pa.string()) if tokens is None else tokens, pa.nulls(n, pa.int64()) if grams is None else pa.array(grams.astype(np.int64))]
-        return sliced(pa.RecordBatch.from_arrays([*columns, *[pa.array(x.astype(np.int64)) for x in numbers]], schema=schema))
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(x.astype(np.int64)) for x in numbers]], schema=schema)
+
+    def once(held):
+        table_ = pa.Table.from_batches(held, schema).group_by("token", use_threads=False)
+        table_ = table_.aggregate([(name, "sum") for name in ("c", "w", "e")])
+        names = ("token", None, "c_sum", "w_sum", "e_sum")
+        columns = [pa.nulls(len(table_), pa.int64()) if name is None else table_.column(name) for name in names]
+        return pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()
 
     def run(batches):
         import pyarrow.compute as pc
 
-        keys, times = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for given, owner, tokens, which, data, sizes in token_groups(batches):
+        keys, times, words = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        for given, owner, tokens, which, data, sizes in token_groups(batches, TOKEN_BYTES // 4):
             n = len(tokens)
             cut = np.zeros(len(given), bool)
             cut[owner[(pc.binary_length(tokens).to_numpy() >= chunk_bytes - 1)[which]]] = True
             last = np.append(owner[1:] != owner[:-1], np.ones(min(len(owner), 1), bool))
             plain = ~cut[owner]
-            yield from rows(tokens, None, *(np.bincount(x, minlength=n) for x in (which, which[plain], which[plain & last])))
+            words.append(rows(tokens, None, *(np.bincount(x, minlength=n) for x in (which, which[plain], which[plain & last]))))
             empty = np.full(1, len(given) - last.sum())
-            if empty[0]:
-                yield from rows(pa.array([""]), None, np.zeros(1), empty, empty)
+            words.append(rows(pa.array([""]), None, np.zeros(1), empty, empty))
+            if sum(map(len, words)) > TOKENS:
+                # Those of many groups once; what they are still too many for is summed by Spark alone.
+                words = once(words)
+                if sum(map(len, words)) > TOKENS * 3 // 4:
+                    for batch in words:
+                        yield from sliced(batch)
+                    words = []
             grams = grams_of(data, sizes)
             if cut.any():
                 grams = grams[np.repeat(~cut, sizes)]
@@ -345,7 +370,11 @@ def count_parts(chunk_bytes: int):
                 keys, times = ([x] for x in summed(keys, times))
         found, number = summed(keys, times)
         zero = np.zeros(len(found))
-        yield from rows(None, found, zero, number, zero)
+        words = [*once(words), rows(None, found, zero, number, zero)]
+        for batch in words:
+            yield from sliced(batch)
+        del batch, words, keys, times
+        give_back()
 
     return run
 
@@ -387,6 +416,8 @@ def count_slots(bits: int):
                 final = np.flatnonzero(e[some])
                 add(ORDERS - 1, spans(starts[final], ends[final] - 1), np.full(len(final), 10), e[some][final])
         yield from slot_blocks(counts)
+        counts.clear()
+        give_back()
 
     return run
 
@@ -403,7 +434,7 @@ def row_tokens(path: str, denominator: float):
         hot = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["token", "c"])
         tokens_ = pa.concat_arrays([pa.array([], pa.string()), *[chunk.cast(pa.string()) for chunk in hot.column("token").chunks]])
         logs = np.append(np.log10((hot.column("c").to_numpy() + 1) / denominator), 0.0)
-        for keys, owner, distinct, which, _, _ in token_groups(batches):
+        for keys, owner, distinct, which, _, _ in token_groups(batches, TOKEN_BYTES // 2):
             n = len(keys)
             found = pc.fill_null(pc.index_in(distinct, value_set=tokens_), -1).to_numpy()[which]
             known = found >= 0
@@ -419,6 +450,7 @@ def row_tokens(path: str, denominator: float):
                  pa.array(np.zeros(len(m), np.int64)), pa.array(np.zeros(len(m)))],
                 schema=schema,
             ))
+        give_back()
 
     return run
 
@@ -501,14 +533,21 @@ def context_rows(units, table_: np.ndarray, bits: int) -> tuple[list[np.ndarray]
             row, own = ids, np.maximum(places, k + 1)
             base = spans(own - k - 1, own)
         else:
+            # Words, each with the byte that ends it, once; then the parts of the distinct ones.
             parts = (data == 32) | (data == 10)
-            parts[begin] = True
-            starts = np.zeros(len(data), np.int32)
-            np.maximum.accumulate(np.where(parts[:-1], np.arange(1, len(data), dtype=np.int32), np.int32(0)), out=starts[1:])
-            words = spans(starts, slice(0, len(data)))
+            parts[begin] = parts[-1:] = True
+            ends = np.flatnonzero(parts)
+            starts = np.append(0, ends[:-1] + 1)
+            lengths = ends + 1 - starts
+            one, same = distinct(spans(starts, ends + 1))
+            first = np.cumsum(lengths[one]) - lengths[one]
+            begins = np.repeat(starts[one], lengths[one])
+            places = begins + np.arange(len(begins)) - np.repeat(first, lengths[one])
+            words = spans(begins, places)
             with np.errstate(over="ignore"):
-                own, row = distinct(words + data * MULTIPLIER)
-            base = words[own]
+                some, row = distinct(words + data[places] * MULTIPLIER)
+            row = row.take(np.repeat(first[same] - starts, lengths) + np.arange(len(data)))
+            own, base = places[some], words[some]
         with np.errstate(over="ignore"):
             x = table_[k].take(slots_of(k, (base ^ ORDER_SALT[k]) * MULTIPLIER, data[own], bits))
         xrows.append(x)
@@ -546,10 +585,10 @@ def lane_bits(start, sizes, texts, weights, xrows, rows, odd, data) -> np.ndarra
     full = [np.ascontiguousarray(held[:, :, ORDERS, k]) for k in range(ORDERS)]
     part = [np.ascontiguousarray(held[:, :, :ORDERS, k]).reshape(-1) for k in range(ORDERS)]
     cost = np.zeros(len(texts))
-    buffers = np.empty((ORDERS + 2, BLOCK * len(texts) * 8), np.float32)
+    buffers = np.empty((ORDERS + 3, BLOCK * len(texts) * 8), np.float32)
     active = np.searchsorted(-blocks, -np.arange(blocks.max(initial=0)), side="left")
     for step, n in enumerate(active):
-        *xs, dot, one = (buffer[: BLOCK * n * 8].reshape(BLOCK, n, 8) for buffer in buffers)
+        *xs, dot, one, ys = (buffer[: BLOCK * n * 8].reshape(BLOCK, n, 8) for buffer in buffers)
         at = (start[:n] + step * BLOCK) + np.arange(BLOCK)[:, None]
         # Units that end within the step are filled up with their last byte, which then counts for nothing.
         ends = start[:n] + sizes[:n]
@@ -574,14 +613,15 @@ def lane_bits(start, sizes, texts, weights, xrows, rows, odd, data) -> np.ndarra
             for k in range(1, ORDERS):
                 odd_dot += part[k][gate] * odd_xs[k]
             dot.reshape(-1)[some] = odd_dot
-        np.minimum(np.maximum(dot, -30, out=dot), 30, out=dot)
-        np.exp(np.negative(dot, out=dot), out=dot)
+        # Beyond the bounds of a probability nothing depends on the product, be its exponential infinite.
+        with np.errstate(over="ignore"):
+            np.exp(np.negative(dot, out=dot), out=dot)
         dot += 1
         p = np.divide(np.float32(1), dot, out=dot)
         np.minimum(np.maximum(p, LEAST, out=p), MOST, out=p)
         # The probability of the bit that came, p or 1 - p, is the distance of p from the other bit.
-        now = data[at]
-        OTHER_FLOAT.take(now, axis=0, out=one, mode="clip")
+        slope = BIT_FLOAT.take(data.take(at), axis=0, out=ys, mode="clip")
+        np.subtract(np.float32(1), ys, out=one)
         one -= p
         np.log2(np.abs(one, out=one), out=one)
         total = one[..., 0::2] + one[..., 1::2]
@@ -590,7 +630,6 @@ def lane_bits(start, sizes, texts, weights, xrows, rows, odd, data) -> np.ndarra
         if over is not None:
             total[over] = 0
         cost[:n] -= total.sum(0, dtype=np.float64)
-        slope = BIT_FLOAT.take(now, axis=0, out=one, mode="clip")
         slope -= p
         slope *= np.float32(RATE)
         if len(some):
@@ -613,24 +652,29 @@ def score_texts(path: str, bits: int, chunk_bytes: int):
     schema = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("model_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
 
     def run(batches):
+        import pyarrow.compute as pc
+
         table_ = kept_table(path, bits)
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            streams = [stream(t) for t in as_bytes(batch.column(0))]
-            cost = np.zeros(len(streams))
+            texts = batch.column(0)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            cost, read = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             group, length = [], 0
 
             def flush(group):
                 weights = np.full((len(group), GATES, ORDERS), START_WEIGHT, np.float32)
-                reading = [pieces_of(streams[j], chunk_bytes) for j in group]
+                streams = [stream(t) for t in as_bytes(texts.take(pa.array(group)))]
+                read[group] = [len(s) for s in streams]
+                reading = [pieces_of(s, chunk_bytes) for s in streams]
                 # The first chunks of all texts together, then the second of those that have one, and so on.
                 while units := [(*piece, i) for i, rest in enumerate(reading) if (piece := next(rest, None))]:
                     for (_, _, i), c in zip(units, mixed_bits(units, weights, table_, bits), strict=True):
                         cost[group[i]] += c
 
             # Texts of like length together: a group takes as many steps as its longest text has blocks.
-            for j in sorted(range(len(streams)), key=lambda i: len(streams[i])):
-                held = min(len(streams[j]), chunk_bytes)
+            for j in np.argsort(sizes, kind="stable").tolist():
+                held = min(int(sizes[j]) + 1, chunk_bytes)
                 if group and length + held > GROUP_BYTES:
                     flush(group)
                     group, length = [], 0
@@ -638,10 +682,10 @@ def score_texts(path: str, bits: int, chunk_bytes: int):
                 length += held
             if group:
                 flush(group)
-            sizes = np.asarray([len(s) for s in streams], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(-cost * LOG10_2), pa.array(sizes), pa.array(cost / sizes)], schema=schema
+                [pa.array(keys), pa.array(-cost * LOG10_2), pa.array(read), pa.array(cost / read)], schema=schema
             )
+        give_back()
 
     return run
 
@@ -654,7 +698,8 @@ def table_bits(train_bytes: int, fewest: int = FEWEST_TABLE_BITS, most: int = MO
 def part_counts(training: DataFrame, chunk_bytes: int) -> DataFrame:
     """Tokens and grams of the training rows with their numbers, as ``count_parts`` has them."""
     parts = training.select("text").mapInArrow(count_parts(chunk_bytes), "token string, gram long, c long, w long, e long")
-    return parts.groupBy("token", "gram").agg(*(F.sum(n).alias(n) for n in ("c", "w", "e")))
+    # A task hands on each of its keys once: nothing to sum before the shuffle.
+    return parts.repartition("token", "gram").groupBy("token", "gram").agg(*(F.sum(n).alias(n) for n in ("c", "w", "e")))
 
 
 def context_counts(training: DataFrame, counted: DataFrame, bits: int, chunk_bytes: int, longest: int) -> DataFrame:
