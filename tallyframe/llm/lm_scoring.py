@@ -6,11 +6,14 @@ end is a symbol of its own), bit by bit, most significant first.
 
 Training (rows whose ``crc32(doc_id as text) % 7`` is not 2). Four hashed contexts predict
 each bit: the last one, two and three bytes and the part of the current word already read,
-each with the bits of the current byte before it. Every task counts zeros and ones per
-context slot of its rows in numpy, Spark sums the counts by slot, and the table is written
-to the shared folder. There are ``2 ** bits`` slots an order, ``bits`` growing with the
-training bytes up to ``most_table_bits`` (21: 4 orders x 2 M slots, 64 MB of counts in a
-counting task, 32 MB of predictions in a scoring task), so the model grows with the corpus and its memory stays bounded.
+each with the bits of the current byte before it. Every task counts the tokens and the runs
+of four bytes (grams) of its rows and Spark sums them; zeros and ones per context slot come
+from these sums, in numpy, and Spark sums them by blocks of slots. Texts with a word that a
+chunk may cut are counted byte by byte. The table is written to the shared folder. There are
+``2 ** bits`` slots an order, ``bits`` growing with the training bytes up to
+``most_table_bits`` (21: 4 orders x 2 M slots, at most 128 MB of counts in a counting task,
+32 MB of predictions in a Python process that scores), so the model grows with the corpus and
+its memory stays bounded.
 
 Scoring (every row). Each predictor gives ``stretch(p) = ln((n1 + 1/2) / (n0 + 1/2))`` of its
 slot (0 for an unseen slot). A gated mixer combines them: the weight set is chosen by the
@@ -23,7 +26,8 @@ probability of the text, ``bits_per_byte`` its cost per byte read.
 Texts are read whole: long ones in chunks of ``chunk_bytes``, cut at spaces, with the
 weights and the last three bytes carried over (a word longer than a chunk starts its
 word context again at the cut). Rows of a task are scored in lockstep, block by block, so
-that numpy works on many texts at once.
+that numpy works on many texts at once; slots are looked up once for each distinct pair of
+contexts and byte of a group of texts.
 
 The base score is a Spark job: ``log10((c + 1) / (N + V + 1))`` summed over tokens, with
 ``c`` from the training tokens' counts (the at most ``frequent`` most frequent tokens of at
