@@ -120,3 +120,47 @@ def test_no_pairs_of_a_crowd_are_joined(spark):
     prints = spark.range(300).select((F.col("id") * 0).bitwiseXOR(F.pow(2.0, F.col("id") % 40).cast("long")).alias("print")).distinct()
     links = simhash.link_prints(prints, run_limit=8)
     assert links.count() <= 64 * prints.count()
+
+
+def broadcast(frame):
+    """The steps of the plan that ran, as far as their rows were broadcast."""
+    frame.collect()
+    depth, found = None, []
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    for line in final.splitlines():
+        at = len(line) - len(line.lstrip(" :+-*("))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            depth = at
+    return found
+
+
+def test_values_around_a_crowd_are_not_broadcast(spark):
+    crowd = spark.createDataFrame([(simhash.signed(p),) for p in random_prints(40)], "print long")
+    assert not broadcast(simhash.midpoints(crowd))
+
+
+def test_crowded_keys_are_not_searched_on_the_driver(spark):
+    prints = spark.createDataFrame([(simhash.signed(p),) for p in random_prints(80)], "print long")
+    assert not [line for line in broadcast(simhash.link_prints(prints, run_limit=4)) if "Generate" in line]
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4])
+@pytest.mark.parametrize("at_once", [1024, 7])
+def test_midpoints_keep_every_component(spark, monkeypatch, distance, at_once):
+    monkeypatch.setattr(simhash, "CROWD_AT_ONCE", at_once)
+    prints = random_prints(60)
+    frame = spark.createDataFrame([(simhash.signed(p),) for p in prints] * 2, "print long")
+    root = {r.node: r.root for r in components.components(simhash.midpoints(frame, distance)).collect()}
+    got = [root.get(simhash.signed(p), simhash.signed(p)) for p in prints]
+    assert got == plain_groups([(simhash.signed(p), f"{p:016x}") for p in prints], distance)
+
+
+@pytest.mark.parametrize("run_limit", [4096, 2])
+def test_one_row_of_each_group_of_a_crowd_stays(documents, run_limit):
+    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(documents, run_limit=run_limit).collect()}
+    kept = [r.doc_id for r in simhash.keep_one(documents, run_limit=run_limit).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(groups.values()))
